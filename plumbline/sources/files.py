@@ -58,15 +58,15 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
-def read_point_elements(spark: SparkSession, path: str) -> DataFrame:
+def read_point_elements(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Points from nested JSON {"elements": [{"lat", "lon"}]}, elements without `lat` left out.
 
-    A missing file is an error. One document is one record for Spark, so a large extract should come as
-    several files.
+    A missing file is an error. A file read as `one_document` is one record for Spark; a large extract should
+    come as one document per line (`one_document=False`) so that it can be split.
     """
     schema = "elements array<struct<lat:double,lon:double>>"
     try:
-        raw = spark.read.schema(schema).json(path, multiLine=True)
+        raw = spark.read.schema(schema).json(path, multiLine=one_document)
     except AnalysisException as e:
         raise FileNotFoundError(f"missing required spatial reference: {path}") from e
     points = raw.select(F.inline("elements")).where(F.col("lat").isNotNull())
