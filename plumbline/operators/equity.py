@@ -10,17 +10,19 @@ from plumbline.functions.scores import clip
 
 def equity_boost(
     predictions: DataFrame, inspections: DataFrame, area: str = "census_tract", p: str = "p_lead",
-    epsilon: float = 1e-6, name: str = "equity_boost",
+    epsilon: float = 1e-6, name: str = "equity_boost", count: str | None = None,
 ) -> DataFrame:
     """(area, boost): how far an area's share of inspections lags behind its share of risk, in [0, 1].
 
-    Both sides are aggregated per area before they meet, so the join never sees single rows.
+    `inspections` holds one row per inspection, or totals per area in the column `count`. Both sides are
+    aggregated per area before they meet, so the join never sees single rows.
     """
+    times = F.sum(count) if count else F.count("*")
     risk = predictions.where(F.col(area).isNotNull()).groupBy(area).agg(F.sum(p).alias("_risk"))
-    seen = inspections.groupBy(area).agg(F.count("*").alias("_seen"))
+    seen = inspections.groupBy(area).agg(times.alias("_seen"))
     # every prediction row counts towards the overall risk, every inspection towards the overall count
     all_risk = predictions.agg(F.coalesce(F.sum(p), F.lit(0.0))).scalar()
-    all_seen = inspections.agg(F.count("*")).scalar()
+    all_seen = inspections.agg(F.coalesce(times, F.lit(0))).scalar()
     joined = risk.join(seen, area, "left").select(
         area, "_risk", F.coalesce("_seen", F.lit(0)).alias("_seen"), all_risk.alias("_all"), all_seen.alias("_n")
     )

@@ -1 +1,48 @@
+"""Documented but unbuilt measures of the original: log loss, calibration bins, budget precision, drift."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import metrics as M
+from plumbline.plans.backtest import precision_at_budgets
+from plumbline.queries.common import LINE_SCORES, ORDER_SCORES, line_scores, order_scores, query, r6
+
+BIN = "CAST(least(9, floor(p*10)) AS INTEGER)"
+
+
+@query("o1_log_loss", f"WITH {LINE_SCORES} SELECT round(-avg(CASE WHEN y = 1 THEN ln(greatest(1e-15, least(1-1e-15, p))) ELSE ln(1 - greatest(1e-15, least(1-1e-15, p))) END), 6) AS log_loss FROM scores")
+def o1(spark, sf):
+    return M.log_loss(line_scores(spark, sf), "y", "p").select(r6(F.col("log_loss"), "log_loss"))
+
+
+@query("o2_reliability", f"WITH {LINE_SCORES} SELECT {BIN} AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS observed FROM scores GROUP BY 1")
+def o2(spark, sf):
+    out = M.reliability(line_scores(spark, sf), "y", "p")
+    return out.select("bin", "n", r6(F.col("mean_score"), "mean_score"), r6(F.col("observed"), "observed"))
+
+
+@query("o2_calibration_error", f"WITH {LINE_SCORES}, b AS (SELECT {BIN} AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM scores GROUP BY 1) SELECT round(sum(n*gap)/sum(n), 6) AS ece FROM b")
+def o2_ece(spark, sf):
+    return M.expected_calibration_error(line_scores(spark, sf), "y", "p").select(r6(F.col("ece"), "ece"))
+
+
+@query(
+    "o3_precision_at_budgets",
+    f"WITH {ORDER_SCORES}, r AS (SELECT y, row_number() OVER (ORDER BY p DESC, id) AS rk FROM scores), b AS (SELECT * FROM (VALUES (100000.0, 200), (500000.0, 1000), (1000000.0, 2000)) v(budget, k)) SELECT CAST(budget AS DOUBLE) AS budget_usd, count(*) AS n, round(avg(y), 6) AS precision FROM r JOIN b ON rk <= k GROUP BY budget",
+)
+def o3(spark, sf):
+    out = precision_at_budgets(order_scores(spark, sf), "y", "p", "id", (100000.0, 500000.0, 1000000.0), 500.0)
+    return out.select("budget_usd", "n", r6(F.col("precision"), "precision"))
+
+
+@query(
+    "o4_score_drift",
+    f"""WITH {LINE_SCORES}, c AS (SELECT {BIN} AS bin, count(*) FILTER (part = 'F') AS n_base, count(*) FILTER (part = 'O') AS n_current FROM scores GROUP BY 1),
+      s AS (SELECT *, greatest(1e-4::DOUBLE, n_base/(SELECT sum(n_base) FROM c)) AS e, greatest(1e-4::DOUBLE, n_current/(SELECT sum(n_current) FROM c)) AS a FROM c)
+      SELECT bin, n_base, n_current, round((a-e)*ln(a/e), 6) + 0.0 AS psi FROM s""",
+)
+def o4(spark, sf):
+    rows = line_scores(spark, sf)
+    out = M.population_stability(rows.where("part = 'F'"), rows.where("part = 'O'"), "p")
+    return out.select("bin", "n_base", "n_current", r6(F.col("psi"), "psi"))

@@ -1 +1,100 @@
+"""Streaming over the inspection log: the events are written as log files and consumed until none are left."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators.equity import equity_boost
+from plumbline.queries.common import LOG, PROPERTY, inspection_log, properties, query, r6, scratch, table
+from plumbline.queries.decisions import BOOST
+from plumbline.queries.sources import log_json
+from plumbline.sources import files
+from plumbline.streaming import inspections as I
+
+GOOD = "inspected_material <> 'Plastic' AND cost_usd >= 0"
+
+
+@query("l1_stream_ingest", f"WITH {LOG} SELECT inspected_material, count(*) AS n, CASE WHEN {GOOD} THEN '' ELSE 'material' END AS rejected FROM log WHERE cost_usd >= 0 GROUP BY ALL")
+def l1(spark, sf):
+    good, bad = scratch(spark), scratch(spark)
+    I.ingest(I.read_log(spark, log_json(spark, sf), 2), good, bad, scratch(spark)).awaitTermination()
+    ok = spark.read.parquet(good).select("inspected_material", F.lit("").alias("rejected"))
+    no = spark.read.parquet(bad).where("cost_usd >= 0").select("inspected_material", F.array_join("rejected_for", ",").alias("rejected"))
+    return ok.where("inspected_material is not null").unionByName(no).groupBy("inspected_material", "rejected").agg(F.count("*").alias("n"))
+
+
+@query("l2_stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS inspection_id, 1 AS n FROM events")
+def l2(spark, sf):
+    """The log is written twice; each id comes out once."""
+    path, out = scratch(spark), scratch(spark)
+    log = inspection_log(spark, sf)
+    files.append_inspections(log.unionByName(log), path)
+    once = I.deduplicated(I.read_log(spark, path), "3650 days")
+    I.run_to_table(once.select("inspection_id"), out, scratch(spark)).awaitTermination()
+    return spark.read.parquet(out).groupBy("inspection_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(
+    "l3_live_area_shares",
+    f"""WITH {PROPERTY}, {LOG}, ok AS (SELECT p.census_tract FROM log l JOIN property p ON CAST(p.property_id AS VARCHAR) = l.property_id WHERE {GOOD})
+      SELECT census_tract, count(*) AS n_inspections FROM ok GROUP BY census_tract""",
+)
+def l3(spark, sf):
+    dimension = properties(spark, sf).select(F.col("property_id").cast("string").alias("property_id"), "census_tract")
+    out = scratch(spark)
+    counts = I.counts_by_area(I.read_log(spark, log_json(spark, sf), 2), dimension)
+    I.run_to_table(counts, out, scratch(spark), "complete").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    "l3_live_equity",
+    f"""WITH {PROPERTY}, {LOG}, ok AS (SELECT p.census_tract FROM log l JOIN property p ON CAST(p.property_id AS VARCHAR) = l.property_id WHERE {GOOD}),
+      {BOOST.replace('FROM log', 'FROM ok')} SELECT census_tract, round(equity_boost, 6) AS equity_boost FROM boost""",
+)
+def l3_equity(spark, sf):
+    boosts = equity_boost(properties(spark, sf), l3(spark, sf), count="n_inspections")
+    return boosts.select("census_tract", r6(F.col("equity_boost"), "equity_boost"))
+
+
+@query("l4_retrain_trigger")
+def l4(spark, sf):
+    """Batches at which the unused labels had reached the threshold."""
+    fired: list[tuple[int, int]] = []
+    stream = I.read_log(spark, log_json(spark, sf), 1)
+    I.retrain_trigger(stream, scratch(spark), 500, lambda batch, pending: fired.append((batch, pending))).awaitTermination()
+    return spark.createDataFrame(fired, "batch bigint, pending bigint")
+
+
+@query(
+    "l5_windowed_monitoring",
+    f"""WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(avg(CASE WHEN inspected_material = 'Lead' THEN 1.0 ELSE 0.0 END), 6) AS lead_rate, round(sum(cost_usd), 4) AS cost_usd
+      FROM log WHERE {GOOD} GROUP BY 1""",
+)
+def l5(spark, sf):
+    out = scratch(spark)
+    stream = I.accepted(I.read_log(spark, log_json(spark, sf), 2))
+    I.run_to_table(I.windowed(stream), out, scratch(spark), "complete").awaitTermination()
+    day = F.date_format(F.col("window.start"), "yyyy-MM-dd")
+    return spark.read.parquet(out).select(day.alias("day"), "n", r6(F.col("lead_rate"), "lead_rate"), F.round("cost_usd", 4).alias("cost_usd"))
+
+
+@query(
+    "k8_record_inspections",
+    f"""WITH {PROPERTY} SELECT concat('insp-', substr(sha256(concat(CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))), 1, 12)) AS inspection_id, CAST(user_id AS VARCHAR) AS property_id,
+      'field_inspection' AS source, coalesce(CASE WHEN event_id%3 <> 0 THEN value END, 500.0::DOUBLE) AS cost_usd, census_tract, FALSE AS used_in_training
+      FROM events LEFT JOIN property p ON p.property_id = user_id WHERE event_type <> 'error' AND coalesce(CASE WHEN event_id%3 <> 0 THEN value END, 500) >= 0""",
+)
+def k8(spark, sf):
+    log = inspection_log(spark, sf)
+    at = F.unix_micros(F.to_timestamp("inspected_at")).alias("inspected_at")
+    cost = F.when(F.col("inspection_id").cast("bigint") % 3 != 0, F.col("cost_usd")).alias("cost_usd")
+    requests = log.select("property_id", "inspected_material", at, cost, F.lit(None).cast("string").alias("source"))
+    dimension = properties(spark, sf).select(F.col("property_id").cast("string").alias("property_id"), "census_tract")
+    out = I.accepted(I.record(requests, dimension, now=F.lit(0).cast("bigint")))
+    return out.select("inspection_id", "property_id", "source", "cost_usd", "census_tract", "used_in_training")
+
+
+@query("k9_inspection_count", f"WITH {LOG} SELECT count(*) AS n FROM log WHERE {GOOD}")
+def k9(spark, sf):
+    return I.accepted(files.read_inspections(spark, log_json(spark, sf))).agg(F.count("*").alias("n"))

@@ -94,7 +94,9 @@ def windowed(df: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process everything available. Complete and update results replace the table of the last batch."""
+    """Process everything available. A complete result replaces the table of the last batch."""
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode must be append or complete, not {mode}")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path)
     else:
