@@ -19,7 +19,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     a = F.sin(half_lat) * F.sin(half_lat) + (
         F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon)
     )
-    return F.lit(2 * fv.EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # rounding may lift `a` just above 1; a null coordinate must stay null, so no least()
+    return F.lit(2 * fv.EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

@@ -65,7 +65,8 @@ def whole_days_between(start: Column, end: Column, missing: int = fv.NO_HISTORY_
     """Full days from `start` to `end`: missing start gives `missing`, negative gives 0."""
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
     days = F.floor(micros / F.lit(86_400_000_000))
-    return F.coalesce(F.greatest(days, F.lit(0)), F.lit(missing)).cast("double")
+    # greatest() would turn a null into 0
+    return F.when(days.isNull(), F.lit(missing)).otherwise(F.greatest(days, F.lit(0))).cast("double")
 
 
 def unit_hash(key: Column, seed: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fv
-from plumbline.operators.ordered import quantile, value_counts
+from plumbline.operators.ordered import quantile
 
 
 def check_alpha(alpha: float) -> float:
@@ -21,7 +21,7 @@ def finite_sample_level(n: Column, alpha: float) -> Column:
 def thresholds(scores: DataFrame, score: str, alpha: float = 0.10) -> DataFrame:
     """One row (n_rows, threshold) from calibration scores."""
     level = finite_sample_level(F.col("n_rows"), check_alpha(alpha))
-    return quantile(value_counts(scores, score), score, level, name="threshold")
+    return quantile(scores, score, level, name="threshold")
 
 
 def group_thresholds(
@@ -30,7 +30,7 @@ def group_thresholds(
 ) -> DataFrame:
     """One row per listed group; a group with fewer than `min_rows` scores takes the global threshold."""
     level = finite_sample_level(F.col("n_rows"), check_alpha(alpha))
-    own = quantile(value_counts(scores, score, [group]), score, level, [group], "_own")
+    own = quantile(scores, score, level, [group], "_own")
     overall = thresholds(scores, score, alpha).select("threshold").scalar()
     kind = scores.schema[group].dataType.simpleString()
     listed = scores.sparkSession.createDataFrame([(g,) for g in groups], f"{group} {kind}")
@@ -43,7 +43,7 @@ def group_thresholds(
 def prediction_set(p: Column, threshold: Column, labels: tuple[str, str] = fv.SET_LABELS) -> Column:
     """Labels not ruled out; an empty set falls back to the likelier label (the first one on a tie).
 
-    A null threshold means the predictor was never calibrated and stops the job.
+    A null probability has no set. A null threshold means the predictor was never calibrated and stops the job.
     """
     negative, positive = labels
     entries = F.array_compact(
@@ -52,7 +52,7 @@ def prediction_set(p: Column, threshold: Column, labels: tuple[str, str] = fv.SE
     likelier = F.when(p > F.lit(1.0) - p, F.lit(positive)).otherwise(F.lit(negative))
     chosen = F.when(F.size(entries) > 0, entries).otherwise(F.array(likelier))
     uncalibrated = F.raise_error(F.lit("prediction sets need a calibrated threshold")).cast("array<string>")
-    return F.when(threshold.isNull(), uncalibrated).otherwise(chosen)
+    return F.when(threshold.isNull(), uncalibrated).when(p.isNotNull(), chosen)
 
 
 def raw_set_size(p: Column, threshold: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.ordered import quantile, value_counts
+from plumbline.operators.ordered import quantile
 
 MEDIANS = ("year_built", "lot_size_sqft", "building_sqft")
 MODE = "stories"
@@ -16,7 +16,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians as one row. The columns are counted together in long form, one row per distinct value."""
     cells = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]
     long = df.select(F.inline(F.array(*cells)))
-    middle = quantile(value_counts(long, "_v", ["_c"]), "_v", F.lit(0.5), ["_c"], "_m")
+    middle = quantile(long, "_v", F.lit(0.5), ["_c"], "_m")
     return middle.agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(c) for c in columns])
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.scores import clip
 from plumbline.operators.ordered import global_rank, running_totals
 
 NAN = float("nan")
@@ -124,14 +125,17 @@ def fold_summary(results: DataFrame, model: str, value: str, group: str, first:
 
 
 def log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
+    q = clip(F.col(p), eps, 1 - eps)
     return df.agg((-F.avg(F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))
 
 
+def _bin(p: str, bins: int) -> Column:
+    return clip(F.floor(F.col(p) * bins), 0, bins - 1).cast("int").alias("bin")
+
+
 def reliability(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """Per score bin: rows, mean score, observed rate and absolute gap."""
-    b = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("int")
-    out = df.groupBy(b.alias("bin")).agg(
+    out = df.groupBy(_bin(p, bins)).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("observed")
     )
     return out.withColumn("gap", F.abs(F.col("mean_score") - F.col("observed")))
@@ -144,7 +148,7 @@ def expected_calibration_error(df: DataFrame, y: str, p: str, bins: int = 10) ->
 
 def population_stability(base: DataFrame, current: DataFrame, p: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Shift of a score distribution between two tables, per bin and as a sum over bins."""
-    b = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("int").alias("bin")
+    b = _bin(p, bins)
     counts = base.select(b, F.lit(0).alias("_s")).unionByName(current.select(b, F.lit(1).alias("_s")))
     per_bin = counts.groupBy("bin").agg(F.count_if(F.col("_s") == 0).alias("n_base"), F.count_if(F.col("_s") == 1).alias("n_current"))
     total = lambda c: F.greatest(per_bin.agg(F.sum(c)).scalar(), F.lit(1))

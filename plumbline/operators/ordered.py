@@ -11,7 +11,7 @@ Three shapes cover every use in the library:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,15 +26,20 @@ POSITION_BITS = 33
 
 def _range_buckets(rows: DataFrame, order: str, bucket_rows: int) -> list[float]:
     """Split points for `order`; empty when the counted rows fit one bucket."""
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, points = rows.agg(
-        F.count(order), F.percentile_approx(F.col(order).cast("double"), grid, 20_000)
-    ).first()
-    wanted = -(-n // bucket_rows)
+    wanted = min(MAX_BUCKETS, -(-rows.count() // bucket_rows))
     if wanted <= 1:
         return []
-    step = max(1, MAX_BUCKETS // wanted)
-    return sorted(set(points[step - 1 :: step]))
+    grid = [i / wanted for i in range(1, wanted)]
+    points = rows.agg(F.percentile_approx(F.col(order).cast("double"), grid, 10 * MAX_BUCKETS)).first()[0]
+    return sorted(set(points))
+
+
+def _bucketed(rows: DataFrame, order: str, splits: list[float]) -> DataFrame:
+    """Add the range bucket of each row; Bucketizer searches the split points in the JVM."""
+    edges = [float("-inf"), *splits, float("inf")]
+    keyed = rows.withColumn("_order", F.col(order).cast("double"))
+    keyed = Bucketizer(splits=edges, inputCol="_order", outputCol="_bucket").transform(keyed)
+    return keyed.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_order")
 
 
 def running_totals(
@@ -62,10 +67,7 @@ def running_totals(
         window = Window.partitionBy(*by).orderBy(direction)
         return rows.select("*", *[before(window, f"{c}_before", c) for c in totals])
 
-    edges = [float("-inf"), *splits, float("inf")]
-    keyed = rows.withColumn("_order", F.col(order).cast("double"))
-    keyed = Bucketizer(splits=edges, inputCol="_order", outputCol="_bucket").transform(keyed)
-    keyed = keyed.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_order")
+    keyed = _bucketed(rows, order, splits)
     keys = [*by, "_bucket"]
     sums = keyed.groupBy(*keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in totals])
     across = Window.partitionBy(*by).orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
@@ -124,35 +126,35 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "rank") ->
     return best.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with counts, and counts before each: the basis of exact order statistics."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    return running_totals(counts, value, ["n"], by)
-
-
 def quantile(
-    counted: DataFrame, value: str, level: Column, by: Sequence[str] = (), name: str = "quantile"
+    df: DataFrame, value: str, level: Column, by: Sequence[str] = (), name: str = "quantile", bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Linear-interpolation quantile at a data-dependent level, from `value_counts` output.
+    """Linear-interpolation quantile at a data-dependent level: one row (by..., n_rows, name).
 
-    `level` may use the column `n_rows`. Exact: picks the values at positions floor(h) and ceil(h) with
-    h = level * (n_rows - 1).
+    `level` may use the column `n_rows`. Exact: reads the values at positions floor(h) and ceil(h) with
+    h = level * (n_rows - 1). Rows are collapsed to one per distinct value, and only the range buckets that
+    hold a wanted position are ordered.
     """
-    totals = counted.groupBy(*by).agg(F.sum("n").alias("n_rows"))
-    at = totals.select(*by, "n_rows", (level * (F.col("n_rows") - 1)).alias("_h"))
-    at = at.select("*", F.floor("_h").alias("_lo"), F.ceil("_h").alias("_hi"))
-    end = F.col("n_before") + F.col("n")
-
-    def holds(position: str) -> Column:
-        return (F.col("n_before") <= F.col(position)) & (F.col(position) < end)
-
-    if by:
-        rows = counted.join(at, list(by))
-    else:
-        one = at.select(F.struct("*").alias("_at"))
-        rows = counted.withColumn("_at", one.scalar()).select("*", "_at.*").drop("_at")
-    low, high = F.max(F.when(holds("_lo"), F.col(value))), F.max(F.when(holds("_hi"), F.col(value)))
-    picked = rows.groupBy(*by, "n_rows", "_h", "_lo").agg(low.alias("_v0"), high.alias("_v1"))
-    share = F.col("_h") - F.col("_lo")
-    exact = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = stage(counts)
+    splits = _range_buckets(counts, value, bucket_rows)
+    keyed = _bucketed(counts, value, splits) if splits else counts.withColumn("_bucket", F.lit(0))
+    keys = [*by, "_bucket"]
+    sizes = keyed.groupBy(*keys).agg(F.sum("n").alias("_size"))
+    # one row per group and bucket from here on
+    mine = Window.partitionBy(*by)
+    earlier = F.sum("_size").over(mine.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    at = sizes.select(*keys, "_size", F.coalesce(earlier, F.lit(0)).alias("_skip"), F.sum("_size").over(mine).alias("n_rows"))
+    at = at.withColumn("_h", level * (F.col("n_rows") - 1))
+    at = at.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
+    wanted = lambda p: (F.col("_skip") <= F.col(p)) & (F.col(p) < F.col("_skip") + F.col("_size"))
+    at = at.where(wanted("_lo") | wanted("_hi"))
+    rows = keyed.join(at, keys)
+    end = F.col("_skip") + F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    rows = rows.withColumn("_end", end)
+    holds = lambda p: (F.col("_end") - F.col("n") <= F.col(p)) & (F.col(p) < F.col("_end"))
+    picked = rows.groupBy(*by, "n_rows", "_h", "_lo").agg(
+        F.max(F.when(holds("_lo"), F.col(value))).alias("_v0"), F.max(F.when(holds("_hi"), F.col(value))).alias("_v1")
+    )
+    exact = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_lo"))
     return picked.select(*by, "n_rows", exact.alias(name))

@@ -21,11 +21,11 @@ from plumbline.session import stage
 FINEST_BITS = 21
 STEP_BITS = 2
 LEVELS = tuple(range(STEP_BITS, FINEST_BITS, STEP_BITS))
-START_LEVEL = 4  # at most a few hundred non-empty cells per side, whatever the data size
+START_LEVEL = 4  # 16 steps per axis: at most 4096 cells per side whatever the data size, a few hundred on a sphere
 LEVELS_PER_PASS = 3
 LEAF_ROWS = 32
 CHORD_MARGIN = 1e-12
-ROOT = 0
+ROOT_SHIFT = 3 * FINEST_BITS - 1  # drops every level of a cell code
 AXES = ("x", "y", "z")
 BOX = tuple(f"{a}{end}" for a in AXES for end in (0, 1))
 
@@ -135,9 +135,10 @@ def _leaf_pairs(q_cells: DataFrame, r_cells: DataFrame, k: int, levels: Sequence
     r_cells = _prefixed(r_cells, "r", ("n", "leaf"))
     q_box, r_box = [f"q{c}" for c in BOX], [f"r{c}" for c in BOX]
     r_state = ["rlevel", "rcode", *r_box, "rn", "rleaf"]
-    q_top = q_cells.where(F.col("qlevel") == levels[0]).withColumn("_root", F.lit(ROOT))
-    r_top = r_cells.where(F.col("rlevel") == levels[0]).withColumn("_root", F.lit(ROOT))
-    pairs = q_top.join(r_top, "_root")
+    # both sides hang below one root, so the first step pairs all top cells: START_LEVEL bounds them
+    q_top = q_cells.where(F.col("qlevel") == levels[0]).withColumn("_root", F.shiftright("qcode", ROOT_SHIFT))
+    r_top = r_cells.where(F.col("rlevel") == levels[0]).withColumn("_root", F.shiftright("rcode", ROOT_SHIFT))
+    pairs = q_top.join(F.broadcast(r_top), "_root")
     done, columns = None, ["qlevel", "qcode", "rlevel", "rcode"]
     for level in levels:
         pairs = _prune(pairs.select("qlevel", "qcode", *q_box, *r_state), k)

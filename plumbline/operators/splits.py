@@ -192,8 +192,9 @@ def split_dataset(
         raise ValueError("no labelled rows to split")
     if mode == "temporal" and first["calibration_rows"] + first["test_rows"] == 0:
         raise ValueError(f"no rows at or after {cutoff}")
+    timed = mode in ("temporal", "spatial-temporal")
     broken = split_invariants(
-        parted, row_id, at if when is not None else None, when, group if mode in ("geographic", "spatial-temporal") else None
+        parted, row_id, at if timed else None, when, group if mode in ("geographic", "spatial-temporal") else None
     ).where("n_bad > 0").collect()
     if broken:
         raise ValueError(f"split leaks: {[r['invariant'] for r in broken]}")

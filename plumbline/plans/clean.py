@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.text import label_source, normalise_text, stable_id
 from plumbline.operators.ordered import first_by
 from plumbline.operators.quality import INTERIM, validate, with_columns
+from plumbline.session import stage
 
 ASSESSOR_FIELDS = ("pin", "year_built", "property_class", "lot_size_sqft", "building_sqft", "stories", "has_basement")
 
@@ -55,4 +56,5 @@ def clean(
         "material_source", F.coalesce(given, label_source(F.col("service_line_material"), F.col("property_type")))
     )
     stamp = F.current_timestamp().cast("timestamp_ntz") if updated is None else updated
-    return validate(df.withColumn("last_updated", stamp), INTERIM)
+    # staged, so that the rules and the consumer read the finished rows instead of redoing the job
+    return validate(stage(df.withColumn("last_updated", stamp)), INTERIM)

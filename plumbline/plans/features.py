@@ -126,9 +126,14 @@ def label_features(
 
 
 def _cell_rate_without_self(df: DataFrame, known: DataFrame, positive: Column, name: str) -> DataFrame:
-    rates = known.groupBy(COARSE).agg(F.count("*").alias("_n"), F.count_if(positive).alias("_h"))
-    overall = known.agg(F.coalesce(F.avg(positive.cast("double")), F.lit(0.0))).scalar()
+    n_hits = [F.count("*").alias("_n"), F.count_if(positive).alias("_h")]
+    rates = known.groupBy(COARSE).agg(*n_hits)
+    total = known.agg(*n_hits).select(F.struct("_n", "_h")).scalar()
+
+    def share(n: Column, hits: Column) -> Column:
+        n, hits = n - F.col("_own_l"), hits - F.col("_own_y")
+        return F.when(n > 0, hits / F.nullif(n, F.lit(0.0)))
+
     joined = df.join(rates, COARSE, "left")
-    n, h = F.col("_n") - F.col("_own_l"), F.col("_h") - F.col("_own_y")
-    value = F.when(n > 0, h / F.nullif(n, F.lit(0.0)))
-    return joined.withColumn(name, F.coalesce(value, overall)).drop("_n", "_h")
+    value = F.coalesce(share(F.col("_n"), F.col("_h")), share(total["_n"], total["_h"]), F.lit(0.0))
+    return joined.withColumn(name, value).drop("_n", "_h")

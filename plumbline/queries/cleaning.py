@@ -195,7 +195,7 @@ def b20(spark, sf):
 
 @query(
     "b21_whole_days",
-    f"""WITH {DATED} SELECT property_id, CAST(coalesce(greatest(floor((epoch_us(TIMESTAMP '2000-01-01 12:00:00') - epoch_us(inspected_at))/86400000000.0::DOUBLE), 0), 3650) AS DOUBLE) AS days FROM dated""",
+    f"""WITH {DATED} SELECT property_id, CAST(CASE WHEN inspected_at IS NULL THEN 3650 ELSE greatest(floor((epoch_us(TIMESTAMP '2000-01-01 12:00:00') - epoch_us(inspected_at))/86400000000.0::DOUBLE), 0) END AS DOUBLE) AS days FROM dated""",
 )
 def b21(spark, sf):
     as_of = F.lit("2000-01-01 12:00:00").cast("timestamp_ntz")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import is_positive, nonconformity
 from plumbline.operators import conformal as C, equity, metrics as M
-from plumbline.operators.ordered import quantile, running_totals, value_counts
+from plumbline.operators.ordered import quantile
 from plumbline.plans.train import conformal_report
 from plumbline.queries.common import (
     KNOWN, LINE_SCORES, ORDER_SCORES, PROPERTY, known, line_scores, order_scores, properties, query, r6, table,
@@ -126,8 +126,7 @@ def f14(spark, sf):
     "WITH x AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem), h AS (SELECT DISTINCT n, least(1.0::DOUBLE, ceil((n+1)*0.9::DOUBLE)/n)*(n-1) AS h FROM x) SELECT max(x.n) AS n_rows, round(max(v) FILTER (i = floor(h)) + (max(v) FILTER (i = ceil(h)) - max(v) FILTER (i = floor(h)))*(max(h) - floor(max(h))), 6) AS quantile FROM x CROSS JOIN h",
 )
 def f7(spark, sf):
-    counted = value_counts(table(spark, sf, "lineitem"), "l_extendedprice")
-    out = quantile(counted, "l_extendedprice", C.finite_sample_level(F.col("n_rows"), 0.10))
+    out = quantile(table(spark, sf, "lineitem"), "l_extendedprice", C.finite_sample_level(F.col("n_rows"), 0.10))
     return out.select("n_rows", r6(F.col("quantile"), "quantile"))
 
 

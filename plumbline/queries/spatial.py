@@ -141,7 +141,7 @@ def e7(spark, sf):
 
 @query(
     "e8_days_since_last",
-    """SELECT c_custkey, CAST(coalesce(greatest(floor((epoch_us(TIMESTAMP '1996-01-01') - epoch_us(last))/86400000000.0::DOUBLE), 0), 3650) AS DOUBLE) AS days
+    """SELECT c_custkey, CAST(CASE WHEN last IS NULL THEN 3650 ELSE greatest(floor((epoch_us(TIMESTAMP '1996-01-01') - epoch_us(last))/86400000000.0::DOUBLE), 0) END AS DOUBLE) AS days
        FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' GROUP BY o_custkey) ON o_custkey = c_custkey""",
 )
 def e8(spark, sf):
@@ -266,7 +266,7 @@ J2_SQL = f"""WITH {DATED}, {hex_sql('dated', 'h', 531.414)},
   overall AS (SELECT avg(CASE WHEN service_line_material = 'Lead' THEN 1.0 ELSE 0.0 END) AS g, max(inspected_at) AS now FROM train),
   wards AS (SELECT ward, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (service_line_material = 'Lead') AS DOUBLE) AS hits, max(inspected_at) AS last FROM train GROUP BY ward)
   SELECT property_id, metres, round(coalesce(rate, g), 6) AS cell_rate, round(knn10_lead_rate, 6) AS knn, coalesce(n, 0) AS ward_n, coalesce(hits, 0) AS ward_hits,
-    round(coalesce(hits/n, 0), 6) AS ward_rate, CAST(coalesce(greatest(floor((epoch_us(now) - epoch_us(last))/86400000000.0::DOUBLE), 0), 3650) AS DOUBLE) AS days
+    round(coalesce(hits/n, 0), 6) AS ward_rate, CAST(CASE WHEN last IS NULL THEN 3650 ELSE greatest(floor((epoch_us(now) - epoch_us(last))/86400000000.0::DOUBLE), 0) END AS DOUBLE) AS days
   FROM h JOIN near USING (property_id) JOIN knn USING (property_id) LEFT JOIN rates USING (cell) LEFT JOIN wards USING (ward) CROSS JOIN overall"""
 
 
