@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions.scores import clip
+from plumbline.operators.ordered import quantile
 
 
 def equity_boost(
@@ -35,7 +36,7 @@ def equity_boost(
 def quartiles(df: DataFrame, value: str, name: str = "income_quartile") -> DataFrame:
     """Label 1..4 by linear-interpolation quartile edges, closed on the right; repeated edges raise."""
     values = df.where(F.col(value).isNotNull())
-    edges = values.agg(F.percentile(F.col(value), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("_e"))
+    edges = quantile(values, value, [F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)], name="_e")
     repeated = F.size(F.array_distinct("_e")) < 5
     checked = edges.select(
         F.when(repeated, F.raise_error(F.lit("quartile edges must be unique")).cast("array<double>")).otherwise(F.col("_e"))

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.session import stage
 
 BUCKET_ROWS = 500_000
-MAX_BUCKETS = 1024
-HASH_BUCKET_BITS = 12
+MAX_BUCKETS = 4096
+HASH_BUCKET_BITS = 16
 POSITION_BITS = 33
 
 
@@ -127,16 +127,17 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "rank") ->
 
 
 def quantile(
-    df: DataFrame, value: str, level: Column, by: Sequence[str] = (), name: str = "quantile", bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, value: str, level: Column | Sequence[Column], by: Sequence[str] = (), name: str = "quantile",
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Linear-interpolation quantile at a data-dependent level: one row (by..., n_rows, name).
+    """Linear-interpolation quantile at data-dependent levels: one row (by..., n_rows, name).
 
-    `level` may use the column `n_rows`. Exact: reads the values at positions floor(h) and ceil(h) with
-    h = level * (n_rows - 1). Rows are collapsed to one per distinct value, and only the range buckets that
-    hold a wanted position are ordered.
+    A level may use the column `n_rows`; for several levels `name` is an array in their order. Exact: reads
+    the values at positions floor(h) and ceil(h) with h = level * (n_rows - 1). Rows are collapsed to one per
+    distinct value, and only the range buckets that hold a wanted position are ordered.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    counts = stage(counts)
+    levels = [level] if isinstance(level, Column) else list(level)
+    counts = stage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")))
     splits = _range_buckets(counts, value, bucket_rows)
     keyed = _bucketed(counts, value, splits) if splits else counts.withColumn("_bucket", F.lit(0))
     keys = [*by, "_bucket"]
@@ -145,16 +146,20 @@ def quantile(
     mine = Window.partitionBy(*by)
     earlier = F.sum("_size").over(mine.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     at = sizes.select(*keys, "_size", F.coalesce(earlier, F.lit(0)).alias("_skip"), F.sum("_size").over(mine).alias("n_rows"))
-    at = at.withColumn("_h", level * (F.col("n_rows") - 1))
-    at = at.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
+    position = lambda q: (q.cast("double") * (F.col("n_rows") - 1)).alias("_h")
+    asked = F.array(*[F.struct(F.lit(i).alias("_i"), position(q)) for i, q in enumerate(levels)])
+    at = at.select("*", F.inline(asked)).withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
     wanted = lambda p: (F.col("_skip") <= F.col(p)) & (F.col(p) < F.col("_skip") + F.col("_size"))
-    at = at.where(wanted("_lo") | wanted("_hi"))
-    rows = keyed.join(at, keys)
-    end = F.col("_skip") + F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    rows = keyed.join(at.where(wanted("_lo") | wanted("_hi")), keys)
+    end = F.col("_skip") + F.sum("n").over(Window.partitionBy(*keys, "_i").orderBy(value))
     rows = rows.withColumn("_end", end)
     holds = lambda p: (F.col("_end") - F.col("n") <= F.col(p)) & (F.col(p) < F.col("_end"))
-    picked = rows.groupBy(*by, "n_rows", "_h", "_lo").agg(
+    picked = rows.groupBy(*by, "n_rows", "_i", "_h", "_lo").agg(
         F.max(F.when(holds("_lo"), F.col(value))).alias("_v0"), F.max(F.when(holds("_hi"), F.col(value))).alias("_v1")
     )
     exact = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_lo"))
-    return picked.select(*by, "n_rows", exact.alias(name))
+    picked = picked.select(*by, "n_rows", "_i", exact.alias(name))
+    if isinstance(level, Column):
+        return picked.drop("_i")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("_i", name))), lambda e: e[name])
+    return picked.groupBy(*by, "n_rows").agg(values.alias(name))

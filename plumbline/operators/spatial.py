@@ -150,13 +150,14 @@ def _leaf_pairs(q_cells: DataFrame, r_cells: DataFrame, k: int, levels: Sequence
         done = closed if done is None else done.unionByName(closed)
         if level == levels[-1]:
             break
-        still = pairs.where("open").select(F.col("qcode").alias("qparent"), *r_state)
+        # split the reference side and prune against the undivided query cell before splitting that as well
+        still = pairs.where("open").select("qcode", *q_box, *r_state)
         below = level + STEP_BITS
         children = r_cells.where(F.col("rlevel") == below).select("rparent", *r_state)
-        split = still.where(~F.col("rleaf")).select("qparent", F.col("rcode").alias("rparent"))
-        spread = split.join(children, "rparent").select("qparent", *r_state)
-        spread = spread.unionByName(still.where("rleaf"))
-        pairs = q_cells.where(F.col("qlevel") == below).join(spread, "qparent")
+        split = still.where(~F.col("rleaf")).select("qcode", *q_box, F.col("rcode").alias("rparent"))
+        spread = split.join(children, "rparent").drop("rparent").unionByName(still.where("rleaf"))
+        near = _prune(spread, k).select(F.col("qcode").alias("qparent"), *r_state)
+        pairs = q_cells.where(F.col("qlevel") == below).join(near, "qparent")
     return done
 
 

@@ -107,13 +107,13 @@ def spatial_temporal_split(df: DataFrame, group: str, at: str, cutoff: Column, p
 def split_metadata(
     df: DataFrame, mode: str, at: str | None = None, group: str | None = None, min_test_rows: int | None = None
 ) -> DataFrame:
-    """One row: sizes, held-out groups, boundary times and the sample status."""
+    """One row: sizes, number of held-out groups, boundary times and the sample status."""
     here = lambda part: F.col("split") == part
     columns = [F.lit(mode).alias("split_mode"), F.count("*").alias("total_labeled_rows")]
     columns += [F.count_if(here(p)).alias(f"{p}_rows") for p in ("train", "calibration", "test")]
     if group:
         for p in ("calibration", "test"):
-            columns.append(F.sort_array(F.collect_set(F.when(here(p), F.col(group)))).alias(f"{p}_groups"))
+            columns.append(F.count_distinct(F.when(here(p), F.col(group))).alias(f"{p}_groups"))
     if at:
         columns += [
             F.max(F.when(here("train"), F.col(at))).alias("train_max_at"),
@@ -125,6 +125,11 @@ def split_metadata(
     return out.withColumn("status", F.when(short, "INSUFFICIENT_SAMPLE").otherwise("OK"))
 
 
+def split_groups(df: DataFrame, group: str) -> DataFrame:
+    """The groups of each part, one row each."""
+    return df.where(F.col("split").isNotNull()).select("split", group).distinct()
+
+
 def split_invariants(
     df: DataFrame, row_id: str, at: str | None = None, cutoff: Column | None = None, group: str | None = None
 ) -> DataFrame:

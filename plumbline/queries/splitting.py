@@ -100,8 +100,8 @@ def i5(spark, sf):
     "i6_split_metadata",
     f"""{ROWS}, {HELD}, s AS (SELECT *, coalesce(part, 'train') AS split FROM lab LEFT JOIN held USING (ward))
       SELECT 'geographic' AS split_mode, count(*) AS total_labeled_rows, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'calibration') AS calibration_rows,
-        count(*) FILTER (split = 'test') AS test_rows, array_to_string(list_sort(list(DISTINCT ward) FILTER (split = 'calibration')), ',') AS calibration_groups,
-        array_to_string(list_sort(list(DISTINCT ward) FILTER (split = 'test')), ',') AS test_groups,
+        count(*) FILTER (split = 'test') AS test_rows, count(DISTINCT ward) FILTER (split = 'calibration') AS calibration_groups,
+        count(DISTINCT ward) FILTER (split = 'test') AS test_groups,
         CAST(epoch_us(max(inspected_at) FILTER (split = 'train')) AS BIGINT) AS train_max_us, CASE WHEN count(*) FILTER (split = 'test') < 100 THEN 'INSUFFICIENT_SAMPLE' ELSE 'OK' END AS status FROM s""",
 )
 def i6(spark, sf):
@@ -109,11 +109,17 @@ def i6(spark, sf):
     parted = P.by_groups(rows, "ward", P.holdout_groups(rows, "ward", key=mixed(F.col("ward"))))
     meta = P.split_metadata(parted, "geographic", "inspected_at", "ward", 100)
     return meta.select(
-        "split_mode", "total_labeled_rows", "train_rows", "calibration_rows", "test_rows", F.array_join("calibration_groups", ",").alias("calibration_groups"),
-        F.array_join("test_groups", ",").alias("test_groups"), F.unix_micros(F.col("train_max_at").cast("timestamp")).alias("train_max_us"), "status",
+        "split_mode", "total_labeled_rows", "train_rows", "calibration_rows", "test_rows", "calibration_groups", "test_groups",
+        F.unix_micros(F.col("train_max_at").cast("timestamp")).alias("train_max_us"), "status",
     )
 
 
+@query("i6_split_groups", f"{ROWS}, {HELD} SELECT DISTINCT coalesce(part, 'train') AS split, ward FROM lab LEFT JOIN held USING (ward)")
+def i6_groups(spark, sf):
+    rows = labelled(spark, sf)
+    return P.split_groups(P.by_groups(rows, "ward", P.holdout_groups(rows, "ward", key=mixed(F.col("ward")))), "ward")
+
+
 @query(
     "i7_inner_validation",
     f"""{ROWS}, g AS (SELECT DISTINCT ward FROM lab), gr AS (SELECT ward, row_number() OVER (ORDER BY {mixed_sql('ward', 7)}, ward) AS rk, greatest(1, floor(count(*) OVER () / 10)) AS m FROM g)

@@ -17,6 +17,7 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: obj
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         "spark.ui.enabled": "false",
         **{k: str(v) for k, v in conf.items()},
     }
