@@ -139,7 +139,8 @@ def quantile(
     levels = [level] if isinstance(level, Column) else list(level)
     counts = stage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")))
     splits = _range_buckets(counts, value, bucket_rows)
-    keyed = _bucketed(counts, value, splits) if splits else counts.withColumn("_bucket", F.lit(0))
+    # unsplit, the bucket is 0 but read from the data: a literal key would turn the join below into a nested loop
+    keyed = _bucketed(counts, value, splits) if splits else counts.withColumn("_bucket", F.shiftright("n", 63))
     keys = [*by, "_bucket"]
     sizes = keyed.groupBy(*keys).agg(F.sum("n").alias("_size"))
     # one row per group and bucket from here on
