@@ -29,7 +29,6 @@ SHARDS = 64
 BLOCK_ROWS = 256
 SEED = 7
 BROADCAST_SOURCES = 20_000
-ZERO = F.lit(0).cast("long")
 
 
 def word_count(column: str) -> Column:
@@ -155,7 +154,7 @@ def plan_mix(
 
     # a token is one pass over a block; the last pass may take a part of the block's rows only
     last = F.col("passes") - F.when(F.col("room") > 0, 0).otherwise(1)
-    tokens = blocks.select("key", "block", F.explode(F.when(last >= 0, F.sequence(ZERO, last))).alias("pass"))
+    tokens = blocks.select("key", "block", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))).alias("pass"))
     tokens = written(tokens, "tokens")
     shares = split_quotas(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("q")), shards, seed)
     shares = shares.withColumn("end", F.sum("q").over(Window.partitionBy("key").orderBy("shard")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import exact_dedup, license_scan, mixing, pii_scan, secret_scan
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
+from plumbline.session import checkpoint_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -29,3 +32,42 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf, "documents"))
     taken = F.size("shards").cast("long") * F.col("size")
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query("op2_pii_scan")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii_scan.KINDS], F.sha2(pii_scan.digest(F.col("base")), 256).alias("base_sha256"),
+        pii_scan.digest(F.concat("base", "discovered")).alias("spans"), F.size("discovered").cast("long").alias("n_discovered"),
+    )
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first_word"])
+    # one edit in k allowed ones costs 1 / (k + 1); an exact notice or a base phrase scores 1
+    likeness = F.transform("spans", lambda s: 1 / (1 + s["edits"].cast("double")))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = f"{checkpoint_folder(spark)}/llm-ledger-{uuid.uuid4().hex}"
+    found = secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text"), ledger)
+    base = tuple(r.name for r in secret_scan.BASE)
+    every = tuple(r.name for r in secret_scan.RULES)
+    f = F.col("findings")
+    return found.select(
+        "doc_id", *[secret_scan.count_of(f, k).alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.digest(f, base), 256).alias("base_sha256"), secret_scan.digest(f, every).alias("spans"),
+        F.lower(F.hex("blob")).alias("blob"),
+    )
