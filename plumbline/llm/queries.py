@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import exact_dedup, license_scan, mixing, pii_scan, secret_scan
+from plumbline.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, secret_scan
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -71,3 +71,16 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secret_scan.digest(f, base), 256).alias("base_sha256"), secret_scan.digest(f, every).alias("spans"),
         F.lower(F.hex("blob")).alias("blob"),
     )
+
+
+@query("op3_pattern_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Target: documents labelled as good; background: all."""
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.fit(lm_scoring.marked(docs, good)))
