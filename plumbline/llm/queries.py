@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, secret_scan
+from plumbline.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -84,3 +84,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lm_scoring.score(docs, lm_scoring.fit(lm_scoring.marked(docs, good)))
+
+
+@query("op4_quality_cotraining")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf, "labels").select("doc_id", "quality")))
+    kept = F.col("score") >= quality.THRESHOLD
+    return out.select("doc_id", "content_score", "page_score", "score", kept.alias("kept"))
