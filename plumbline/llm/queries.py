@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
+from plumbline.llm import embedding_dedup, exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -92,3 +92,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.score(docs, quality.fit(docs, table(spark, sf, "labels").select("doc_id", "quality")))
     kept = F.col("score") >= quality.THRESHOLD
     return out.select("doc_id", "content_score", "page_score", "score", kept.alias("kept"))
+
+
+@query("op8_graph_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_groups(table(spark, sf, "embeddings"))
