@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import embedding_dedup, exact_dedup, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
+from plumbline.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -97,3 +97,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_graph_dedup")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_groups(table(spark, sf, "embeddings"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
