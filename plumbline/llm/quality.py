@@ -23,11 +23,13 @@ from plumbline.llm.tables import free, text_or_empty, written
 
 LABELLED = 20_000
 POOL = 20_000
-ROUNDS = 3
+ROUNDS = 2
 SURE = 0.97
 THRESHOLD = 0.5
 WORD_BUCKETS = 512
 PAGE_BUCKETS = 256
+STEPS = 25
+PARTITIONS = 8
 VIEWS = ("content", "page")
 
 
@@ -101,7 +103,9 @@ def fit(
     # at most labelled + pool ids, whatever the input
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(F.broadcast(wanted), F.col(f"`{doc_id}`") == F.col("_id"))
     rows = with_views(rows, text, **columns).select("_id", "_label", "_content", "_page").dropDuplicates(["_id"])
-    rows = written(rows.withColumn("_held", F.pmod(F.xxhash64(F.lit("held"), "_id"), F.lit(5)) == 0), "views")
+    # a bounded table: few partitions, which the fits go over again and again
+    rows = rows.withColumn("_held", F.pmod(F.xxhash64(F.lit("held"), "_id"), F.lit(5)) == 0).repartition(PARTITIONS, "_id")
+    rows = written(rows, "views")
     counts = {(r["_label"], r["_held"]): r["count"] for r in rows.where("_label IS NOT NULL").groupBy("_label", "_held").count().collect()}
     n = sum(counts.values())
     share = sum(v for (k, _), v in counts.items() if k > 0) / n if n else 1.0
@@ -109,7 +113,7 @@ def fit(
         return Classifier({}, {}, 0.0, share)
     train = rows.where("_label IS NOT NULL AND NOT _held")
     unlabelled = rows.where("_label IS NULL")
-    regression = lambda view: LogisticRegression(featuresCol=f"_{view}", labelCol="_label", maxIter=60, regParam=1e-4)
+    regression = lambda view: LogisticRegression(featuresCol=f"_{view}", labelCol="_label", maxIter=STEPS, tol=1e-4, regParam=1e-4)
     models = {v: regression(v).fit(train) for v in VIEWS}
     taught = dict.fromkeys(VIEWS, train)
     for r in range(rounds):
@@ -124,7 +128,7 @@ def fit(
     for v in VIEWS:
         scored = _margin(models[v], v, held, "_m").withColumn("_m", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_m"))))
         scored = VectorAssembler(inputCols=["_m"], outputCol="_v").transform(scored)
-        line = LogisticRegression(featuresCol="_v", labelCol="_label", maxIter=60, regParam=1e-3, standardization=True).fit(scored)
+        line = LogisticRegression(featuresCol="_v", labelCol="_label", maxIter=STEPS, tol=1e-4, regParam=1e-3).fit(scored)
         calibration[v] = max(0.0, float(line.coefficients[0])), float(line.intercept)
     good = counts[1.0, True] / (counts[1.0, True] + counts[0.0, True])
     return Classifier(models, calibration, _log_odds(good), share)
