@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.operators.ordered import quantile
+from plumbline.session import stage
 
 
 def check_alpha(alpha: float) -> float:
@@ -30,8 +31,12 @@ def group_thresholds(
 ) -> DataFrame:
     """One row per listed group; a group with fewer than `min_rows` scores takes the global threshold."""
     level = finite_sample_level(F.col("n_rows"), check_alpha(alpha))
-    own = quantile(scores, score, level, [group], "_own")
-    overall = thresholds(scores, score, alpha).select("threshold").scalar()
+    # every row counts for its group and for the whole table, so that one pass gives both
+    twice = scores.select(score, group, F.explode(F.array(F.lit(False), F.lit(True))).alias("_whole"))
+    twice = twice.withColumn(group, F.when(~F.col("_whole"), F.col(group)))
+    found = stage(quantile(twice, score, level, ["_whole", group], "_own"))
+    own = found.where("NOT _whole").drop("_whole")
+    overall = found.where("_whole").select("_own").scalar()
     kind = scores.schema[group].dataType.simpleString()
     listed = scores.sparkSession.createDataFrame([(g,) for g in groups], f"{group} {kind}")
     joined = listed.join(own, group, "left")

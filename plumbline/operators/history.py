@@ -32,11 +32,13 @@ def group_stats(reference: DataFrame, group: str, positive: Column, at: str | No
 def as_of_history(df: DataFrame, group: str, at: str, positive: Column, labelled: Column) -> DataFrame:
     """Per row: labelled count, positives and last labelled time in its group strictly before its own time.
 
-    Rows of one (group, time) are collapsed first and running sums go through range buckets, so neither a
-    hot group nor a hot timestamp is collected into one task.
+    Every row stays: one without a time or a group has no history (0, 0, null) and adds to none. Rows of one
+    (group, time) are collapsed first and running sums go through ranges, so neither a hot group nor a hot
+    timestamp is collected into one task.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    known = df.where(F.col(at).isNotNull()).withColumn("_t", micros)
+    timed = df.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    placed = F.col("_t").isNotNull() & F.col(group).isNotNull()
+    known, unplaced = timed.where(placed), timed.where(~placed)
     moments = known.groupBy(group, "_t").agg(
         F.count_if(labelled).alias("prior_count"), F.count_if(labelled & positive).alias("prior_positives")
     )
@@ -51,7 +53,8 @@ def as_of_history(df: DataFrame, group: str, at: str, positive: Column, labelled
         group, "_t", "_hit_before", *[F.col(f"{c}_before").alias(c) for c in totals if c != "_hit"]
     )
     keyed = keyed.join(hits, [group, "_hit_before"], "left").drop("_hit_before")
-    return known.join(keyed, [group, "_t"]).drop("_t")
+    none = {"prior_count": F.lit(0).cast("long"), "prior_positives": F.lit(0).cast("long"), "prior_last_us": F.lit(None).cast("long")}
+    return known.join(keyed, [group, "_t"]).drop("_t").unionByName(unplaced.withColumns(none).drop("_t"))
 
 
 def days_since_last(

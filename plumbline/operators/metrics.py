@@ -80,6 +80,15 @@ def recall_at_share(df: DataFrame, y: str, p: str, row_id: str, share: float = 0
     return sizes.select(F.when(F.col("n_pos") > 0, found / F.nullif("n_pos", F.lit(0))).otherwise(NAN).alias("recall"))
 
 
+def threshold_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """F2 at a threshold and Brier score in one aggregation: neither needs an order."""
+    hit, positive = F.col(p) >= threshold, F.col(y) == 1
+    tp, fp, fn = F.count_if(hit & positive), F.count_if(hit & ~positive), F.count_if(~F.coalesce(hit, F.lit(False)) & positive)
+    off = F.col(p) - F.col(y)
+    sums = df.groupBy(*by).agg(tp.alias("_tp"), fp.alias("_fp"), fn.alias("_fn"), (F.sum(off * off) / F.count("*")).alias("brier_score"))
+    return sums.select(*by, _f2(F.col("_tp"), F.col("_fp"), F.col("_fn")).alias("f2"), "brier_score")
+
+
 def compute_metrics(
     df: DataFrame, y: str, p: str, row_id: str, threshold: float = 0.5, share: float = 0.20, prefix: str = ""
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions.scores import unit_hash
-from plumbline.operators.ordered import global_rank, hash_rank, running_totals
+from plumbline.operators.ordered import global_rank, hash_rank, null_safe_join, running_totals
 from plumbline.session import stage
 
 MODES = ("random", "geographic", "temporal", "spatial-temporal")
@@ -20,12 +20,12 @@ def random_split(
     df: DataFrame, row_id: str, stratum: Column, test: float = PART_SHARE, calibration: float = PART_SHARE,
     seed: int = fv.SEED, key: Column | None = None,
 ) -> DataFrame:
-    """Stratified: within each stratum the rows are ranked by hash and cut at exact counts."""
+    """Stratified: within each stratum (null is one) the rows are ranked by hash and cut at exact counts."""
     key = unit_hash(F.col(row_id), seed) if key is None else key
     rows = df.withColumn("_stratum", stratum)
     ranked = hash_rank(rows, key, row_id, ["_stratum"], "_rank")
     sizes = rows.groupBy("_stratum").agg(F.count("*").alias("_n"))
-    joined = ranked.join(sizes, "_stratum")
+    joined = null_safe_join(ranked, sizes, ["_stratum"])
     n_test = F.round(F.col("_n") * test)
     n_cal = F.round(F.col("_n") * calibration)
     part = (
@@ -85,12 +85,14 @@ def temporal_split(
     df: DataFrame, at: str, cutoff: Column, row_id: str, test_start: Column | None = None, test_end: Column | None = None
 ) -> DataFrame:
     """Train before the cutoff. After it: calibration up to `test_start`, test in [test_start, test_end);
-    without those bounds the later rows are halved in time order (ties by id)."""
+    without those bounds the later rows are halved in time order (ties by id). Undated rows have no part."""
     when = F.col(at)
     if test_start is not None and test_end is not None:
         part = F.when(when < cutoff, "train").when(when >= cutoff, _future_part(when, test_start, test_end))
         return df.withColumn("split", part)
-    past = df.where(when < cutoff).withColumn("split", F.lit("train"))
+    # only a row that is surely later takes part in the halving
+    rest = df.where(~F.coalesce(when >= cutoff, F.lit(False)))
+    past = rest.withColumn("split", F.when(when < cutoff, "train"))
     future = global_rank(df.where(when >= cutoff), [F.asc(at), F.asc(row_id)], "_rank")
     half = F.floor(future.agg(F.count("*")).scalar() / 2)
     part = F.when(F.col("_rank") <= half, "calibration").otherwise("test")

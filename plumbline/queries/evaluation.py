@@ -45,12 +45,28 @@ def i9_group(spark, sf):
     f"WITH {LINE_SCORES}, k AS (SELECT count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn FROM scores) SELECT round(CASE WHEN 5*tp+4*fn+fp > 0 THEN 5*tp/(5*tp+4*fn+fp) ELSE 0 END, 6) AS f2 FROM k",
 )
 def i11(spark, sf):
-    return M.profile_metrics(M.score_profile(line_scores(spark, sf), "y", "p")).select(r6(F.col("f2"), "f2"))
+    return M.threshold_metrics(line_scores(spark, sf), "y", "p").select(r6(F.col("f2"), "f2"))
 
 
 @query("i12_brier", f"WITH {LINE_SCORES} SELECT round(avg((p-y)*(p-y)), 6) AS brier_score FROM scores")
 def i12(spark, sf):
-    return M.profile_metrics(M.score_profile(line_scores(spark, sf), "y", "p")).select(r6(F.col("brier_score"), "brier_score"))
+    return M.threshold_metrics(line_scores(spark, sf), "y", "p").select(r6(F.col("brier_score"), "brier_score"))
+
+
+@query(
+    "i9_metrics_by_group_with_nulls",
+    f"""WITH {LINE_SCORES}, n AS (SELECT y, CASE WHEN p < 0.05 THEN NULL ELSE p END AS p, CASE WHEN p > 0.5 THEN part END AS part FROM scores),
+      g AS (SELECT part, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM n GROUP BY part, p),
+      t AS (SELECT part, sum(pos) AS np, sum(n) AS nn FROM g GROUP BY part),
+      c AS (SELECT g.*, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, np, nn FROM g JOIN t ON g.part IS NOT DISTINCT FROM t.part WINDOW w AS (PARTITION BY g.part ORDER BY p DESC NULLS LAST))
+      SELECT part, round({AP}, 6) AS pr_auc, round({ROC}, 6) AS roc_auc FROM c GROUP BY part""",
+)
+def i9_nulls(spark, sf):
+    """Null scores rank last, and rows of no group are a group."""
+    p = F.col("p")
+    rows = line_scores(spark, sf).withColumns({"part": F.when(p > 0.5, F.col("part")), "p": F.when(p >= 0.05, p)})
+    out = M.profile_metrics(M.score_profile(rows, "y", "p", ["part"]), by=["part"])
+    return out.select("part", r6(F.col("pr_auc"), "pr_auc"), r6(F.col("roc_auc"), "roc_auc"))
 
 
 RECALL = "SELECT sum(y) FILTER (rk <= greatest(1, floor(n*0.2::DOUBLE))) / sum(y) FROM (SELECT y, row_number() OVER (ORDER BY p DESC, id) AS rk, count(*) OVER () AS n FROM scores)"
