@@ -21,8 +21,8 @@ def stable_id(text: Column, qualifier: Column, prefix: str = fv.ID_PREFIX) -> Co
 
 
 def event_id(key: Column, at: Column, prefix: str = fv.INSPECTION_ID_PREFIX) -> Column:
-    """Replayable record id: hash of key and event time."""
-    raw = F.concat(key.cast("string"), at.cast("string"))
+    """Replayable record id: hash of key and event time in microseconds, the same in every time zone."""
+    raw = F.concat(key.cast("string"), F.unix_micros(at.cast("timestamp")).cast("string"))
     return F.concat(F.lit(prefix), F.substring(F.sha2(raw, 256), 1, fv.ID_HEX_DIGITS))
 
 

@@ -29,8 +29,12 @@ def training_matrix(
 
 
 def balanced(df: DataFrame, positives_only: bool = False) -> DataFrame:
-    """Weights that balance the classes: n / (2 n_c), or n_neg / n_pos on positives alone."""
-    counts = df.agg(F.count("*").alias("n"), F.sum(LABEL).alias("p")).select(F.struct("*")).scalar()
+    """Weights that balance the classes: n / (2 n_c), or n_neg / n_pos on positives alone.
+
+    Rows marked in `is_validation` are weighted like the others but do not count.
+    """
+    counted = df.where(~F.col(VALIDATION)) if VALIDATION in df.columns else df
+    counts = counted.agg(F.count("*").cast("double").alias("n"), F.sum(LABEL).alias("p")).select(F.struct("*")).scalar()
     n, p = counts.getField("n"), counts.getField("p")
     if positives_only:
         w = F.when((F.col(LABEL) == 1) & (p > 0), (n - p) / F.nullif(p, F.lit(0.0))).otherwise(1.0)

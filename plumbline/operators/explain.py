@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.scores import unit_hash
-
 
 def linear_attributions(weights: Mapping[str, float], means: Mapping[str, float]) -> Column:
     """Exact attributions of a linear score: weight * (value - mean)."""
@@ -30,10 +28,9 @@ def top_contributions(attributions: Column, n: int = 5) -> Column:
     return F.transform(best, lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution")))
 
 
-def global_importance(df: DataFrame, attributions: str, row_id: str, max_rows: int | None = 1000, seed: int = 42) -> DataFrame:
-    """Mean absolute contribution per feature over a hash sample of rows (the summary's own row limit)."""
-    rows = df if max_rows is None else df.orderBy(unit_hash(F.col(row_id), seed), row_id).limit(max_rows)
-    parts = rows.select(F.inline(attributions))
+def global_importance(df: DataFrame, attributions: str) -> DataFrame:
+    """Mean absolute contribution per feature over all rows."""
+    parts = df.select(F.inline(attributions))
     return parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
 
 

@@ -107,9 +107,10 @@ def spatial_temporal_split(df: DataFrame, group: str, at: str, cutoff: Column, p
 
 
 def split_metadata(
-    df: DataFrame, mode: str, at: str | None = None, group: str | None = None, min_test_rows: int | None = None
+    df: DataFrame, mode: str, at: str | None = None, group: str | None = None, min_test_rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: sizes, number of held-out groups, boundary times and the sample status."""
+    """One row (or one per `by`): sizes, number of held-out groups, boundary times and the sample status."""
     here = lambda part: F.col("split") == part
     columns = [F.lit(mode).alias("split_mode"), F.count("*").alias("total_labeled_rows")]
     columns += [F.count_if(here(p)).alias(f"{p}_rows") for p in ("train", "calibration", "test")]
@@ -122,7 +123,7 @@ def split_metadata(
             F.max(F.when(here("calibration"), F.col(at))).alias("calibration_max_at"),
             F.min(F.when(here("test"), F.col(at))).alias("test_min_at"),
         ]
-    out = df.agg(*columns)
+    out = df.groupBy(*by).agg(*columns)
     short = F.col("test_rows") < F.lit(min_test_rows if min_test_rows is not None else 0)
     return out.withColumn("status", F.when(short, "INSUFFICIENT_SAMPLE").otherwise("OK"))
 

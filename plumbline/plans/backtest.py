@@ -11,7 +11,7 @@ from plumbline.config import ScoringConfig, TrainConfig
 from plumbline.functions.scores import is_positive, unit_hash
 from plumbline.models import pipelines as ml
 from plumbline.operators.metrics import profile_metrics, score_profile
-from plumbline.operators.ordered import hash_rank, top_k
+from plumbline.operators.ordered import global_rank, hash_rank
 from plumbline.plans.features import LABEL_FEATURES, label_features
 from plumbline.plans.scoring import with_priority
 from plumbline.session import stage
@@ -104,10 +104,12 @@ def curve_from_rounds(rounds: DataFrame, start: int, cost: float) -> DataFrame:
 
 
 def precision_at_budgets(df: DataFrame, y: str, score: str, row_id: str, budgets: Sequence[float], cost: float) -> DataFrame:
-    """Share of positives among the rows each budget pays for."""
-    sizes = [(float(b), int(b // cost)) for b in budgets]
+    """Share of positives among the rows each budget pays for; at no cost, every budget pays for all."""
+    if cost < 0:
+        raise ValueError(f"cost must not be negative: {cost}")
+    sizes = [(float(b), int(b // cost) if cost else 2**62) for b in budgets]
     reach = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_usd"), F.lit(k).alias("k")) for b, k in sizes]))
-    ranked = top_k(df.select(row_id, score, y), [F.desc(score), F.asc(row_id)], max(k for _, k in sizes))
+    ranked = global_rank(df.select(row_id, score, y), [F.desc(score), F.asc(row_id)])
     rows = ranked.withColumn("_b", reach).where(F.col("rank") <= F.col("_b.k"))
     return rows.groupBy(F.col("_b.budget_usd").alias("budget_usd")).agg(
         F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("precision")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions.geo import hex_cell
@@ -74,7 +74,8 @@ def label_features(
     own = None
     if exclude_self:
         own = reference.select(
-            row_id, positive.cast("double").alias("_own_y"), labelled.cast("double").alias("_own_l")
+            row_id, positive.cast("double").alias("_own_y"), labelled.cast("double").alias("_own_l"),
+            (F.col(at) if dated else F.lit(None).cast("timestamp_ntz")).alias("_own_at"),
         )
         out = out.join(own, row_id, "left").na.fill(0.0, ["_own_l"]).withColumn("_own_in", F.col("_own_y").isNotNull().cast("double"))
         out = out.na.fill(0.0, ["_own_y"])
@@ -114,6 +115,8 @@ def label_features(
             out = out.withColumns({grouped["count"]: n, grouped["positives"]: hits})
             left, found = F.col(grouped["count"]), F.col(grouped["positives"])
             out = out.withColumn(grouped["rate"], history.rate(found, F.nullif(left, F.lit(0.0))))
+            if dated:
+                out = _last_without_self(out, reference, group, at)
         if dated:
             now = reference.agg(F.coalesce(F.max(at), F.current_timestamp().cast("timestamp_ntz"))).scalar() if as_of is None else as_of
             days = whole_days_between(F.col("_last_in_group"), now)
@@ -125,6 +128,18 @@ def label_features(
     return out.withColumnRenamed("_sealed", label)
 
 
+def _last_without_self(df: DataFrame, reference: DataFrame, group: str, at: str) -> DataFrame:
+    """Replaces `_last_in_group` of a row that alone holds the group's last time by the time before it."""
+    moments = reference.where(F.col(at).isNotNull()).groupBy(group, F.col(at).alias("_at")).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_at")))
+    two = moments.withColumn("_r", rank).where("_r <= 2").groupBy(group).agg(
+        F.max(F.when(F.col("_r") == 1, F.col("_n"))).alias("_holders"), F.max(F.when(F.col("_r") == 2, F.col("_at"))).alias("_earlier")
+    )
+    alone = (F.col("_own_at") == F.col("_last_in_group")) & (F.col("_holders") == 1)
+    joined = df.join(two, group, "left")
+    return joined.withColumn("_last_in_group", F.when(alone, F.col("_earlier")).otherwise(F.col("_last_in_group"))).drop("_holders", "_earlier")
+
+
 def _cell_rate_without_self(df: DataFrame, known: DataFrame, positive: Column, name: str) -> DataFrame:
     n_hits = [F.count("*").alias("_n"), F.count_if(positive).alias("_h")]
     rates = known.groupBy(COARSE).agg(*n_hits)

@@ -12,6 +12,7 @@ from plumbline.operators.conformal import prediction_set
 from plumbline.operators.equity import equity_boost
 from plumbline.operators.explain import top_contributions
 from plumbline.operators.lookup import restrict
+from plumbline.operators.ordered import global_rank, top_k
 from plumbline.operators.queue import affordable, budget_queue
 
 QUEUE_COLUMNS = (
@@ -77,11 +78,10 @@ def prediction_records(
     )
 
 
-def rank_ids(records: DataFrame, limit: int = 500, columns: Sequence[str] = ()) -> DataFrame:
-    """Records of an id list, best first, as the dashboard shows them."""
-    from plumbline.operators.ordered import top_k
-
-    best = top_k(records, [F.desc("priority_score"), F.asc("property_id")], limit)
+def rank_ids(records: DataFrame, limit: int | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """Records of an id list, best first, as the dashboard shows them; all of them unless a report sets `limit`."""
+    order = [F.desc("priority_score"), F.asc("property_id")]
+    best = global_rank(records, order) if limit is None else top_k(records, order, limit)
     first = F.get(F.col("shap_top_features"), 0)["feature"]
     return best.select(
         "rank", "property_id", "priority_score", "p_lead_calibrated", "uncertainty_score",

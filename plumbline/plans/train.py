@@ -14,6 +14,7 @@ from plumbline.functions.scores import cutoff_heuristic, nonconformity
 from plumbline.models import pipelines as ml
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
+from plumbline.operators import impute
 from plumbline.operators.conformal import check_alpha, coverage, group_thresholds, thresholds, with_threshold
 from plumbline.operators.explain import global_importance, top_contributions
 from plumbline.operators.metrics import compute_metrics, improvement_gate
@@ -43,11 +44,13 @@ def prepare(
     base: DataFrame, mode: str, features: Sequence[str], row_id: str = "property_id", label: str = "service_line_material",
     cutoff: str | None = None, exclude_self: bool = True, min_test_rows: int | None = 100, key: Column | None = None, **split: object,
 ) -> Prepared:
-    """Split the labelled rows, then build label features from the training rows for all parts in one pass."""
+    """Split the labelled rows, fill gaps with values of the training rows, then build label features from the
+    training rows for all parts in one pass."""
     known = F.col(label).isin(*fv.KNOWN_LABELS)
     rows, meta = split_dataset(
         base, mode, row_id, label, known, cutoff=cutoff, min_test_rows=min_test_rows, key=key, **split
     )
+    rows = stage(impute.apply(rows, impute.fit(rows.where(F.col("split") == "train"))))
     wanted = [f for f in features if f in LABEL_FEATURES]
     if wanted:
         as_of = F.lit(cutoff).cast("timestamp_ntz") if cutoff else None
@@ -85,15 +88,16 @@ class Trained:
 
 def train_boosted(data: Prepared, cfg: TrainConfig = TrainConfig(), search: bool = False, mode: str = "geographic", key: Column | None = None) -> Trained:
     """Fit boosted trees on the training rows (early stopping on calibration rows), calibrate on CAL."""
-    features, trials = data.features, None
+    features, trials, tuned = data.features, None, {}
     if search:
         marked = inner_validation(data.part("train"), data.row_id, mode, seed=cfg.seed, key=key)
         parts = [ml.training_matrix(marked.where(c), features, data.label) for c in ("not is_validation", "is_validation")]
         best, trials = ml.search_boosted(*parts, features, cfg)
         cfg = dataclasses.replace(cfg, max_depth=best["max_depth"], learning_rate=best["learning_rate"], subsample=best["subsample"])
+        tuned = {"min_instances": best["min_instances"], "feature_share": best["feature_share"]}
     train = data.matrix("train").withColumn(ml.VALIDATION, F.lit(False))
     watch = data.matrix("calibration").withColumn(ml.VALIDATION, F.lit(True))
-    model = ml.fit_boosted(train.unionByName(watch), features, cfg, early_stopping=True)
+    model = ml.fit_boosted(train.unionByName(watch), features, cfg, early_stopping=True, **tuned)
     calibration = fit_sigmoid(ml.score(model, data.matrix("calibration"), "p_raw"), "p_raw", ml.LABEL)
     return Trained(model, calibration, features, trials)
 
@@ -113,6 +117,7 @@ def propensity(df: DataFrame, features: Sequence[str], row_id: str, label: str,
 
     seen = df.withColumn(ml.LABEL, is_known(F.col(label)).cast("double"))
     parted = stage(random_split(seen, row_id, F.col(ml.LABEL), test=0.2, calibration=0.0, key=key))
+    parted = stage(impute.apply(parted, impute.fit(parted.where("split = 'train'"))))
     model = ml.fit_boosted(parted.where("split = 'train'"), features, cfg)
     scored = ml.score(model, parted.where("split = 'test'"), "p_seen")
     return compute_metrics(scored, ml.LABEL, "p_seen", row_id).withColumn("baseline", F.col("n_pos") / F.col("n"))
@@ -137,30 +142,29 @@ def conformal_report(
     return first.select(*columns).unionByName(rest.select(*columns)).withColumn("target_coverage", F.lit(1 - alpha))
 
 
-def explanation_tables(trained: Trained, data: Prepared, top_n: int = 5, max_rows: int | None = 1000) -> tuple[DataFrame, DataFrame]:
+def explanation_tables(trained: Trained, data: Prepared, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Attributions of the uncalibrated margin on TEST: top contributions per row, and global importance."""
     rows = stage(tree_attributions(trained.model, data.matrix("test"), trained.features, data.row_id))
     top = rows.select(data.row_id, top_contributions(F.col("attributions"), top_n).alias("top_features"))
-    return top, global_importance(rows, "attributions", data.row_id, max_rows)
+    return top, global_importance(rows, "attributions")
 
 
 def ablation(base: DataFrame, folds: Sequence[dict], sets: Sequence[str], cfg: TrainConfig = TrainConfig(), **kw: object) -> DataFrame:
     """Average precision of boosted trees and of the heuristic per fold and feature set.
 
     A fold is the keyword arguments of `prepare` plus a `name`. Features are built once per fold, for the
-    union of the sets.
+    union of the sets. A set with a feature that the table does not have stops the job.
     """
     spark, results = base.sparkSession, []
     for fold in folds:
         args = {k: v for k, v in fold.items() if k != "name"}
-        union = list(dict.fromkeys(f for s in sets for f in fv.FEATURE_SETS[s] if f in base.columns or f in LABEL_FEATURES))
+        union = list(dict.fromkeys(f for s in sets for f in fv.FEATURE_SETS[s]))
         data = prepare(base, features=union, **args, **kw)
         plain = compute_metrics(
             data.matrix("test").withColumn("p_lead", cutoff_heuristic(F.col("year_built"))), ml.LABEL, "p_lead", data.row_id
         ).first()["pr_auc"]
         for name in sets:
-            features = tuple(f for f in fv.FEATURE_SETS[name] if f in union)
-            narrowed = dataclasses.replace(data, features=features)
+            narrowed = dataclasses.replace(data, features=fv.FEATURE_SETS[name])
             found = evaluate(train_boosted(narrowed, cfg), narrowed).first()["pr_auc"]
             results += [(fold["name"], name, "boosted", found), (fold["name"], name, "heuristic", plain)]
     return spark.createDataFrame(results, "fold string, feature_set string, model string, pr_auc double")

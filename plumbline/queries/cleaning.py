@@ -189,8 +189,7 @@ def b19(spark, sf):
     "SELECT event_id, concat('insp-', substr(sha256(concat(CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))), 1, 12)) AS inspection_id FROM events",
 )
 def b20(spark, sf):
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").select("event_id", X.event_id(F.col("user_id"), at).alias("inspection_id"))
+    return table(spark, sf, "events").select("event_id", X.event_id(F.col("user_id"), F.col("ts")).alias("inspection_id"))
 
 
 @query(

@@ -239,5 +239,5 @@ def j17(spark, sf):
 
 @query("j18_global_importance", f"WITH {PROPERTY}, {LINEAR} SELECT feature, round(avg(abs(c)), 5) AS mean_abs FROM a GROUP BY feature")
 def j18(spark, sf):
-    out = explain.global_importance(linear(spark, sf), "attributions", "property_id", max_rows=None)
+    out = explain.global_importance(linear(spark, sf), "attributions")
     return out.select("feature", F.round("mean_abs", 5).alias("mean_abs"))

@@ -6,18 +6,15 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.config import ScoringConfig, TrainConfig
-from plumbline.functions.scores import is_known
 from plumbline.models import pipelines as ml, store
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
 from plumbline.operators import impute
 from plumbline.operators.explain import importance_table
-from plumbline.operators.metrics import compute_metrics
 from plumbline.plans import train as T
 from plumbline.plans.backtest import back_test
-from plumbline.plans.features import add_cells
-from plumbline.queries.common import LAT0, LON0, mixed, properties, query, scratch
-from plumbline.queries.spatial import base
+from plumbline.plans.features import add_cells, base_features
+from plumbline.queries.common import LAT0, LON0, points, properties, query, scratch
 from plumbline.session import stage
 
 SMALL = TrainConfig(n_estimators=8, max_depth=3, learning_rate=0.3, forest_trees=10, forest_depth=5, logistic_iterations=50, n_trials=2)
@@ -29,15 +26,20 @@ def filled(spark, sf, dated=False):
     return stage(impute.apply(rows, impute.fit(rows)))
 
 
+def unfilled(spark, sf, dated=False):
+    """Gaps stay: the jobs fill them with values of their training rows."""
+    return stage(base_features(properties(spark, sf, dated), points(spark, sf), LAT0, LON0, fitted=spark.range(1).select()))
+
+
 def prepared(spark, sf, features=INTRINSIC, mode="geographic", **kw):
     dated = mode != "geographic" or any(f in fv.PROCESS for f in features)
-    return T.prepare(filled(spark, sf, dated), mode, features, min_test_rows=None, **kw)
+    return T.prepare(unfilled(spark, sf, dated), mode, features, min_test_rows=None, **kw)
 
 
 @query("j4_baseline_models")
 def j4(spark, sf):
     """Heuristic, standardised logistic regression and random forest on one geographic split."""
-    return T.baseline_metrics(prepared(spark, sf), SMALL)
+    return T.baseline_metrics(prepared(spark, sf, fv.LINEAR_FEATURES), SMALL)
 
 
 @query("j7_boosted_calibrated")
@@ -77,7 +79,7 @@ def j10(spark, sf):
 
 @query("j11_propensity_model")
 def j11(spark, sf):
-    return T.propensity(filled(spark, sf), INTRINSIC, "property_id", "service_line_material", SMALL)
+    return T.propensity(unfilled(spark, sf), fv.PROPENSITY_FEATURES, "property_id", "service_line_material", SMALL)
 
 
 @query("j16_tree_attributions")
@@ -123,7 +125,8 @@ def k6(spark, sf):
 def i8(spark, sf):
     folds = [
         {"name": "geographic", "mode": "geographic"},
-        {"name": "temporal", "mode": "temporal", "cutoff": "2001-01-01", "test_start": "2001-04-01", "test_end": "2002-01-01"},
+        {"name": "temporal-1", "mode": "temporal", "cutoff": "2000-01-01", "test_start": "2000-04-01", "test_end": "2001-01-01"},
+        {"name": "temporal-2", "mode": "temporal", "cutoff": "2001-01-01", "test_start": "2001-04-01", "test_end": "2002-01-01"},
     ]
     small = TrainConfig(n_estimators=3, max_depth=3, learning_rate=0.3)
-    return T.ablation(filled(spark, sf, True), folds, ("intrinsic", "intrinsic_geo_process", "full"), small, min_test_rows=None)
+    return T.ablation(unfilled(spark, sf, True), folds, tuple(fv.FEATURE_SETS), small, min_test_rows=None)

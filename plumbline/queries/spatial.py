@@ -25,14 +25,14 @@ def labelled():
 
 @query(
     "e1_left_join_address",
-    """SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT *, lower(trim(concat('CUSTOMER#', lpad(CAST(o_custkey AS VARCHAR), 9, '0'), ' '))) AS addr FROM orders WHERE o_orderpriority = '1-URGENT') o
+    """SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT *, lower(trim(concat('CUSTOMER#', lpad(CAST(o_custkey AS VARCHAR), 9, '0'), ' '))) AS addr FROM orders) o
        ON lower(trim(c.c_name)) = o.addr""",
 )
 def e1(spark, sf):
     from plumbline.plans.clean import join_assessor
 
     inventory = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("address"))
-    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    orders = table(spark, sf, "orders")
     address = F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" "))
     assessor = orders.select(address.alias("address"), F.col("o_orderkey").alias("pin"))
     return join_assessor(inventory, assessor).select("c_custkey", F.col("pin").alias("o_orderkey"))

@@ -148,8 +148,9 @@ def d6(spark, sf):
     "SELECT c_nationkey AS ward, count(*) AS n, CASE WHEN count(*) < 60 THEN 'INSUFFICIENT_SAMPLE' ELSE 'OK' END AS status FROM customer GROUP BY c_nationkey",
 )
 def d8(spark, sf):
-    n = F.count("*")
-    return table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("ward")).agg(n.alias("n"), F.when(n < 60, "INSUFFICIENT_SAMPLE").otherwise("OK").alias("status"))
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("ward"), F.lit("test").alias("split"))
+    out = P.split_metadata(rows, "geographic", min_test_rows=60, by=("ward",))
+    return out.select("ward", F.col("total_labeled_rows").alias("n"), "status")
 
 
 @query("g2_global_rank", f"WITH {ORDER_SCORES} SELECT id, row_number() OVER (ORDER BY p DESC, id) AS rank FROM scores")
@@ -189,7 +190,7 @@ def h7(spark, sf):
     return a.join(b, "c_custkey", "left_semi").distinct().agg(F.count("*").alias("n_shared"))
 
 
-@query("h9_union_of_ids", "SELECT property_id FROM (SELECT user_id AS property_id FROM events UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query("h9_union_of_ids", "SELECT property_id FROM (SELECT user_id AS property_id FROM events UNION SELECT o_custkey FROM orders)")
 def h9(spark, sf):
     a = table(spark, sf, "events").select(F.col("user_id").alias("property_id"))
-    return a.union(table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey")).distinct()
+    return a.union(table(spark, sf, "orders").select("o_custkey")).distinct()

@@ -14,13 +14,14 @@ from plumbline.streaming import inspections as I
 GOOD = "inspected_material <> 'Plastic' AND cost_usd >= 0"
 
 
-@query("l1_stream_ingest", f"WITH {LOG} SELECT inspected_material, count(*) AS n, CASE WHEN {GOOD} THEN '' ELSE 'material' END AS rejected FROM log WHERE cost_usd >= 0 GROUP BY ALL")
+@query("l1_stream_ingest", f"""WITH {LOG} SELECT inspected_material, count(*) AS n,
+  concat_ws(',', CASE WHEN inspected_material = 'Plastic' THEN 'material' END, CASE WHEN cost_usd IS NULL OR cost_usd < 0 THEN 'cost' END) AS rejected FROM log GROUP BY ALL""")
 def l1(spark, sf):
     good, bad = scratch(spark), scratch(spark)
     I.ingest(I.read_log(spark, log_json(spark, sf), 2), good, bad, scratch(spark)).awaitTermination()
     ok = spark.read.parquet(good).select("inspected_material", F.lit("").alias("rejected"))
-    no = spark.read.parquet(bad).where("cost_usd >= 0").select("inspected_material", F.array_join("rejected_for", ",").alias("rejected"))
-    return ok.where("inspected_material is not null").unionByName(no).groupBy("inspected_material", "rejected").agg(F.count("*").alias("n"))
+    no = spark.read.parquet(bad).select("inspected_material", F.array_join("rejected_for", ",").alias("rejected"))
+    return ok.unionByName(no).groupBy("inspected_material", "rejected").agg(F.count("*").alias("n"))
 
 
 @query("l2_stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS inspection_id, 1 AS n FROM events")
@@ -44,7 +45,7 @@ def l3(spark, sf):
     out = scratch(spark)
     counts = I.counts_by_area(I.read_log(spark, log_json(spark, sf), 2), dimension)
     I.run_to_table(counts, out, scratch(spark), "complete").awaitTermination()
-    return spark.read.parquet(out)
+    return I.latest(spark, out)
 
 
 @query(
@@ -76,7 +77,7 @@ def l5(spark, sf):
     stream = I.accepted(I.read_log(spark, log_json(spark, sf), 2))
     I.run_to_table(I.windowed(stream), out, scratch(spark), "complete").awaitTermination()
     day = F.date_format(F.col("window.start"), "yyyy-MM-dd")
-    return spark.read.parquet(out).select(day.alias("day"), "n", r6(F.col("lead_rate"), "lead_rate"), F.round("cost_usd", 4).alias("cost_usd"))
+    return I.latest(spark, out).select(day.alias("day"), "n", r6(F.col("lead_rate"), "lead_rate"), F.round("cost_usd", 4).alias("cost_usd"))
 
 
 @query(
@@ -87,11 +88,11 @@ def l5(spark, sf):
 )
 def k8(spark, sf):
     log = inspection_log(spark, sf)
-    at = F.unix_micros(F.to_timestamp("inspected_at")).alias("inspected_at")
+    at = F.to_timestamp("inspected_at").alias("inspected_at")
     cost = F.when(F.col("inspection_id").cast("bigint") % 3 != 0, F.col("cost_usd")).alias("cost_usd")
     requests = log.select("property_id", "inspected_material", at, cost, F.lit(None).cast("string").alias("source"))
     dimension = properties(spark, sf).select(F.col("property_id").cast("string").alias("property_id"), "census_tract")
-    out = I.accepted(I.record(requests, dimension, now=F.lit(0).cast("bigint")))
+    out = I.accepted(I.record(requests, dimension, now=F.lit(0).cast("timestamp")))
     return out.select("inspection_id", "property_id", "source", "cost_usd", "census_tract", "used_in_training")
 
 

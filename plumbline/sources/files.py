@@ -96,16 +96,15 @@ def append_inspections(df: DataFrame, path: str) -> None:
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if partition_by:
-        # one writer task per value and hash slice keeps the file count down without a one-task hot value
-        salted = df.repartition(*[F.col(c) for c in partition_by], F.pmod(F.xxhash64(*df.columns[:1]), F.lit(16)))
-        writer = salted.write.mode(mode).partitionBy(*partition_by)
+        # brings the rows of a value together and splits a hot value by size, so that files are few and tasks even
+        writer = df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
     writer.parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """A report of few rows as JSON."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_curve(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)

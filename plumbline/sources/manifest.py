@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MANIFEST = "name string, digest string"
 
 
+def same_path(path: Column) -> Column:
+    """One spelling of a path: `file:/a` and `file:///a` name the same file."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, digest) per file; the content is hashed where it is read and not kept."""
+    """(path, name, digest, length) per file; the content is hashed where it is read and not kept.
+
+    A file's name is its path below `path`, so equal files of two folders are two files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"), "length"
-    )
+    root = re.sub("^file:/+", "/", path.rstrip("/")) + "/"
+    name = F.substring_index(same_path(F.col("path")), root, -1)
+    return files.select("path", name.alias("name"), F.sha2("content", 256).alias("digest"), "length")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -94,7 +94,8 @@ def windowed(df: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process everything available. A complete result replaces the table of the last batch."""
+    """Process everything available. A complete result is a folder of its own per batch (see `latest`), so that a
+    failure while one is written leaves the one before."""
     if mode not in ("append", "complete"):
         raise ValueError(f"mode must be append or complete, not {mode}")
     if mode == "append":
@@ -102,12 +103,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     else:
 
         def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
         writer = stream.writeStream.foreachBatch(replace)
     return writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result under `path`."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def retrain_trigger(stream: DataFrame, checkpoint: str, threshold: int, notify: Callable[[int, int], None]) -> StreamingQuery:
     """Call `notify(batch, pending)` whenever the labels unused in training reach the threshold.
 
