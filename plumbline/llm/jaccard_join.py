@@ -8,15 +8,16 @@ all its points at once by the sum of minima with the node's upper corner.
 2. Cells. Hashes have a global order: first those in buckets of ordinary load (counted over the whole corpus), by hash,
    then those in heavier buckets, the heaviest last. Sets that link share a hash among their first |x| - ceil(t|x|) + 1,
    so a class is in the cells of these hashes, and no link is outside a cell. Cells of one class are dropped.
-3. First wave: each class is compared with one other of its cells, the smallest signature it meets. In a group of near
-   copies that is nearly always the same one, so the group is joined after one comparison per member.
-4. Second wave: in cells that still hold several components, an R-tree over the members' count vectors gives, per member
-   and other component, the most promising pair. Third wave: all pairs of different components that the bounds leave.
-   So every pair that may link is either verified or connects classes that are connected already.
-
-Candidates are verified on the hash sets themselves, which are derived again from the texts for classes in cells only
-(a Bloom filter of fixed size picks them; texts are never shuffled). Cells of more than `TILE` members are dealt into
-parts, and pairs of parts are compared in tasks of their own.
+3. First wave: each class is compared with one other, the one that is the smallest signature in most of its cells. In
+   a group of near copies that is nearly always the same one, so one comparison per member joins most of the group.
+4. Second wave: cells that still hold several components are searched, small ones pair by pair, larger ones by an
+   R-tree over their members' count vectors, and per member and other component the most promising pair is compared.
+   Third wave: all pairs of different components that the bounds leave. So every pair that may link is either verified
+   or connects classes that are connected already.
+
+All candidates pass the bound of their count vectors first. Those that remain are verified on the hash sets themselves,
+which are derived again from the texts for just these classes (a Bloom filter of fixed size picks them; texts are never
+shuffled). Cells of more than `TILE` members are dealt into parts, and pairs of parts are compared in groups of their own.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ GROUPS = 256
 BUCKETS = 1 << 16
 BLOCKS = 64
 SPLIT_CELL = 20_000
-TILE = 4096
+TILE = 1024
 LEAF = 16
 FILTER_BITS = 18
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -265,9 +266,9 @@ def _filter(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _hash_sets(texts: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """(sig, n, vec, hashes) of the classes in the filter, and few others."""
-    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+def _derived(texts: DataFrame, classes: DataFrame, vectors: bool) -> DataFrame:
+    """(sig, n, data) of the classes (sig, n): their count vectors or their hash sets, one row each."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter(classes))
 
     def run(batches):
         hasher, seen, words = WordHasher(), set(), shared.value
@@ -280,17 +281,42 @@ def _hash_sets(texts: DataFrame, bloom: np.ndarray) -> DataFrame:
                 hit = np.flatnonzero((words[(sig & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] & bits == bits) & (n > 0))
                 hit = [i for i in hit.tolist() if (sig[i], n[i]) not in seen and not seen.add((sig[i], n[i]))]
                 parts = [h[starts[i] : starts[i + 1]] for i in hit]
+                data = [_vector(p) if vectors else p.astype("<u8").tobytes() for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[hit].view(np.int64)), pa.array(n[hit].astype(np.int32)), pa.array([_vector(p) for p in parts], pa.binary()),
-                     pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary())], names=["sig", "n", "vec", "hashes"],
+                    [pa.array(sig[hit].view(np.int64)), pa.array(n[hit].astype(np.int32)), pa.array(data, pa.binary())], names=["sig", "n", "data"]
                 )
                 if len(seen) > 2_000_000:
                     seen.clear()
 
-    return texts.mapInArrow(run, "sig long, n int, vec binary, hashes binary")
+    found = texts.mapInArrow(run, "sig long, n int, data binary").join(classes, ["sig", "n"], "left_semi")
+    return written(found.dropDuplicates(["sig", "n"]), "derived")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _both_sides(pairs: DataFrame, derived: DataFrame) -> DataFrame:
+    side = lambda key, name: derived.select(F.col("sig").alias(key), F.col("data").alias(name))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select(*pairs.columns, "x", "y")
+
+
+def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose count vectors do not rule a link out, with `bound`."""
+    names = [*pairs.columns, "bound"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x, y = _vectors(part.column("x")), _vectors(part.column("y"))
+                bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                keep = bound >= least_overlap(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64), percent)
+                keep |= (x == 65_535).all(axis=1) | (y == 65_535).all(axis=1)
+                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), pa.array(bound)], names=names)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return _both_sides(pairs, vectors).mapInArrow(run, f"{fields}, bound long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their hash sets."""
 
     def run(batches):
@@ -300,59 +326,102 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if len(x) > len(y):
                     x, y = y, x
-                least = least_overlap(len(x), len(y), percent)
-                if len(x) < least:
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(y, x)
-                keep.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= least)
+                keep.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= least_overlap(len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda key, name: sets.select(F.col("sig").alias(key), F.col("hashes").alias(name))
-    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = _derived(texts, members.join(asked, "sig", "left_semi"), vectors=False)
+    return written(_both_sides(pairs.select("a", "b"), sets).mapInArrow(run, "a long, b long"), "links")
+
+
+def _leaf_pairs(percent: int):
+    """Pairs of different components and fitting sizes in runs of equal token, each run of at most `LEAF` rows."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, t]) if held is not None else t
+            token = held.column("token").to_numpy()
+            stop = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last run may go on
+            yield from pairs(held.slice(0, stop))
+            held = held.slice(stop)
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(t):
+        token, sig, n, comp = (t.column(c).to_numpy() for c in ("token", "sig", "n", "comp"))
+        n = n.astype(np.int64)
+        for d in range(1, LEAF):
+            i = np.flatnonzero(token[d:] == token[:-d]) if len(token) > d else np.zeros(0, np.int64)
+            if not len(i):
+                return
+            j = i + d
+            fits = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            swap = sig[i] > sig[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[i], sig[j])], names=["a", "b"])
+
+    return run
 
 
 def _search_cells(best: bool, percent: int):
-    """Candidate pairs of one tile of a cell: rows (side 0 or 1: part i or j), both if the tile pairs a part with itself."""
+    """Candidate pairs of one tile of a cell: its asking members against an R-tree of its other ones."""
 
     def run(key, table):
-        sig, n, comp, part = (table.column(c).to_numpy() for c in ("sig", "n", "comp", "part"))
-        points, i, j = _vectors(table.column("vec")), key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        sig, n, comp, asks = (table.column(c).to_numpy() for c in ("sig", "n", "comp", "asks"))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(left) or not len(right):
             return empty
-        n = n.astype(np.int64)
-        tree = CountTree(points[right], n[right], comp[right])
-        q, at, bound = tree.search(points[left], n[left], comp[left], percent)
+        points, n = _vectors(table.column("vec")), n.astype(np.int64)
+        q, at, bound = CountTree(points[right], n[right], comp[right]).search(points[left], n[left], comp[left], percent)
         a, b = left[q], right[at]
-        if i == j:
-            once = sig[a] < sig[b]
-            a, b, bound = a[once], b[once], bound[once]
-        if best and len(a):  # the pair of largest bound for each (a, component of b)
+        if best and len(a):  # the pair of largest bound for each (asking member, component)
             order = np.lexsort((-bound, comp[b], sig[a]))
-            a, b = a[order], b[order]
+            a, b, bound = a[order], b[order], bound[order]
             first = np.r_[True, (sig[a][1:] != sig[a][:-1]) | (comp[b][1:] != comp[b][:-1])]
-            a, b = a[first], b[first]
-        return pa.table({"a": np.minimum(sig[a], sig[b]), "b": np.maximum(sig[a], sig[b])}, empty.schema)
+            a, b, bound = a[first], b[first], bound[first]
+        return pa.table({"a": np.minimum(sig[a], sig[b]), "b": np.maximum(sig[a], sig[b]), "bound": bound}, empty.schema)
 
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "bound")})
     return run
 
 
-def _cell_pairs(cells: DataFrame, sets: DataFrame, joined: DataFrame, tried: DataFrame, best: bool, percent: int) -> DataFrame:
-    """Pairs not tried yet from the cells that hold several components."""
-    now = cells.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    now = written(now.select("token", "sig", "n", F.coalesce("component", "sig").alias("comp")), "members")
+def _cell_pairs(cells: DataFrame, vectors: DataFrame, joined: DataFrame, tried: DataFrame, best: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) that the bounds leave and that were not tried yet, from the cells that hold several components."""
+    component = joined.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    now = cells.join(component, "sig", "left").select("token", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
+    now = written(now, "members")
     open_ = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("size")).where("c < d")
-    open_ = open_.select("token", "size", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rows = attach(now, written(open_, "open"), ["token"], "size").join(sets.select("sig", "vec"), "sig")
-    part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = rows.withColumn("part", part).withColumn("other", other)
-    tiles = tiles.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "n", "comp", "vec")
-    pairs = tiles.groupBy("token", "i", "j").applyInArrow(_search_cells(best, percent), "a long, b long").distinct()
-    return written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    open_ = written(open_.select("token", "size", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "open")
+
+    small = now.join(open_.where(F.col("size") <= LEAF).select("token"), "token").repartition("token").sortWithinPartitions("token")
+    found = small.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    found = _bounded(found, vectors, percent).select("a", "b", "bound")
+
+    # in larger cells, members outside the largest component ask all members: a group of near copies that holds a cell
+    # but for a few is gone through once per few, not once per pair
+    large = open_.where(F.col("size") > LEAF)
+    counts = now.join(large.select("token"), "token").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("others"))
+    main = main.withColumn("ask_parts", F.ceil(F.col("others") / TILE).cast("int"))
+    large = written(large.join(main, "token"), "large")
+    rows = attach(now, large, ["token"], "size").join(vectors.select("sig", F.col("data").alias("vec")), "sig")
+    upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    part = lambda parts: F.pmod(F.xxhash64("sig"), F.col(parts)).cast("int")
+    fields = ["token", "i", "j", "sig", "n", "comp", "vec"]
+    asking = rows.where("comp <> main").withColumn("i", part("ask_parts")).withColumn("j", upto("parts"))
+    asked = rows.withColumn("j", part("parts")).withColumn("i", upto("ask_parts"))
+    tiles = asking.select(*fields, F.lit(True).alias("asks")).unionByName(asked.select(*fields, F.lit(False).alias("asks")))
+    searched = tiles.groupBy("token", "i", "j").applyInArrow(_search_cells(best, percent), "a long, b long, bound long")
+    found = found.unionByName(searched.distinct().join(tried, ["a", "b"], "left_anti"))
+    if best:
+        other = component.select(F.col("sig").alias("b"), F.col("comp").alias("with"))
+        chosen = found.join(other, "b", "left").groupBy("a", F.coalesce("with", "b").alias("with"))
+        found = chosen.agg(F.max(F.struct("bound", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    return written(found.select("a", "b").distinct(), "pairs")
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
@@ -365,18 +434,21 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
     posted = _postings(texts, _bucket_loads(signed), percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "sig", "n")
     cells = written(posted.mapInArrow(_shared_cells, "token long, sig long, n int"), "cells")
     members = written(cells.select("sig", "n").distinct(), "classes")
-    sets = _hash_sets(texts, _filter(members)).join(members, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
-    sets = written(sets, "sets")
+    vectors = _derived(texts, members, vectors=True)
 
     firsts = cells.groupBy("token").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("size"))
     met = attach(cells, written(firsts, "firsts"), ["token"], "size").where("first < sig")
-    tried = written(met.groupBy(F.col("sig").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "pairs")
-    links = written(_verified(tried, sets, percent), "links")
+    often = met.groupBy(F.col("sig").alias("b"), F.col("first").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    tried = written(often.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "pairs")
+    pairs = written(_bounded(tried, vectors, percent), "pairs")
+    links = _verified(pairs, texts, members, percent)
     joined = components(links)
     for best in (True, False):
-        pairs = _cell_pairs(cells, sets, joined, tried, best, percent)
-        new = written(_verified(pairs, sets, percent), "links")
+        pairs = _cell_pairs(cells, vectors, joined, tried, best, percent)
+        if pairs.isEmpty():
+            break  # every pair that may link has been tried or is connected
         tried = written(tried.unionByName(pairs), "tried")
+        new = _verified(pairs, texts, members, percent)
         if not new.isEmpty():
             links = links.unionByName(new)
             joined = components(links)
