@@ -6,16 +6,17 @@ import dataclasses
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.config import TrainConfig
 from plumbline.functions.scores import cutoff_heuristic, nonconformity
-from plumbline.models import pipelines as ml
+from plumbline.models import pipelines as ml, store
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
 from plumbline.operators import impute
 from plumbline.operators.conformal import check_alpha, coverage, group_thresholds, thresholds, with_threshold
+from plumbline.operators.equity import with_quartile
 from plumbline.operators.explain import global_importance, top_contributions
 from plumbline.operators.metrics import compute_metrics, improvement_gate
 from plumbline.operators.splits import inner_validation, split_dataset
@@ -142,6 +143,20 @@ def conformal_report(
     return first.select(*columns).unionByName(rest.select(*columns)).withColumn("target_coverage", F.lit(1 - alpha))
 
 
+def conformal_job(
+    spark: SparkSession, path: str, data: Prepared, reference: DataFrame, area: str = "census_tract", alpha: float = 0.10
+) -> DataFrame:
+    """From the stored model to its report: calibrated scores of calibration and test rows, thresholds from the former
+    (global and per quartile of the area's value in `reference`), coverage on the latter."""
+    model, active = store.load_model(spark, path), store.metadata(spark, path).orderBy(F.desc("trained_at")).first()
+    if active["calibration_method"] != "sigmoid":
+        raise ValueError("conformal sets need a calibrated model")
+    trained = Trained(model, (active["slope"], active["intercept"]), tuple(active["feature_names"]))
+    scored = [trained.score(data.matrix(part, trained.features, [area])) for part in ("calibration", "test")]
+    cal, test = (with_quartile(d, reference, area) for d in scored)
+    return conformal_report(cal, test, ml.LABEL, alpha=alpha)
+
+
 def explanation_tables(trained: Trained, data: Prepared, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Attributions of the uncalibrated margin on TEST: top contributions per row, and global importance."""
     rows = stage(tree_attributions(trained.model, data.matrix("test"), trained.features, data.row_id))

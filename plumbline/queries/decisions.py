@@ -237,6 +237,22 @@ def j17(spark, sf):
     return linear(spark, sf).select("property_id", F.array_join(F.transform(best, lambda e: e["feature"]), ",").alias("features"))
 
 
+@query(
+    "k3_prediction_records_with_features",
+    f"""WITH {PROPERTY}, {LINEAR}, {LOG}, {BOOST}, {PRIORITY}, {THRESHOLD},
+      f AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY -abs(c), feature) AS nth FROM a),
+      t AS (SELECT property_id, string_agg(feature, ',' ORDER BY nth) AS top_features FROM f GROUP BY property_id)
+      SELECT property_id, round(p_lead, 4) AS p_lead_calibrated, round(score, 4) AS priority_score, top_features
+      FROM ranked JOIN t USING (property_id) WHERE property_id IN (SELECT user_id FROM events)""",
+)
+def k3_features(spark, sf):
+    wanted = table(spark, sf, "events").select(F.col("user_id").alias("property_id"))
+    rows = properties(spark, sf).join(linear(spark, sf).select("property_id", "attributions"), "property_id")
+    out = scoring.prediction_records(rows, inspection_log(spark, sf), threshold(spark, sf), wanted=wanted, attributions="attributions", strict=False)
+    top = F.array_join(F.transform("shap_top_features", lambda e: e["feature"]), ",")
+    return out.select("property_id", "p_lead_calibrated", "priority_score", top.alias("top_features"))
+
+
 @query("j18_global_importance", f"WITH {PROPERTY}, {LINEAR} SELECT feature, round(avg(abs(c)), 5) AS mean_abs FROM a GROUP BY feature")
 def j18(spark, sf):
     out = explain.global_importance(linear(spark, sf), "attributions")

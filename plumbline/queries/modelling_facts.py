@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from plumbline.models import pipelines as ml, store
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
+from plumbline.operators.equity import quartiles
 from plumbline.plans import train as T
-from plumbline.queries.common import LOG, inspection_log, mixed, query, r6, scratch
+from plumbline.queries.common import LOG, inspection_log, mixed, properties, query, r6, scratch
 from plumbline.queries.modelling import INTRINSIC, SMALL, prepared
 from plumbline.queries.sources import log_json
 from plumbline.queries.splitting import HELD, ROWS
@@ -62,6 +63,21 @@ def j7_rows(spark, sf):
     return out.select("n_rows", sound.alias("consistent"))
 
 
+@query("j15_conformal_job", f"{TEST} SELECT count(*) AS n, TRUE AS consistent FROM test")
+def j15_job(spark, sf):
+    """Train, store, and report from the store: the groups' rows add up to the global ones, shares are shares."""
+    data, path = shared_split(spark, sf), scratch(spark)
+    trained = T.train_boosted(data, SMALL)
+    store.save_model(trained.model, spark, path, "v2", INTRINSIC, data.metadata.first().asDict(), trained.calibration)
+    value = (F.crc32("census_tract") % 1000).cast("double").alias("median_household_income")
+    reference = quartiles(properties(spark, sf).select("census_tract").distinct().select("census_tract", value), "median_household_income")
+    report = T.conformal_job(spark, path, data, reference)
+    grouped = F.sum(F.when(F.col("income_quartile").isNotNull(), F.col("n")).otherwise(0))
+    overall = F.sum(F.when(F.col("income_quartile").isNull(), F.col("n")).otherwise(0))
+    sound = F.bool_and(F.col("coverage").between(0, 1) & F.col("mean_set_size").between(0, 2))
+    return report.agg(overall.alias("n"), ((grouped == overall) & sound).alias("consistent"))
+
+
 @query("j9_calibration_keeps_order", f"{ROWS} SELECT property_id, rank() OVER (ORDER BY p_lead) AS position FROM lab")
 def j9_order(spark, sf):
     """Calibrated probabilities come in the order of the scores they are made of."""
