@@ -9,13 +9,14 @@ from plumbline.llm.tables import written
 HOT_SHARE = 2000
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Inner join of `rows` with one row per group (written tables both); `size` is a group's number of rows.
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
+    """Inner join of `rows` with one row per group (a written table); `size` is a group's number of rows, `total` their sum.
 
     The fewer than `HOT_SHARE` groups with more than 1/`HOT_SHARE` of all rows are broadcast, the others are shuffled,
     so that no key brings many rows into one task.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     hot = F.col(size) * HOT_SHARE > total
     large, small = F.broadcast(groups.where(hot)), groups.where(~hot)
     rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti")
@@ -31,20 +32,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(now, "edges")
-    before = None
+    state, before = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), None
     for _ in range(rounds):
-        both = written(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = attach(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = attach(large, least, ["u"], "n")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
-        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = attach(both, written(least, "least"), ["u"], "n", 2 * state[0])
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        state, before = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), state
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -261,7 +261,7 @@ def _filter(classes: DataFrame) -> np.ndarray:
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
     words = classes.groupBy(s.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("word")).agg(F.bit_or(bits).alias("bits"))
     out = np.zeros(1 << FILTER_BITS, np.uint64)
-    for r in words.toLocalIterator():
+    for r in words.collect():  # at most as many rows as the filter has words
         out[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
     return out
 
