@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.tables import written
 
 HOT_SHARE = 2000
+TASK_EDGES = 50_000
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
@@ -36,13 +37,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if state == before or not state[0]:
             break
+        tasks = -(-2 * state[0] // TASK_EDGES)  # no more tasks and files than the edges left are worth
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = attach(both, written(least, "least"), ["u"], "n", 2 * state[0])
+        large = attach(both, written(least.coalesce(tasks), "least"), ["u"], "n", 2 * state[0])
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
         state, before = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), state
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
