@@ -389,17 +389,28 @@ def _search_cells(best: bool, percent: int):
     return run
 
 
-def _cell_pairs(cells: DataFrame, vectors: DataFrame, joined: DataFrame, tried: DataFrame, best: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) that the bounds leave and that were not tried yet, from the cells that hold several components."""
+def _cell_pairs(
+    cells: DataFrame, vectors: DataFrame, joined: DataFrame, tried: DataFrame, left: DataFrame | None, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs to compare now, pairs of small cells that the bounds leave), from the cells that hold several components.
+
+    Without `left`, the second wave: all cells are searched and the best pairs chosen. With it, the third: small cells
+    have no other pairs than those that were left then, larger ones are searched again for all pairs.
+    """
+    best = left is None
     component = joined.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
     now = cells.join(component, "sig", "left").select("token", "sig", "n", F.coalesce("comp", "sig").alias("comp"))
     now = written(now, "members")
     open_ = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("size")).where("c < d")
     open_ = written(open_.select("token", "size", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "open")
 
-    small = now.join(open_.where(F.col("size") <= LEAF).select("token"), "token").repartition("token").sortWithinPartitions("token")
-    found = small.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    found = _bounded(found, vectors, percent).select("a", "b", "bound")
+    if best:
+        small = now.join(open_.where(F.col("size") <= LEAF).select("token"), "token").repartition("token").sortWithinPartitions("token")
+        found = small.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        left = written(_bounded(found, vectors, percent).select("a", "b", "bound"), "left")
+    ends = [component.select(F.col("sig").alias(k), F.col("comp").alias(f"{k}_comp")) for k in ("a", "b")]
+    found = left.join(tried, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    found = found.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b", "bound")
 
     # in larger cells, members outside the largest component ask all members: a group of near copies that holds a cell
     # but for a few is gone through once per few, not once per pair
@@ -421,7 +432,7 @@ def _cell_pairs(cells: DataFrame, vectors: DataFrame, joined: DataFrame, tried:
         other = component.select(F.col("sig").alias("b"), F.col("comp").alias("with"))
         chosen = found.join(other, "b", "left").groupBy("a", F.coalesce("with", "b").alias("with"))
         found = chosen.agg(F.max(F.struct("bound", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    return written(found.select("a", "b").distinct(), "pairs")
+    return written(found.select("a", "b").distinct(), "pairs"), left
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
@@ -443,8 +454,9 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
     pairs = written(_bounded(tried, vectors, percent), "pairs")
     links = _verified(pairs, texts, members, percent)
     joined = components(links)
-    for best in (True, False):
-        pairs = _cell_pairs(cells, vectors, joined, tried, best, percent)
+    left = None
+    for _ in range(2):
+        pairs, left = _cell_pairs(cells, vectors, joined, tried, left, percent)
         if pairs.isEmpty():
             break  # every pair that may link has been tried or is connected
         tried = written(tried.unionByName(pairs), "tried")
