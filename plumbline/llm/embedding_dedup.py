@@ -1,17 +1,21 @@
 """Near-duplicate vectors by range search in robust-pruned flat graphs.
 
-1. Equal vectors of a label become one node with a weight. Within a label, sampled vectors serve as cluster centres; a
-   node goes to its nearest centre (its home) and, as a guest, to the next ones, so that shards overlap.
+1. Equal vectors of a label become one node with a weight. Within a label, sampled vectors that are no near copies of
+   each other serve as cluster centres; a node is held by the shard of its nearest centre (its home).
 2. Every shard builds a graph of its nodes: nearest candidates and some random far ones, robust-pruned (a candidate
-   goes if a kept one is clearly nearer to it). The adjacency lists of a node from all its shards are united.
-3. Every node is searched for in its home shard: a greedy beam search starts from the shard's medoids, and once the beam
-   has settled, the neighbourhoods of all nodes within range are expanded until nothing new is in range. Hits are
-   verified in double precision.
-4. Recall is audited: for a sample of a shard's queries brute force over the shard tells what should be found, and the
-   beam is doubled until `MIN_RECALL` of it is.
-
-A shard of more than `PART` nodes is dealt by hash into parts with a graph each; its queries visit all parts. So no task
-holds more than about 2 `PART` nodes, and nothing is dropped. A task returns, per query, the number of links, and for
+   goes if a kept one is clearly nearer to it).
+3. Every node is searched for in its home and in all other shards that can hold a partner: those whose boundary with
+   the home is within a margin and whose centre is within the shard's angular radius and the range. The margin is at
+   least three standard deviations of a random step of the range, and as wide as `MIN_COVER` of the links of a hashed
+   sample of nodes need, which are found by brute force over their label; at the range itself nothing can be missed.
+   A greedy beam search starts from the shard's medoids, and once the beam has settled, the neighbourhoods of all nodes
+   within range are expanded until nothing new is in range. Hits are verified in double precision.
+4. Recall is audited twice: for a sample of a shard's queries brute force over the shard tells what should be found, and
+   the beam is doubled until `MIN_RECALL` of it is; and the links found of the hashed sample are compared with all its
+   links within the label. The lower of the two is returned.
+
+A shard of more than `PART` nodes is dealt by hash into parts with a graph each, and so are its queries; each part of the
+queries visits all parts of the nodes. So no task holds more than about 2 `PART` rows, and nothing is dropped. A task returns, per query, the number of links, and for
 components one edge per node it has linked, never all pairs.
 """
 
@@ -30,16 +34,19 @@ from plumbline.llm.tables import written
 THRESHOLD = 0.98
 CLUSTER_NODES = 512
 CENTRES = 16_384
-SHARDS_PER_NODE = 4
 PART = 4096
 DEGREE = 24
 CANDIDATES = 48
 FAR = 8
+NAMED = 4
 ALPHA = 1.2
 BEAM = 24
 MEDOIDS = 16
 AUDIT = 64
 MIN_RECALL = 0.99
+AUDITED_NODES = 1024
+MIN_COVER = 0.995
+ROUNDING = 1e-5
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -89,6 +96,17 @@ def build_graph(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return robust_prune(x, np.concatenate(lists))
 
 
+def reachable(graph: np.ndarray) -> list[np.ndarray]:
+    """Lists of neighbours; a node that fewer than `NAMED` lists name is also named by the lists of its first neighbours."""
+    named = np.bincount(graph[graph >= 0], minlength=len(graph))
+    extra: dict[int, list[int]] = {}
+    for v in np.flatnonzero(named < NAMED).tolist():
+        for u in graph[v, :NAMED].tolist():
+            if u >= 0:
+                extra.setdefault(u, []).append(v)
+    return [np.union1d(g[g >= 0], extra.get(u, [])).astype(np.int64) for u, g in enumerate(graph)]
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, least: float, beam: int) -> np.ndarray:
     """Boolean (query, node): nodes with similarity >= `least` that greedy search and range expansion reach."""
     q, n = len(queries), len(x)
@@ -150,7 +168,7 @@ def audited_search(x, graph, queries, threshold) -> tuple[np.ndarray, float, int
     beam = BEAM
     while True:
         found = range_search(x, graph, queries[sample], starts, least, beam)
-        recall = (found & truth).sum() / max(1, truth.sum())
+        recall = (found & truth).sum() / truth.sum() if truth.any() else 1.0
         if recall >= MIN_RECALL or beam >= len(x):
             break
         beam *= 2
@@ -161,31 +179,106 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.frombuffer(v, "<f4") for v in column]) if len(column) else np.zeros((0, 1), "f4")
 
 
-def _assign(nodes: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """Adds (shard, home) rows: the nearest centre and the next ones."""
+HOME = "label long, dim int, node long, weight long, vec binary, shard long, cos double"
+
+
+def _homes(nodes: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """Adds the nearest centre and the cosine to it."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
             for key, part in frame.groupby(["label", "dim"]):
-                c = shared.value.get(key)
-                k = 1 if c is None else min(SHARDS_PER_NODE, len(c))
-                if c is None:
-                    order = np.zeros((len(part), 1), np.int64)
-                else:
-                    order = np.argsort(-(unit_rows(_matrix(part["vec"])) @ c.T), axis=1, kind="stable")[:, :k]
-                out = part.loc[part.index.repeat(k)].assign(shard=order.ravel(), home=np.tile(np.arange(k) == 0, len(part)))
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                home, cos = np.zeros(len(part), np.int64), np.ones(len(part))
+                if key in shared.value:
+                    s = unit_rows(_matrix(part["vec"]).astype("f8")) @ shared.value[key].T
+                    home, cos = s.argmax(axis=1), s.max(axis=1)
+                yield pa.RecordBatch.from_pandas(part.assign(shard=home, cos=cos), preserve_index=False)
+
+    return nodes.mapInArrow(run, HOME)
+
+
+def _depths(s: np.ndarray, home: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How far each query is from the boundary between its home and every centre; 0 for the home. s: cosines to the centres."""
+    apart = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
+    depth = (s[np.arange(len(s)), home][:, None] - s) / np.maximum(apart, 1e-9)
+    depth[np.arange(len(s)), home] = 0
+    return depth
 
-    return nodes.mapInArrow(run, "label long, dim int, node long, weight long, vec binary, shard long, home boolean")
+
+def _visits(homes: DataFrame, centres: dict, radii: dict, margins: dict, threshold: float) -> DataFrame:
+    """(label, dim, shard, node, weight, vec) for every shard that a node is searched for in."""
+    shared = homes.sparkSession.sparkContext.broadcast((centres, radii, margins))
+    reach = np.arccos(np.clip(threshold, -1, 1))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        centres, radii, margins = shared.value
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, part in frame.groupby(["label", "dim"]):
+                for a in range(0, len(part), 1024):
+                    asks = part.iloc[a : a + 1024]
+                    who, shard = np.arange(len(asks)), asks["shard"].to_numpy()
+                    if key in centres:
+                        c = centres[key]
+                        s = unit_rows(_matrix(asks["vec"]).astype("f8")) @ c.T
+                        near = np.arccos(np.clip(s, -1, 1)) <= radii[key] + reach + ROUNDING
+                        near &= _depths(s, shard, c) <= margins[key] + ROUNDING
+                        near[who, shard] = True
+                        who, shard = np.nonzero(near)
+                    out = asks[["label", "dim", "node", "weight", "vec"]].iloc[who].assign(shard=shard)
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return homes.mapInArrow(run, "label long, dim int, node long, weight long, vec binary, shard long")
+
+
+def _true_links(homes: DataFrame, sample: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(label, dim, node, shard, n): the links of the sampled nodes to the nodes of each shard, by brute force over their label."""
+    asked = {k: (p["node"].to_numpy(), unit_rows(_matrix(p["vec"]).astype("f8"))) for k, p in sample.groupby(["label", "dim"])}
+    shared = homes.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, part in frame.groupby(["label", "dim"]):
+                if key not in shared.value:
+                    continue
+                ids, y = shared.value[key]
+                who, at = np.nonzero((y @ unit_rows(_matrix(part["vec"]).astype("f8")).T >= threshold) & (ids[:, None] != part["node"].to_numpy()))
+                out = pd.DataFrame({"node": ids[who], "shard": part["shard"].to_numpy()[at], "n": part["weight"].to_numpy()[at]})
+                out = out.groupby(["node", "shard"], as_index=False).sum().assign(label=key[0], dim=key[1])
+                yield pa.RecordBatch.from_pandas(out[["label", "dim", "node", "shard", "n"]], preserve_index=False)
+
+    pairs = homes.mapInArrow(run, "label long, dim int, node long, shard long, n long")
+    return pairs.groupBy("label", "dim", "node", "shard").agg(F.sum("n").alias("n")).toPandas()  # a bounded sample of nodes
+
+
+def _margins(sample: pd.DataFrame, links: pd.DataFrame, centres: dict, threshold: float) -> dict[tuple[int, int], float]:
+    """Per (label, dim): how far beyond a home's boundary its nodes' partners are looked for."""
+    reach, out = float(np.sqrt(max(0.0, 2 - 2 * threshold))), {}
+    for key, c in centres.items():
+        out[key] = min(reach, 3 * reach / np.sqrt(c.shape[1]))
+        asks = sample[(sample["label"] == key[0]) & (sample["dim"] == key[1])]
+        found = links[(links["label"] == key[0]) & (links["dim"] == key[1])]
+        if not len(found):
+            continue
+        depth = _depths(unit_rows(_matrix(asks["vec"]).astype("f8")) @ c.T, asks["shard"].to_numpy(), c)
+        row = pd.Series(np.arange(len(asks)), asks["node"].to_numpy())
+        need = depth[row[found["node"]].to_numpy(), found["shard"].to_numpy()]
+        order, n = np.argsort(need), found["n"].to_numpy().astype(float)
+        # as links count, and as nodes count: one hot group does not hide the small ones
+        for share in (n, n / found.groupby("node")["n"].transform("sum").to_numpy()):
+            covered = np.cumsum(share[order]) / share.sum()
+            out[key] = max(out[key], min(reach, float(need[order][np.searchsorted(covered, MIN_COVER - 1e-9)])))
+    return out
 
 
 def _build(key, frame: pd.DataFrame) -> pd.DataFrame:
     x = unit_rows(_matrix(frame["vec"]).astype("f4"))
     ids = frame["node"].to_numpy()
     graph = build_graph(x, seed=len(x))
-    return pd.DataFrame({"node": ids, "links": [ids[g[g >= 0]] for g in graph]})
+    return pd.DataFrame({"node": ids, "links": [ids[g] for g in reachable(graph)]})
 
 
 def _search(threshold: float):
@@ -198,7 +291,7 @@ def _search(threshold: float):
         place = pd.Series(np.arange(len(ids)), ids)
         graph = np.full((len(ids), max(1, max(map(len, index["links"])))), len(ids), np.int64)
         for i, links in enumerate(index["links"]):
-            here = place.reindex(links).dropna().to_numpy(np.int64)  # lists also name nodes of other shards
+            here = place[links].to_numpy(np.int64)
             graph[i, : len(here)] = here
         weight = index["weight"].to_numpy()
         parent = {}
@@ -238,6 +331,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     their own and link with each other. A null id never names a component; rows with it are not kept. An empty table
     gives an empty result.
     """
+    spark = vectors.sparkSession
     e = F.col(f"`{embedding}`").cast("array<float>")
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     sound = sound & F.exists(e, lambda v: v != 0) & F.col(f"`{label}`").isNotNull()
@@ -253,25 +347,41 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     packed = classes.withColumn("dim", F.size("e")).mapInArrow(_as_bytes, "key struct<label:long,col2:long,col3:int>, node long, weight long, label long, dim int, vec binary")
     classes = written(packed, "classes")
     nodes = classes.select("label", "dim", "node", "weight", "vec")
-    shards = written(_assign(nodes, _centres(nodes)), "shards")
+    centres = _centres(nodes, threshold)
+    homes = written(_homes(nodes, centres), "homes")
 
     cell = ["label", "dim", "shard"]
-    parts = shards.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
-    members = attach(shards, written(parts, "parts"), cell, "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = written(members.drop("n"), "members")
-    graph = members.groupBy(*cell, "part").applyInPandas(_build, "node long, links array<long>")
-    graph = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "graph")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    index = members.join(graph, "node").withColumn("i", F.explode(every)).withColumnRenamed("part", "j")
-    index = index.select(*cell, "i", "j", "node", "weight", "vec", "links", (F.col("home") & (F.col("i") == F.col("j"))).alias("ask"))
-    # queries visit the other parts of their shard too
-    asks = members.where("home AND parts > 1").withColumnRenamed("part", "i").withColumn("j", F.explode(every)).where("i <> j")
-    asks = asks.select(*cell, "i", "j", "node", "weight", "vec", F.lit(None).cast("array<long>").alias("links"), F.lit(True).alias("ask"))
+    total = homes.count()
+    sample = homes.where(_unit("audit") * max(1, total) < AUDITED_NODES).toPandas()
+    truth = _true_links(homes, sample, threshold)
+    held = homes.groupBy(*cell).agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n"))
+    held = written(held.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "held")
+    radii = {k: np.full(len(c), -np.inf) for k, c in centres.items()}
+    for r in held.collect() if centres else []:  # at most CENTRES shards besides the labels that are one shard
+        if (r.label, r.dim) in radii:
+            radii[r.label, r.dim][r.shard] = np.arccos(np.clip(r.cos, -1, 1))
+    visits = written(_visits(homes, centres, radii, _margins(sample, truth, centres, threshold), threshold), "visits")
+    asking = visits.groupBy(*cell).agg(F.count(F.lit(1)).alias("asking"))
+    parts = held.join(asking, cell).withColumn("ask_parts", F.ceil(F.col("asking") / PART).cast("int"))
+    parts = written(parts.select(*cell, "parts", "ask_parts", "n", "asking"), "parts")
+    members = attach(homes.drop("cos"), parts, cell, "n").withColumn("j", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = written(members.drop("n", "asking"), "members")
+    graph = written(members.groupBy(*cell, "j").applyInPandas(_build, "node long, links array<long>"), "graph")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = members.join(graph, "node").withColumn("i", to("ask_parts"))
+    index = index.select(*cell, "i", "j", "node", "weight", "vec", "links", F.lit(False).alias("ask"))
+    asks = attach(visits, parts, cell, "asking").withColumn("i", F.pmod(F.xxhash64(F.lit("ask"), "node"), F.col("ask_parts")).cast("int"))
+    asks = asks.withColumn("j", to("parts")).select(*cell, "i", "j", "node", "weight", "vec", F.lit(None).cast("array<long>").alias("links"), F.lit(True).alias("ask"))
     found = index.unionByName(asks).groupBy(*cell, "i", "j").applyInPandas(_search(threshold), "kind int, node long, value long, recall double")
     found = written(found, "found")
 
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("others"), F.min("recall").alias("recall"))
     joined = components(found.where("kind = 1").select(F.col("node").alias("a"), F.col("value").alias("b")))
+    got = links.join(F.broadcast(spark.createDataFrame(sample[["node"]], "node long")), "node").toPandas() if len(sample) else links.limit(0).toPandas()
+    audit = _audit(sample, truth, got)
+    audits = spark.createDataFrame([(*k, r) for k, r in audit.items()], "label long, dim int, audit double")
+    links = links.join(classes.select("node", "label", "dim"), "node").join(F.broadcast(audits), ["label", "dim"], "left")
+    links = links.select("node", "others", F.least("recall", "audit").alias("recall"))
     per_class = classes.select("key", "node", "weight").join(links, "node").join(joined, "node", "left")
     per_class = written(per_class.withColumn("component", F.coalesce("component", "node")), "per_class")
     linked = written(attach(rows.where("sound").select("key", "vec_id"), per_class, ["key"], "weight"), "linked")
@@ -290,16 +400,39 @@ def _as_bytes(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(vec, pa.binary())], names=[*names, "vec"])
 
 
-def _centres(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Sampled unit vectors per (label, dim), one for `CLUSTER_NODES` nodes, at most `CENTRES` in all."""
+def _audit(sample: pd.DataFrame, truth: pd.DataFrame, got: pd.DataFrame) -> dict[tuple[int, int], float]:
+    """Per (label, dim): the share of the sampled nodes' links that was found; labels without one are left out."""
+    both = sample[["label", "dim", "node"]].merge(got[["node", "others"]], "left", "node").merge(truth.groupby("node", as_index=False)["n"].sum(), "left", "node")
+    sums = both.fillna({"others": 0, "n": 0}).groupby(["label", "dim"])[["others", "n"]].sum()
+    return {(int(k[0]), int(k[1])): min(1.0, float(o / n)) for k, o, n in zip(sums.index, sums["others"], sums["n"]) if n}
+
+
+def _unit(seed: str):
+    """A number in [0, 1) that depends on the node only."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "node"), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def _apart(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of `x`, in order, without those within `threshold` of a row before that stays."""
+    kept = np.empty_like(x)
+    n = 0
+    for v in x:
+        if not n or (kept[:n] @ v).max() < threshold:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
+def _centres(nodes: DataFrame, threshold: float) -> dict[tuple[int, int], np.ndarray]:
+    """Sampled unit vectors per (label, dim), one for `CLUSTER_NODES` nodes, at most `CENTRES` in all. A group of near
+    copies keeps one, so that it is one shard (in parts) and not many that all need to be visited."""
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     per = max(CLUSTER_NODES, -(-total // CENTRES))  # groups of at least two centres, so at most CENTRES / 2 of them
     wanted = counts.where(F.col("n") >= 2 * per).select("label", "dim")
     picked = nodes.join(F.broadcast(wanted), ["label", "dim"])
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("centre"), "node"), 11).cast("double") / F.lit(float(1 << 53))
-    picked = picked.where(unit < F.lit(1.0 / per)).select("label", "dim", "vec")
+    picked = picked.where(_unit("centre") < F.lit(1.0 / per)).select("label", "dim", "node", "vec")
     out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in picked.collect():
+    for r in sorted(picked.collect(), key=lambda r: r.node):
         out.setdefault((r.label, r.dim), []).append(np.frombuffer(r.vec, "<f4"))
-    return {k: unit_rows(np.array(v)) for k, v in out.items()}
+    return {k: _apart(unit_rows(np.array(v, "f8")), threshold) for k, v in out.items()}

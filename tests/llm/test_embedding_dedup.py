@@ -76,6 +76,33 @@ def test_a_hot_group_split_into_parts(spark, monkeypatch, part):
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.2])
+def test_more_near_copies_than_a_few_shards_hold(spark, monkeypatch, spread):
+    """All pairs in range (one centre is left), and about half of them (many centres are)."""
+    monkeypatch.setattr(ed, "CLUSTER_NODES", 64)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=64)
+    centre *= np.sqrt(2) * 0.7 / np.linalg.norm(centre)
+    x = (centre + rng.normal(size=(1600, 64)) * spread * 0.7 / 8).astype("f4")
+    unit = ed.unit_rows(x.astype(float))
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in ed.near_groups(df).collect()}
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert want.sum() > 100_000 and (links <= want).all() and links.sum() >= 0.98 * want.sum()
+    assert all(r.audited_recall >= 0.98 for r in got.values())
+
+
+def test_audit_compares_with_the_whole_label(spark, monkeypatch):
+    """Links that no shard was asked for count as missed."""
+    monkeypatch.setattr(ed, "CLUSTER_NODES", 64)
+    monkeypatch.setattr(ed, "_visits", lambda homes, *_: homes.drop("cos").where("shard > 0").select("label", "dim", "node", "weight", "vec", "shard"))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + rng.normal(size=(800, 64)) * 0.16
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    assert ed.near_groups(df).agg({"audited_recall": "max"}).first()[0] < 0.9
+
+
 def test_pruned_lists_are_not_dominated():
     rng = np.random.default_rng(0)
     x = ed.unit_rows(rng.normal(size=(300, 8))).astype("f4")
