@@ -23,12 +23,12 @@ from plumbline.llm.tables import free, text_or_empty, written
 
 LABELLED = 20_000
 POOL = 20_000
-ROUNDS = 2
+ROUNDS = 3
 SURE = 0.97
 THRESHOLD = 0.5
 WORD_BUCKETS = 512
 PAGE_BUCKETS = 256
-STEPS = 25
+STEPS = 60
 PARTITIONS = 8
 VIEWS = ("content", "page")
 
@@ -113,7 +113,7 @@ def fit(
         return Classifier({}, {}, 0.0, share)
     train = rows.where("_label IS NOT NULL AND NOT _held")
     unlabelled = rows.where("_label IS NULL")
-    regression = lambda view: LogisticRegression(featuresCol=f"_{view}", labelCol="_label", maxIter=STEPS, tol=1e-4, regParam=1e-4)
+    regression = lambda view: LogisticRegression(featuresCol=f"_{view}", labelCol="_label", maxIter=STEPS, regParam=1e-4)
     models = {v: regression(v).fit(train) for v in VIEWS}
     taught = dict.fromkeys(VIEWS, train)
     for r in range(rounds):
@@ -128,7 +128,7 @@ def fit(
     for v in VIEWS:
         scored = _margin(models[v], v, held, "_m").withColumn("_m", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_m"))))
         scored = VectorAssembler(inputCols=["_m"], outputCol="_v").transform(scored)
-        line = LogisticRegression(featuresCol="_v", labelCol="_label", maxIter=STEPS, tol=1e-4, regParam=1e-3).fit(scored)
+        line = LogisticRegression(featuresCol="_v", labelCol="_label", maxIter=STEPS, regParam=1e-3).fit(scored)
         calibration[v] = max(0.0, float(line.coefficients[0])), float(line.intercept)
     good = counts[1.0, True] / (counts[1.0, True] + counts[0.0, True])
     return Classifier(models, calibration, _log_odds(good), share)

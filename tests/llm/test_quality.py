@@ -64,3 +64,13 @@ def test_no_labels_one_class_and_empty_tables(spark):
     assert quality.keep_good(docs.limit(0), ones).collect() == []
     few = docs.select("doc_id", "text")
     assert quality.score(few, quality.fit(few, none)).where("score = 1").count() == 240
+
+
+def test_fits_run_for_the_full_rounds_and_steps(spark, monkeypatch):
+    fits, plain = [], quality.LogisticRegression
+    monkeypatch.setattr(quality, "LogisticRegression", lambda **options: fits.append(options) or plain(**options))
+    docs = corpus(spark).drop("score", "_words")
+    labels = docs.where("doc_id < 120").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    quality.fit(docs, labels)
+    assert len(fits) == 2 * (1 + 3) + 2
+    assert all(f["maxIter"] == 60 and f.get("tol", 1e-6) == 1e-6 for f in fits)
