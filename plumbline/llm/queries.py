@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import embedding_dedup, exact_dedup, fill_middle, jaccard_join, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan
+from plumbline.llm import embedding_dedup, exact_dedup, fill_middle, jaccard_join, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan, token_files
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -125,3 +125,12 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    token_files.write(docs, folder)
+    places = token_files.find(spark, folder, token_files.keys_of(docs))
+    return token_files.read(spark, folder, places).drop("occurrence")
