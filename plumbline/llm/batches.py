@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -16,8 +17,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-ODD = 0x9E3779B97F4A7C15 | 1  # base of the polynomial over a word's bytes
-_MASK = (1 << 64) - 1
+ODD = 0x9E3779B97F4A7C15
+LONG_SPAN = 256
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str) -> DataFrame:
@@ -47,41 +49,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of the words (runs of anything but ASCII white space) of many texts at once.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans data[starts[i]:ends[i]], none of them empty.
 
-    A word's polynomial over its bytes comes from one running sum over the whole piece, divided by the power at the
-    word's start; arithmetic is modulo 2^64, where an odd base has an inverse.
+    Eight bytes at a time enter a state that begins with the length and that a bijection mixes after each; spans leave
+    the loop as they end, and the few above `LONG_SPAN` bytes are hashed one by one.
     """
+    n = ends - starts
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    chunk = windows[starts].view("<u8")[:, 0] & _FIRST_BYTES[np.minimum(n, 8)]
+    state = mixed(chunk * np.uint64(ODD) + n.astype(np.uint64))
+    open_, at = np.flatnonzero((n > 8) & (n <= LONG_SPAN)), 8
+    while len(open_):
+        left = n[open_] - at
+        chunk = windows[starts[open_] + at].view("<u8")[:, 0] & _FIRST_BYTES[np.minimum(left, 8)]
+        state[open_] = mixed((state[open_] ^ mixed(chunk)) * np.uint64(ODD) + np.uint64(at))
+        open_, at = open_[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG_SPAN):
+        state[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 7)
+    return state
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, PIECE_BYTES + 1)
-            step = np.full(n, ODD, np.uint64)
-            back = np.full(n, pow(ODD, -1, 1 << 64), np.uint64)
-            step[0] = back[0] = 1
-            self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
+class WordHasher:
+    """64-bit hashes of the words (runs of anything but ASCII white space) of many texts at once."""
 
     def __call__(self, data: np.ndarray, edges: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(hashes in order, index of each text's first word with the total at the end) of texts data[edges[i]:edges[i + 1]]."""
-        inside = ~WHITE[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[edges] = True
-        gap = np.ones(len(data) + 1, bool)
-        gap[1:] = ~inside
-        starts = np.flatnonzero(inside & (gap[:-1] | first[:-1]))
-        gap[:-1] = ~inside
-        gap[-1] = True
-        ends = np.flatnonzero(inside & (gap[1:] | first[1:])) + 1
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        values = (LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-        np.cumsum(values * self.up[: len(data)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * self.down[starts])
-        return hashes, np.searchsorted(starts, edges)
+        starts, ends = word_spans(~WHITE[data], edges)
+        return span_hashes(LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, edges)
+
+
+def word_spans(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of bytes that are `inside` a word; words end where texts do."""
+    first = np.zeros(len(inside) + 1, bool)
+    first[edges] = True
+    gap = np.ones(len(inside) + 1, bool)
+    gap[1:] = ~inside
+    starts = np.flatnonzero(inside & (gap[:-1] | first[:-1]))
+    gap[:-1] = ~inside
+    gap[-1] = True
+    return starts, np.flatnonzero(inside & (gap[1:] | first[1:])) + 1
 
 
 def text_pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import embedding_dedup, exact_dedup, fill_middle, jaccard_join, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan, token_files
+from plumbline.llm import collocations, embedding_dedup, exact_dedup, fill_middle, jaccard_join, license_scan, lm_scoring, mixing, packing, pii_scan, quality, secret_scan, token_files
 from plumbline.llm.registry import ORACLES, QUERIES, query
 from plumbline.llm.tables import table
 from plumbline.session import checkpoint_folder
@@ -127,6 +127,31 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_collocations",
+    """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM p),
+      i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+      g AS (SELECT lang, ks.k AS k, array_to_string(ws[i:i + ks.k - 1], ' ') AS phrase FROM i, (VALUES (1), (2), (3), (4)) ks(k) WHERE i + ks.k - 1 <= len(ws)),
+      f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+      n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+      c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+      x AS (SELECT c.lang, c.phrase, s.f AS s FROM c JOIN f s ON s.lang = c.lang AND s.k > c.k AND contains(' ' || s.phrase || ' ', ' ' || c.phrase || ' ')
+        WHERE 100::HUGEINT * s.f >= 80::HUGEINT * c.a),
+      d AS (SELECT * FROM c WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM x)),
+      u AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM d),
+      t AS (SELECT u.*, l.f AS l, r.f AS r, (2000000::HUGEINT * u.a // (l.f::HUGEINT + r.f)) AS score FROM u
+        JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.ws[1:cut], ' ')
+        JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.ws[cut + 1:u.k], ' ')),
+      b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+      o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+    SELECT o.lang, rank, phrase, a, l, r, n.n AS n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(table(spark, sf, "documents").select("text", "lang"))
+
+
 @query("op13_token_files")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
