@@ -14,7 +14,6 @@ Tokens are not shuffled unless whole sequences are asked for.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.batches import map_rows
 from plumbline.llm.tables import text_or_empty, written
+from plumbline.llm.tokens import Encoder
 
 SEQUENCE = 1024
 END_OF_TEXT = 2
@@ -31,36 +31,6 @@ TOKENIZER = "byte_bpe_50k.json"
 BUCKET_PIECES = 16_384
 FIT_STEPS = 150
 KEPT_PATTERNS = 8192
-RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}  # the same vocabulary in another library's form
-
-
-class Encoder:
-    """Token ids as little-endian 32-bit bytes, of the tokenizer file `name`.
-
-    Where the vocabulary also comes as ranks, texts of Latin letters and common signs go by these, which gives the same
-    ids in less time; all others go to the tokenizer itself. Strings of special tokens in a text are ordinary text.
-    """
-
-    def __init__(self, name: str) -> None:
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ–-…€]*+").fullmatch
-        self.ranks = None
-        if name in RANKS:
-            import tiktoken
-
-            with open(public_tokenizers.path(RANKS[name]), "rb") as lines:
-                ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __call__(self, text: str) -> bytes:
-        if self.ranks is not None and self.plain(text) is not None:
-            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _spans(tokens: int, sequence: int) -> Iterator[tuple[int, int]]:
@@ -77,7 +47,8 @@ def pieces(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (bytes, 32-bit little-endian).
 
-    A null or empty text is one piece with the end token alone.
+    A null or empty text is one piece with the end token alone. Very long texts are tokenized whole. The string of an
+    added token in a text gives that token's id, as the tokenizers library does by default.
     """
     name = tokenizer or TOKENIZER
 

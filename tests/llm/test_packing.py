@@ -18,7 +18,6 @@ from plumbline.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
@@ -81,7 +80,12 @@ def test_repeated_and_null_ids(spark):
     assert packing.pack_documents(docs.limit(0)).collect() == []
 
 
-def test_ranks_give_the_tokenizers_ids(tokenizer):
+def test_added_tokens_count_as_the_library_counts_them(spark):
+    rows = packing.pieces(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string"), with_ids=True).collect()
+    assert struct.unpack("<4I", rows[0].ids) == (64, 50256, 65, packing.END_OF_TEXT)
+
+
+def test_words_give_the_tokenizers_ids(tokenizer):
     encode = packing.Encoder("byte_bpe_50k.json")
     for c in map(chr, [*range(1, 0x300), *range(0x2000, 0x2070), 0x20AC, 0x3000, 0xFEFF]):
         t = f"a{c}b {c} {c}{c}  {c}\n{c}'s '{c}1{c}{c} {c}"
