@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.batches import map_rows
@@ -35,10 +36,12 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 CANDIDATE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{2,253}|\+?(?<![0-9A-Za-z])[0-9][0-9().-]{4,40}[0-9](?![0-9A-Za-z])")
 _WORD = re.compile(r"\S+")
 CONTEXT = 80
-ROUNDS = 3
+ROUNDS = 20
+TOLERANCE = 1e-3
 PRIOR = 2.0
 MIN_CONFIDENCE = 0.8
-MIN_SEEDS = 3
+MIN_SEEDS = 8  # with the prior, the fewest whose confidence can reach the threshold
+INSTANCE_CHARS = 320
 SPAN = "struct<kind: string, start: bigint, end: bigint>"
 OCCURRENCE = "struct<kind: string, start: bigint, end: bigint, instance: string, patterns: array<string>>"
 
@@ -63,10 +66,16 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _at_most_255(digits: str) -> bool:
+    """Whatever the number of leading zeros."""
+    rest = digits.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and rest <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by kind, then start."""
     out = [("email", s, e) for s, e in emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_at_most_255(g) for g in m.groups())]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0]) if m.end() - m.start() <= 40 else ""
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -83,6 +92,11 @@ def lexical_patterns(text: str, start: int, end: int) -> list[str]:
     return out + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
 
 
+def _instance(text: str) -> str:
+    """Short texts stand for themselves, long ones by a hash of all of them."""
+    return text if len(text) <= INSTANCE_CHARS else f"#{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
 def occurrences(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans, and every seed or candidate (kind null) with its text and patterns."""
     base = base_spans(text)
@@ -94,14 +108,15 @@ def occurrences(text: str) -> tuple[list[dict], list[dict]]:
             i += 1
         if i == len(taken) or taken[i][0] >= m.end():
             found.append((None, *m.span()))
-    named = [{"kind": k, "start": s, "end": e, "instance": text[s:e].lower()[:320], "patterns": lexical_patterns(text, s, e)} for k, s, e in found]
+    named = [{"kind": k, "start": s, "end": e, "instance": _instance(text[s:e].lower()), "patterns": lexical_patterns(text, s, e)} for k, s, e in found]
     return [{"kind": k, "start": s, "end": e} for k, s, e in base], named
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """Rows (pattern, instance, kind or null) of single occurrences to (pattern, kind, confidence, seeds).
 
-    `seeds` counts the pattern's distinct seed instances of the kind.
+    `seeds` counts the pattern's distinct seed instances of the kind. Rounds go on until no confidence moves by more
+    than `TOLERANCE`, `rounds` at most.
     """
     graph = written(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "graph")
     degree = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -111,10 +126,16 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR,
     known = graph.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     scores = None
     for _ in range(rounds):
+        before = scores
         believed = graph.select("pattern", "instance").join(known, "instance")
         mass = believed.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
         scores = patterns.join(mass, ["pattern", "kind"]).withColumn("confidence", F.least(F.lit(1.0), F.col("mass") / (F.col("n") + prior)))
         scores = written(scores.select("pattern", "kind", "confidence", "seeds"), "scores")
+        if before is not None:
+            moved = F.abs(F.col("confidence") - F.coalesce(F.col("earlier"), F.lit(0.0)))
+            both = scores.join(before.select("pattern", "kind", F.col("confidence").alias("earlier")), ["pattern", "kind"], "left")
+            if (both.agg(F.max(moved)).first()[0] or 0.0) <= TOLERANCE:
+                break
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         derived = graph.where("kind IS NULL").select("pattern", "instance").join(scores, "pattern")
         derived = derived.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
@@ -128,7 +149,7 @@ def scan(
 ) -> DataFrame:
     """`docs` without `text`, plus base and discovered: arrays of (kind, start, end) in code points.
 
-    A null or empty text has no spans. Rows are independent places of the same corpus statistics; repeated rows give
+    A null or empty text has no spans, very long ones are read whole. Rows are independent places of the same corpus statistics; repeated rows give
     repeated results, and add nothing to a pattern's distinct instances. Where patterns of two kinds claim a candidate,
     the more confident one wins, then the kind's name. An empty table gives an empty result. Columns of `docs` called
     base or discovered are replaced.

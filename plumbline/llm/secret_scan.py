@@ -45,7 +45,7 @@ BASE = (
 # The library's own.
 EXTRA = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+"),
 )
 RULES = BASE + EXTRA
 FINDING = "array<struct<rule string, start long, end long>>"
@@ -111,10 +111,13 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: st
     map_rows(fresh, make, f"blob binary, tags array<string>, findings {FINDING}").write.mode("append").parquet(ledger)
     # findings of the rule versions asked for; blobs without any are left to the outer join
     current = {r.name: r.tag for r in rules}
-    rows = _ledger(spark, ledger).select("blob", "tags", F.explode("findings").alias("f"))
+    rows = _ledger(spark, ledger)
+    if known is not None:  # else the ledger holds the blobs at hand and no others
+        rows = rows.join(docs.select(blob.alias("blob")).distinct(), "blob", "left_semi")
+    rows = rows.select("blob", "tags", F.explode("findings").alias("f"))
     tag_of = F.create_map(*[F.lit(x) for pair in current.items() for x in pair])
     rows = rows.where(F.array_contains("tags", tag_of[F.col("f.rule")]))
-    found = rows.groupBy("blob").agg(F.collect_list("f").alias("findings"))
+    found = rows.groupBy("blob").agg(F.collect_set("f").alias("findings"))  # two scans at once may both have recorded a blob
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in ("blob", "findings")]
     paths = docs.select(*keep, blob.alias("blob")).join(written(found, "found"), "blob", "left")
     return paths.withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))

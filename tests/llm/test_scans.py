@@ -76,6 +76,31 @@ def test_pii_query_has_the_base_spans(spark, sf, texts):
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r.spans.split(","))
 
 
+def test_pii_long_runs_of_digits(spark):
+    zeros = "0" * 6000
+    assert pii_scan.base_spans(f"{zeros}1.2.3.{zeros}255") == [("ip", 0, len(zeros) * 2 + 9)]
+    assert pii_scan.base_spans("1.2.3.256 1.2.3.1000 0.0.0.0") == [("ip", 21, 28)]
+    long = pii_scan._instance("a" * 400 + "b")
+    assert len(long) < 40 and long != pii_scan._instance("a" * 400 + "c") and pii_scan._instance("short") == "short"
+
+
+def test_pii_rounds_end_when_confidence_stands_still(spark):
+    edges = [("p", f"seed{i}", "email") for i in range(10)] + [("p", f"unseen{i}", None) for i in range(4)]
+    got = pii_scan.score_patterns(spark.createDataFrame(edges, "pattern string, instance string, kind string")).collect()
+    assert len(got) == 1 and abs(got[0].confidence - 10 / 12) < 0.01 and got[0].seeds == 10
+
+
+def test_jwt_rule_is_linear_and_anchored():
+    import time
+
+    pattern = re.compile(next(r.pattern for r in secret_scan.EXTRA if r.name == "jwt"), re.A)
+    token = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 20
+    assert pattern.search(f"x {token} y").span() == (2, 2 + len(token)) and not pattern.search("z" + token)
+    start = time.perf_counter()
+    assert not pattern.search("eyJ" * 300_000)
+    assert time.perf_counter() - start < 2
+
+
 def test_pii_context_finds_an_unseen_identifier(spark):
     seeds = [f"w{i} please call me {'+1 202 555 01' + str(10 + i)} today" for i in range(12)]
     rows = [(i, t) for i, t in enumerate(seeds)] + [(90, "so please call me 555-0199-77 today"), (91, "in room 555-0199-88 of it"), (92, "nothing here")]
