@@ -458,7 +458,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
     for _ in range(2):
         pairs, left = _cell_pairs(cells, vectors, joined, tried, left, percent)
         if pairs.isEmpty():
-            break  # every pair that may link has been tried or is connected
+            continue  # the next wave asks for the pairs that this one set aside
         tried = written(tried.unionByName(pairs), "tried")
         new = _verified(pairs, texts, members, percent)
         if not new.isEmpty():
@@ -496,11 +496,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percen
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     verdict = found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
     verdict = written(verdict.where(~F.col("stays") | (F.col("n") > 1)), "verdicts")
-    key, stay = free(docs, "text_key"), free(docs, "stays")
-    verdict = verdict.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("stays").alias(stay))
+    key, stay, judged_id, judged_key = (free(docs, c) for c in ("text_key", "stays", "judged_id", "judged_key"))
+    verdict = verdict.select(F.col("doc_id").alias(judged_id), F.col("text_key").alias(judged_key), F.col("stays").alias(stay))
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64(text_or_empty(text)))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key"))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(judged_id)) & (F.col(key) == F.col(judged_key))
     judged = keyed.join(verdict, same, "left")
     once = judged.where(F.col(stay)).dropDuplicates([doc_id, key])
     return judged.where(F.col(stay).isNull()).select(*names).unionByName(once.select(*names))

@@ -94,6 +94,25 @@ def test_odd_texts(spark):
     assert jj.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_words_whose_polynomials_agree_are_told_apart(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join(f"{w}{k}{w}" for k in range(12)) for w in (one, other)]
+    rows = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, one), (4, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jj.near_duplicates(rows).collect()) == [(i, i) for i in (1, 2, 3, 4)]
+
+
+def test_keep_one_keeps_columns_with_internal_names(spark):
+    names = ["_id", "_key", "text_key", "stays", "judged_id", "judged_key", "n_shingles", "component_id", "sig", "token", "n"]
+    rows = [(i, "the same five words here" if i < 3 else f"another text number {i} altogether") for i in range(5)]
+    docs = spark.createDataFrame([(*r, *(f"own {c}" for c in names)) for r in rows], ["doc_id", "text", *names])
+    out = jj.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in docs.collect() if r.doc_id not in (1, 2))
+
+
 def test_keep_one(spark):
     base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
     near = [" ".join(base), " ".join(base + ["more"]), " ".join(["less"] + base)]
