@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.batches import WordHasher, mixed, text_pieces
-from plumbline.llm.tables import text_or_empty
+from plumbline.llm.tables import free, text_or_empty
 
 VOCABULARY = 32_768
 CELLS = 1 << 21
@@ -188,9 +188,11 @@ def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
 def marked(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`docs` with a column target: whether the row's id is among `ids` (one column, doc_id).
 
-    Ids are broadcast while their number is small, and joined by a shuffle beyond that.
+    Ids are broadcast while their number is small, and joined by a shuffle beyond that. Null ids mark nothing, rows with
+    a null id are not marked, repeated ids count once, and a column target of `docs` is replaced.
     """
-    ids = ids.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_mark", F.lit(True))
+    key, mark = free(docs, "marked_id"), free(docs, "mark")
+    ids = ids.select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(mark, F.lit(True))
     few = ids.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    found = docs.drop("target").join(F.broadcast(ids) if few else ids, F.col(f"`{doc_id}`") == F.col("_id"), "left")
-    return found.withColumn("target", F.col("_mark").isNotNull()).drop("_id", "_mark")
+    found = docs.drop("target").join(F.broadcast(ids) if few else ids, F.col(f"`{doc_id}`") == F.col(key), "left")
+    return found.withColumn("target", F.col(mark).isNotNull()).drop(key, mark)

@@ -175,20 +175,20 @@ def plan_mix(
 
 
 def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: `docs` with each row as often as it is taken, one shard to a partition, locally shuffled.
+    """The mix itself: `docs` with each row as often as it is taken, the rows of a shard together and locally shuffled.
 
     Rows find their plan by doc_id and a hash of the whole row. Rows equal in all columns share one place in the plan,
     which holds all their copies. Columns are those of `docs`.
     """
     seed = options.get("seed", SEED)
-    ident, shards, many = free(docs, "ident"), free(docs, "shards"), free(docs, "many")
+    ident, shards, many, plan_id, plan_ident = (free(docs, c) for c in ("ident", "shards", "many", "plan_id", "plan_ident"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     plan = plan_mix(docs, source, text, doc_id, **options).groupBy("doc_id", "ident").agg(
         F.flatten(F.collect_list("shards")).alias(shards), (F.count(F.lit(1)) > 1).alias(many)
     )
-    plan = plan.where(F.size(shards) > 0).select(F.col("doc_id").alias("_id"), F.col("ident").alias("_ident"), shards, many)
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col(ident) == F.col("_ident"))
-    found = docs.withColumn(ident, F.xxhash64(*names)).join(plan, same).drop("_id", "_ident")
+    plan = plan.where(F.size(shards) > 0).select(F.col("doc_id").alias(plan_id), F.col("ident").alias(plan_ident), shards, many)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(plan_id)) & (F.col(ident) == F.col(plan_ident))
+    found = docs.withColumn(ident, F.xxhash64(*names)).join(plan, same).drop(plan_id, plan_ident)
     once = found.where(~F.col(many)).unionByName(found.where(many).dropDuplicates([doc_id, ident]))
     out = once.select(*names, ident, F.posexplode(shards).alias(many, shards))
     # partitions follow the shards; the order within is random and repeatable
