@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.llm import quality
@@ -26,6 +27,29 @@ def test_query_scores_every_document(spark, sf):
     assert all(0 <= r.score <= 1 and r.kept == (r.score >= quality.THRESHOLD) for r in out)
 
 
+def test_calibration_line():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 2, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(1.5 * x - 0.7)))).astype(float)
+    slope, intercept = quality.fit_line(x, y, 0.0)
+    assert abs(slope - 1.5) < 0.08 and abs(intercept + 0.7) < 0.08
+    assert quality.fit_line(-x, y)[0] == 0.0
+    assert all(np.isfinite(quality.fit_line(np.array([-30.0, 30.0] * 20), np.array([0.0, 1.0] * 20))))
+
+
+def test_labels_that_are_mostly_bad_keep_what_the_models_say(spark):
+    """Names of every internal column as columns of the user, and a user's own scores."""
+    docs = corpus(spark)
+    names = ["row", "body", "words", "numbers", "tags", "size", "tf", "shares", "tagged", "x0", "x6", "content", "page", "raw", "m", "id", "label", "held", "weight", "wanted", "m_page"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names} | {"content_score": F.lit(-5.0), "page_score": F.lit(-6.0)})
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality")).where("quality = 0 OR doc_id < 60")
+    out = quality.keep_good(docs, labels)
+    assert out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert rows and all(r.content_score == -5.0 and r.page_score == -6.0 and all(r[c] == f"own {c}" for c in names) for r in rows)
+    assert quality.keep_good(docs, labels.where("quality = 0")).count() == docs.count()
+
+
 def corpus(spark):
     rows = []
     for i in range(240):
@@ -39,7 +63,7 @@ def test_a_view_learns_from_the_other(spark):
     """Only the content tells the classes among the labelled rows; pseudo-labels teach the page view about new sources."""
     docs = corpus(spark).withColumn("source", F.when(F.col("doc_id") < 80, "old").otherwise(F.col("source"))).drop("score", "_words")
     labels = docs.where("doc_id < 80").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
-    page = lambda m: {r.source: r.p for r in quality._margin(m.models["page"], "page", quality.with_views(docs), "m").groupBy("source").agg(F.avg("m").alias("p")).collect()}
+    page = lambda m: {r.source: r.p for r in quality._margin(m.models["page"], "page", quality.with_views(docs), "m").groupBy("row.source").agg(F.avg("m").alias("p")).collect()}
     alone, taught = (page(quality.fit(docs, labels, rounds=r, sure=0.9)) for r in (0, 2))
     assert taught["good.org"] - taught["bad.org"] > alone["good.org"] - alone["bad.org"] + 1
 
@@ -72,5 +96,5 @@ def test_fits_run_for_the_full_rounds_and_steps(spark, monkeypatch):
     docs = corpus(spark).drop("score", "_words")
     labels = docs.where("doc_id < 120").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
     quality.fit(docs, labels)
-    assert len(fits) == 2 * (1 + 3) + 2
+    assert len(fits) == 2 * (1 + 3)  # calibration lines are fitted by Newton steps of their own
     assert all(f["maxIter"] == 60 and f.get("tol", 1e-6) == 1e-6 for f in fits)
