@@ -54,6 +54,9 @@ class TrainConfig:
     n_estimators: int = 100
     subsample: float = 0.8
     n_trials: int = 20
+    patience: int = 30
+    parallel_trials: int = 4
+    search_seconds: float = 3600.0
     forest_trees: int = 300
     forest_depth: int = 10
     forest_min_leaf: int = 5

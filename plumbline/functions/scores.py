@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -104,3 +104,13 @@ def priority(
     if strategy == "oracle":
         return F.lit(0.0)
     raise ValueError(f"unknown strategy: {strategy}")
+
+
+def example_weight(source: Column, weights: Mapping[str, float]) -> Column:
+    """How much a row counts by where its label comes from; a source that is not named, or null, counts as 1."""
+    out = F.lit(1.0)
+    for name, value in weights.items():
+        if value < 0:
+            raise ValueError(f"weight of {name} must not be negative: {value}")
+        out = F.when(source == name, F.lit(float(value))).otherwise(out)
+    return out

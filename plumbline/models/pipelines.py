@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,9 +18,11 @@ from plumbline import fixed_values as fv
 from plumbline.config import TrainConfig
 from plumbline.functions.scores import encode_target
 from plumbline.operators.metrics import profile_metrics, score_profile
+from plumbline.models.staged import stop_by_precision
 from plumbline.operators.quality import feature_contract
+from plumbline.session import stage
 
-LABEL, WEIGHT, VALIDATION = "y", "weight", "is_validation"
+LABEL, WEIGHT, VALIDATION, EXAMPLE = "y", "weight", "is_validation", "example_weight"
 
 
 def training_matrix(
@@ -31,16 +37,18 @@ def training_matrix(
 def balanced(df: DataFrame, positives_only: bool = False) -> DataFrame:
     """Weights that balance the classes: n / (2 n_c), or n_neg / n_pos on positives alone.
 
-    Rows marked in `is_validation` are weighted like the others but do not count.
+    Rows marked in `is_validation` are weighted like the others but do not count. A column `example_weight` counts rows
+    by its values, and multiplies their class weight.
     """
     counted = df.where(~F.col(VALIDATION)) if VALIDATION in df.columns else df
-    counts = counted.agg(F.count("*").cast("double").alias("n"), F.sum(LABEL).alias("p")).select(F.struct("*")).scalar()
+    own = F.col(EXAMPLE).cast("double") if EXAMPLE in df.columns else F.lit(1.0)
+    counts = counted.agg(F.sum(own).alias("n"), F.sum(F.col(LABEL) * own).alias("p")).select(F.struct("*")).scalar()
     n, p = counts.getField("n"), counts.getField("p")
     if positives_only:
         w = F.when((F.col(LABEL) == 1) & (p > 0), (n - p) / F.nullif(p, F.lit(0.0))).otherwise(1.0)
     else:
         w = n / F.nullif(2 * F.when(F.col(LABEL) == 1, p).otherwise(n - p), F.lit(0.0))
-    return df.withColumn(WEIGHT, w)
+    return df.withColumn(WEIGHT, w * own)
 
 
 def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -74,15 +82,19 @@ def fit_boosted(
     df: DataFrame, features: Sequence[str], cfg: TrainConfig = TrainConfig(), early_stopping: bool = False,
     min_instances: int = 1, feature_share: float = 1.0,
 ) -> PipelineModel:
-    """Gradient-boosted trees; with `early_stopping` the rows marked in `is_validation` decide when to stop."""
+    """Gradient-boosted trees. With `early_stopping` the trees are fitted on the rows that are not marked in
+    `is_validation`, and kept up to the number with the best average precision on the marked ones (see `staged`)."""
     boosted = GBTClassifier(
         labelCol=LABEL, weightCol=WEIGHT, maxIter=cfg.n_estimators, maxDepth=cfg.max_depth,
         stepSize=cfg.learning_rate, subsamplingRate=cfg.subsample, seed=cfg.seed,
         minInstancesPerNode=min_instances, featureSubsetStrategy=str(feature_share) if feature_share < 1 else "all",
     )
-    if early_stopping:
-        boosted = boosted.setValidationIndicatorCol(VALIDATION)
-    return Pipeline(stages=[_assembler(features), boosted]).fit(balanced(df, positives_only=True))
+    pipeline = Pipeline(stages=[_assembler(features), boosted])
+    if not early_stopping:
+        return pipeline.fit(balanced(df, positives_only=True))
+    model = pipeline.fit(balanced(df.where(~F.col(VALIDATION)), positives_only=True))
+    watched = EXAMPLE if EXAMPLE in df.columns else None
+    return stop_by_precision(model, df.where(VALIDATION), LABEL, cfg.patience, watched)
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "p_lead") -> DataFrame:
@@ -95,7 +107,7 @@ def score(model: PipelineModel, df: DataFrame, name: str = "p_lead") -> DataFram
 
 def average_precision(model: PipelineModel, df: DataFrame) -> float:
     scored = score(model, df, "_p")
-    return profile_metrics(score_profile(scored, LABEL, "_p")).first()["pr_auc"]
+    return profile_metrics(score_profile(scored, LABEL, "_p", weight=EXAMPLE if EXAMPLE in df.columns else None)).first()["pr_auc"]
 
 
 def trial_grid(n: int, seed: int = fv.SEED) -> list[dict]:
@@ -118,19 +130,29 @@ def trial_grid(n: int, seed: int = fv.SEED) -> list[dict]:
 def search_boosted(
     train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: TrainConfig = TrainConfig()
 ) -> tuple[dict, DataFrame]:
-    """Random search maximising average precision on the validation rows: best draw and the table of trials."""
-    import dataclasses
-
-    spark, rows = train.sparkSession, []
-    for i, draw in enumerate(trial_grid(cfg.n_trials, cfg.seed)):
-        tuned = dataclasses.replace(
-            cfg, max_depth=draw["max_depth"], learning_rate=draw["learning_rate"], subsample=draw["subsample"]
-        )
-        model = fit_boosted(train, features, tuned, min_instances=draw["min_instances"], feature_share=draw["feature_share"])
-        rows.append({"trial": i, **draw, "pr_auc": average_precision(model, validation)})
+    """Random search maximising average precision on the validation rows: best draw and the table of trials.
+
+    Every trial stops by average precision. Trials are fitted as concurrent jobs over one written matrix,
+    `parallel_trials` at a time; each draw has its own seed-free result, so the number changes nothing but the time.
+    No trial begins after `search_seconds`; the first one always runs. Of equal trials the first one counts.
+    """
+    both = train.withColumn(VALIDATION, F.lit(False)).unionByName(validation.withColumn(VALIDATION, F.lit(True)))
+    staged, began = stage(both), time.monotonic()
+
+    def trial(numbered: tuple[int, dict]) -> dict | None:
+        i, draw = numbered
+        if i and time.monotonic() - began > cfg.search_seconds:
+            return None
+        tuned = dataclasses.replace(cfg, **{k: draw[k] for k in ("max_depth", "learning_rate", "subsample")})
+        model = fit_boosted(staged, features, tuned, True, draw["min_instances"], draw["feature_share"])
+        return {"trial": i, **draw, "n_trees": model.stages[-1].getNumTrees, "pr_auc": average_precision(model, staged.where(VALIDATION))}
+
+    with ThreadPoolExecutor(max(1, cfg.parallel_trials)) as pool:
+        call = inheritable_thread_target(train.sparkSession)(trial)
+        rows = [r for r in pool.map(call, enumerate(trial_grid(cfg.n_trials, cfg.seed))) if r is not None]
     best = max(rows, key=lambda r: (r["pr_auc"] == r["pr_auc"], r["pr_auc"]))
-    kinds = "trial int, max_depth int, learning_rate double, subsample double, feature_share double, min_instances int, pr_auc double"
-    return best, spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
+    kinds = "trial int, max_depth int, learning_rate double, subsample double, feature_share double, min_instances int, n_trees int, pr_auc double"
+    return best, train.sparkSession.createDataFrame([tuple(r.values()) for r in rows], kinds)
 
 
 def monotone_audit(

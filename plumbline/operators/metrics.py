@@ -6,7 +6,8 @@ running counts that AP and ROC need go through `running_totals` instead of a one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,11 +18,20 @@ NAN = float("nan")
 METRICS = ("pr_auc", "roc_auc", "f2", "brier_score", "recall_at_20pct")
 
 
-def score_profile(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: positives, rows, and both before it in descending score order."""
-    counts = df.groupBy(*by, F.col(p).alias("score")).agg(
-        F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("rows")
-    )
+def score_profile(df: DataFrame, y: str, p: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Per distinct score: positives, rows, and both before it in descending score order.
+
+    With `weight` every row counts as much as its weight says (null: not at all); whole weights so give the profile of
+    the rows repeated as often.
+    """
+    if weight is None:
+        positives, rows = F.sum(F.col(y).cast("bigint")), F.count("*")
+    else:
+        w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+        positives, rows = F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)), F.sum(w)
+    counts = df.groupBy(*by, F.col(p).alias("score")).agg(positives.alias("pos"), rows.alias("rows"))
+    if weight is not None:
+        counts = counts.where("rows > 0")
     return running_totals(counts, "score", ["pos", "rows"], by, descending=True)
 
 
@@ -89,12 +99,21 @@ def threshold_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by:
     return sums.select(*by, _f2(F.col("_tp"), F.col("_fp"), F.col("_fn")).alias("f2"), "brier_score")
 
 
+def weighted_recall_at_share(profile: DataFrame, share: float = 0.20) -> DataFrame:
+    """Recall within the best-scored `share` of the total weight; of the score at the edge its part counts."""
+    sizes = profile.agg(F.sum("rows").alias("n"), F.sum("pos").alias("n_pos"))
+    room = sizes.select(F.col("n") * share).scalar()
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (room - F.col("rows_before")) / F.col("rows")))
+    found = profile.agg(F.sum(F.col("pos") * part)).scalar()
+    return sizes.select(F.when(F.col("n_pos") > 0, found / F.nullif("n_pos", F.lit(0.0))).otherwise(NAN).alias("recall"))
+
+
 def compute_metrics(
-    df: DataFrame, y: str, p: str, row_id: str, threshold: float = 0.5, share: float = 0.20, prefix: str = ""
+    df: DataFrame, y: str, p: str, row_id: str, threshold: float = 0.5, share: float = 0.20, prefix: str = "", weight: str | None = None
 ) -> DataFrame:
-    """All five metrics as one row."""
-    profile = score_profile(df, y, p)
-    recall = recall_at_share(df, y, p, row_id, share, profile)
+    """All five metrics as one row. With `weight`, rows, positives and every sum count rows by it."""
+    profile = score_profile(df, y, p, weight=weight)
+    recall = recall_at_share(df, y, p, row_id, share, profile) if weight is None else weighted_recall_at_share(profile, share)
     out = profile_metrics(profile, threshold).withColumn("recall_at_20pct", recall.scalar())
     return out.select("n", "n_pos", *[F.col(m).alias(f"{prefix}{m}") for m in METRICS])
 
@@ -133,6 +152,32 @@ def fold_summary(results: DataFrame, model: str, value: str, group: str, first:
     return out.withColumn("delta", F.col(f"mean_{first}") - F.col(f"mean_{second}"))
 
 
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13))
+
+
+def bootstrap_precision(
+    df: DataFrame, y: str, p: str, row_id: str, replicates: int = 200, level: float = 0.95, seed: int = 42,
+    key: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Average precision with its bootstrap interval: one row (pr_auc, low, high, n_replicates).
+
+    In each replicate a row counts as often as a Poisson(1) number says, drawn from a hash of (row, replicate) - `key`
+    gives a uniform number in [0, 1) instead - so no rows are drawn or moved, reruns agree, and a replicate is a weighted
+    score profile. All replicates share one pass: rows are collapsed per
+    replicate and score before they are shuffled. Replicates in which a class is missing have no value and do not count.
+    """
+    uniform = key or (lambda row, r: F.shiftrightunsigned(F.xxhash64(F.lit(seed), row, r), 11) / F.lit(float(1 << 53)))
+    drawn = df.select(F.col(y).alias("_y"), F.col(p).alias("_p"), F.col(row_id).alias("_row"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = drawn.withColumn("_u", uniform(F.col("_row"), F.col("replicate")))
+    times = sum((F.when(F.col("_u") >= c, 1.0).otherwise(0.0) for c in POISSON), start=F.lit(0.0))
+    counted = drawn.withColumn("_times", times).where("_times > 0")
+    each = profile_metrics(score_profile(counted, "_y", "_p", ["replicate"], "_times"), by=["replicate"]).where(~F.isnan("pr_auc"))
+    tails = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    interval = each.agg(F.percentile("pr_auc", tails).alias("_t"), F.count("*").alias("n_replicates"))
+    whole = profile_metrics(score_profile(df, y, p)).select("pr_auc")
+    return interval.select(whole.scalar().alias("pr_auc"), F.col("_t")[0].alias("low"), F.col("_t")[1].alias("high"), "n_replicates")
+
+
 def log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
     q = clip(F.col(p), eps, 1 - eps)
     return df.agg((-F.avg(F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))

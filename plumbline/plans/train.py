@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.config import TrainConfig
-from plumbline.functions.scores import cutoff_heuristic, nonconformity
+from plumbline.functions.scores import cutoff_heuristic, example_weight, nonconformity
 from plumbline.models import pipelines as ml, store
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
@@ -38,15 +38,26 @@ class Prepared:
         return self.rows.where(F.col("split") == name)
 
     def matrix(self, name: str, features: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-        return ml.training_matrix(self.part(name), features or self.features, self.label, [self.row_id, *keep])
+        return ml.training_matrix(self.part(name), features or self.features, self.label, [self.row_id, ml.EXAMPLE, *keep])
+
+    @property
+    def weight(self) -> str | None:
+        return ml.EXAMPLE if ml.EXAMPLE in self.rows.columns else None
 
 
 def prepare(
     base: DataFrame, mode: str, features: Sequence[str], row_id: str = "property_id", label: str = "service_line_material",
-    cutoff: str | None = None, exclude_self: bool = True, min_test_rows: int | None = 100, key: Column | None = None, **split: object,
+    cutoff: str | None = None, exclude_self: bool = True, min_test_rows: int | None = 100, key: Column | None = None,
+    source_weights: Mapping[str, float] | None = None, source: str = "material_source", **split: object,
 ) -> Prepared:
     """Split the labelled rows, fill gaps with values of the training rows, then build label features from the
-    training rows for all parts in one pass."""
+    training rows for all parts in one pass.
+
+    `source_weights` says how much a row of each label source counts (others and null: 1) in fits, calibration and
+    metrics of everything that is built on the result.
+    """
+    if source_weights:
+        base = base.withColumn(ml.EXAMPLE, example_weight(F.col(source), source_weights))
     known = F.col(label).isin(*fv.KNOWN_LABELS)
     rows, meta = split_dataset(
         base, mode, row_id, label, known, cutoff=cutoff, min_test_rows=min_test_rows, key=key, **split
@@ -92,20 +103,20 @@ def train_boosted(data: Prepared, cfg: TrainConfig = TrainConfig(), search: bool
     features, trials, tuned = data.features, None, {}
     if search:
         marked = inner_validation(data.part("train"), data.row_id, mode, seed=cfg.seed, key=key)
-        parts = [ml.training_matrix(marked.where(c), features, data.label) for c in ("not is_validation", "is_validation")]
+        parts = [ml.training_matrix(marked.where(c), features, data.label, [ml.EXAMPLE]) for c in ("not is_validation", "is_validation")]
         best, trials = ml.search_boosted(*parts, features, cfg)
         cfg = dataclasses.replace(cfg, max_depth=best["max_depth"], learning_rate=best["learning_rate"], subsample=best["subsample"])
         tuned = {"min_instances": best["min_instances"], "feature_share": best["feature_share"]}
     train = data.matrix("train").withColumn(ml.VALIDATION, F.lit(False))
     watch = data.matrix("calibration").withColumn(ml.VALIDATION, F.lit(True))
     model = ml.fit_boosted(train.unionByName(watch), features, cfg, early_stopping=True, **tuned)
-    calibration = fit_sigmoid(ml.score(model, data.matrix("calibration"), "p_raw"), "p_raw", ml.LABEL)
+    calibration = fit_sigmoid(ml.score(model, data.matrix("calibration"), "p_raw"), "p_raw", ml.LABEL, data.weight)
     return Trained(model, calibration, features, trials)
 
 
 def evaluate(trained: Trained, data: Prepared, baseline_ap: float | None = None) -> DataFrame:
     """Test metrics of the calibrated model, with the gate against a baseline when one is given."""
-    out = compute_metrics(trained.score(data.matrix("test")), ml.LABEL, "p_lead", data.row_id)
+    out = compute_metrics(trained.score(data.matrix("test")), ml.LABEL, "p_lead", data.row_id, weight=data.weight)
     if baseline_ap is None:
         return out
     return improvement_gate(out.withColumn("_b", F.lit(baseline_ap)), "pr_auc", "_b").drop("_b")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
-from plumbline.models import pipelines as ml, store
+from plumbline.models import pipelines as ml, staged, store
 from plumbline.models.attributions import tree_attributions
 from plumbline.models.calibration import apply_sigmoid, fit_sigmoid
 from plumbline.operators.equity import quartiles
@@ -13,6 +15,7 @@ from plumbline.queries.common import LOG, inspection_log, mixed, properties, que
 from plumbline.queries.modelling import INTRINSIC, SMALL, prepared
 from plumbline.queries.sources import log_json
 from plumbline.queries.splitting import HELD, ROWS
+from plumbline.session import stage
 from plumbline.streaming import inspections as I
 
 TEST = f"{ROWS}, {HELD}, test AS (SELECT lab.* FROM lab JOIN held USING (ward) WHERE part = 'test')"
@@ -102,3 +105,32 @@ def l4_total(spark, sf):
     stream = I.read_log(spark, log_json(spark, sf), 1)
     I.retrain_trigger(stream, scratch(spark), 1, lambda batch, pending: fired.append(pending)).awaitTermination()
     return inspection_log(spark, sf).limit(1).select(F.lit(fired[-1]).cast("long").alias("pending"))
+
+
+@query("j7_staged_precision", f"{TEST} SELECT CAST({SMALL.n_estimators} AS BIGINT) AS n_prefixes, TRUE AS chosen_is_best, TRUE AS margins_agree, count(*) AS n_rows FROM test")
+def j7_staged(spark, sf):
+    """Stopping keeps the prefix of largest average precision, and staged margins are those of the shorter models."""
+    data = shared_split(spark, sf)
+    watch, held = data.matrix("calibration"), data.matrix("test")
+    model = ml.fit_boosted(data.matrix("train"), INTRINSIC, SMALL)
+    curve = stage(staged.staged_precision(model, watch, ml.LABEL))
+    chosen = staged.stop_by_precision(model, watch, ml.LABEL, SMALL.patience)
+    kept = chosen.stages[-1].getNumTrees
+    best = curve.agg(F.max("pr_auc")).scalar() == curve.where(F.col("n_trees") == kept).agg(F.max("pr_auc")).scalar()
+    margins = staged.staged_margins(model, held).select("property_id", F.element_at("margins", kept).alias("_m"))
+    both = margins.join(ml.score(chosen, held, "_p").select("property_id", "_p"), "property_id")
+    near = F.abs(1.0 / (1.0 + F.exp(-2 * F.col("_m"))) - F.col("_p")) < 1e-9
+    return both.agg(
+        curve.agg(F.count("*")).scalar().alias("n_prefixes"), best.alias("chosen_is_best"), F.every(near).alias("margins_agree"), F.count("*").alias("n_rows")
+    )
+
+
+@query("o6_weighted_fit", f"{TEST} SELECT property_id, CAST(0 AS DOUBLE) AS gap FROM test")
+def o6_fit(spark, sf):
+    """Trees fitted on weighted rows score as those fitted on rows repeated by their weight."""
+    data = shared_split(spark, sf)
+    train = data.matrix("train").withColumn(ml.EXAMPLE, (1 + F.col("property_id") % 3).cast("double"))
+    repeated = train.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col(ml.EXAMPLE).cast("int")))).drop("_k", ml.EXAMPLE)
+    whole = dataclasses.replace(SMALL, subsample=1.0)
+    a, b = (ml.score(ml.fit_boosted(rows, INTRINSIC, whole), data.matrix("test"), f"_{n}").select("property_id", f"_{n}") for n, rows in (("a", train), ("b", repeated)))
+    return a.join(b, "property_id").select("property_id", r6(F.abs(F.col("_a") - F.col("_b")), "gap"))
