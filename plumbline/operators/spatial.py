@@ -2,7 +2,8 @@
 
 Points become unit vectors, so straight-line distance in a 3-D box needs no special care at the poles or the
 date line. Both sides are summarised as nested cells with tight bounding boxes; reference cells are split
-until they hold at most `LEAF_ROWS` rows. Pairs of (query cell, reference cell) are refined level by level:
+until they hold at most `LEAF_ROWS` rows, down to some micrometres, and levels at which no over-full cell
+could fall apart are passed over: the next one is chosen by the widest of their boxes. Pairs of (query cell, reference cell) are refined level by level:
 a reference cell survives while it could still hold one of the k nearest rows of some query in the cell.
 Only surviving leaf pairs reach the row-level join, so a cell holding a third of all rows is split instead of
 being paired with itself. Rows sharing one location are collapsed first: queries to a single row, references
@@ -11,6 +12,7 @@ to the k smallest ids, which is all that can rank among k neighbours ordered by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,14 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.geo import haversine_m, unit_vector
 from plumbline.session import stage
 
-FINEST_BITS = 21
+FINEST_BITS = 44
 STEP_BITS = 2
-LEVELS = tuple(range(STEP_BITS, FINEST_BITS, STEP_BITS))
 START_LEVEL = 4  # 16 steps per axis: at most 4096 cells per side whatever the data size, a few hundred on a sphere
 LEVELS_PER_PASS = 3
 LEAF_ROWS = 32
-CHORD_MARGIN = 1e-12
-ROOT_SHIFT = 3 * FINEST_BITS - 1  # drops every level of a cell code
+CHORD_MARGIN = 1e-14  # some times the rounding of two unit vectors and their distance
 AXES = ("x", "y", "z")
 BOX = tuple(f"{a}{end}" for a in AXES for end in (0, 1))
 
@@ -51,53 +51,50 @@ def _reference(df: DataFrame, lat: str, lon: str, ref_id: str | None, payload: S
 
 
 def _code(level: int) -> Column:
-    shift = FINEST_BITS - level
-    ix, iy, iz = (F.shiftright(f"i{a}", shift) for a in AXES)
-    return F.shiftleft(ix, 2 * FINEST_BITS).bitwiseOR(F.shiftleft(iy, FINEST_BITS)).bitwiseOR(iz)
+    return F.struct(*[F.shiftright(f"i{a}", FINEST_BITS - level).alias(a) for a in AXES])
 
 
-def _at_levels(df: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """One row per (row, level) with the cell code there and the code of its parent."""
-    if len(levels) == 1:
-        return df.withColumns({"level": F.lit(levels[0]), "code": _code(levels[0]), "parent": _code(levels[0] - STEP_BITS)})
+def _at_levels(df: DataFrame, levels: Sequence[int], above: int = 0) -> DataFrame:
+    """One row per (row, level) with the cell code there and the code of its parent, on the level before in the list
+    (`above` for the first)."""
     cells = [
-        F.struct(
-            F.lit(level).alias("level"),
-            _code(level).alias("code"),
-            _code(level - STEP_BITS).alias("parent"),
-        )
-        for level in levels
+        F.struct(F.lit(level).alias("level"), _code(level).alias("code"), _code(parent).alias("parent"))
+        for parent, level in zip((above, *levels), levels)
     ]
+    if len(levels) == 1:
+        return df.select("*", *[cells[0][c].alias(c) for c in ("level", "code", "parent")])
     return df.withColumn("_cell", F.explode(F.array(*cells))).select("*", "_cell.*").drop("_cell")
 
 
-def _cells(df: DataFrame, levels: Sequence[int]) -> DataFrame:
+def _cells(df: DataFrame, levels: Sequence[int], above: int = 0) -> DataFrame:
     """Tight box and row count of every non-empty cell on the given levels."""
     edges = [f(a).alias(f"{a}{end}") for a in AXES for f, end in ((F.min, 0), (F.max, 1))]
-    return _at_levels(df.select(*AXES, *[f"i{a}" for a in AXES]), levels).groupBy("level", "code", "parent").agg(
+    return _at_levels(df.select(*AXES, *[f"i{a}" for a in AXES]), levels, above).groupBy("level", "code", "parent").agg(
         F.count("*").alias("n"), *edges
     )
 
 
-def _reference_tree(points: DataFrame, levels: Sequence[int], leaf_rows: int) -> tuple[DataFrame, int]:
-    """Cells of the reference side, refined only where a cell still holds too many rows."""
-    tree, active, deepest, done = None, points, levels[0], 0
-    while done < len(levels):
-        chunk = levels[done : done + (LEVELS_PER_PASS if done else 1)]
-        done += len(chunk)
-        part = stage(_cells(active, chunk))
+def _reference_tree(points: DataFrame, start: int, leaf_rows: int, width: float) -> tuple[DataFrame, list[int]]:
+    """Cells of the reference side, refined only where a cell still holds too many rows, and the levels they lie on."""
+    tree, active, levels, chunk = None, points, [], [start]
+    while chunk:
+        part = stage(_cells(active, chunk, levels[-1] if levels else 0))
         tree = part if tree is None else tree.unionByName(part)
         too_full = part.where(F.col("n") > leaf_rows)
-        top = too_full.agg(F.max("level")).first()[0]
-        if top is None:
-            break
-        deepest = min(top + STEP_BITS, levels[-1])
-        if top < chunk[-1]:
+        widest = F.max(F.greatest(*[F.col(f"{a}1") - F.col(f"{a}0") for a in AXES]))
+        full = {r["level"]: r["widest"] for r in too_full.groupBy("level").agg(widest.alias("widest")).collect()}
+        levels += [level for level in chunk if level == chunk[0] or any(above in full for above in chunk[: chunk.index(level)])]
+        top = max(full, default=None)
+        if top is None or top < chunk[-1] or top == FINEST_BITS:
             break
+        # a cell of half that width is the largest that is sure to divide the widest box
+        bits = math.ceil(math.log2(width / full[top])) if full[top] > 0 else FINEST_BITS
+        first = min(FINEST_BITS, max(top + STEP_BITS, bits))
+        chunk = [level for level in range(first, first + LEVELS_PER_PASS * STEP_BITS, STEP_BITS) if level <= FINEST_BITS]
         split = too_full.where(F.col("level") == top).select(F.col("code").alias("_code"))
         active = active.join(split, _code(top) == F.col("_code"), "left_semi")
-    leaf = (F.col("n") <= leaf_rows) | (F.col("level") == levels[-1])
-    return tree.withColumn("leaf", leaf), deepest
+    tree = tree.where(F.col("level").isin(*levels))
+    return tree.withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("level") == levels[-1])), levels
 
 
 def _gap(far: bool) -> Column:
@@ -136,11 +133,11 @@ def _leaf_pairs(q_cells: DataFrame, r_cells: DataFrame, k: int, levels: Sequence
     q_box, r_box = [f"q{c}" for c in BOX], [f"r{c}" for c in BOX]
     r_state = ["rlevel", "rcode", *r_box, "rn", "rleaf"]
     # both sides hang below one root, so the first step pairs all top cells: START_LEVEL bounds them
-    q_top = q_cells.where(F.col("qlevel") == levels[0]).withColumn("_root", F.shiftright("qcode", ROOT_SHIFT))
-    r_top = r_cells.where(F.col("rlevel") == levels[0]).withColumn("_root", F.shiftright("rcode", ROOT_SHIFT))
+    q_top = q_cells.where(F.col("qlevel") == levels[0]).withColumn("_root", F.shiftright("qcode.x", FINEST_BITS))
+    r_top = r_cells.where(F.col("rlevel") == levels[0]).withColumn("_root", F.shiftright("rcode.x", FINEST_BITS))
     pairs = q_top.join(F.broadcast(r_top), "_root")
     done, columns = None, ["qlevel", "qcode", "rlevel", "rcode"]
-    for level in levels:
+    for level, below in zip(levels, (*levels[1:], None)):
         pairs = _prune(pairs.select("qlevel", "qcode", *q_box, *r_state), k)
         if len(levels) == 1:
             return pairs.select(*columns)
@@ -152,7 +149,6 @@ def _leaf_pairs(q_cells: DataFrame, r_cells: DataFrame, k: int, levels: Sequence
             break
         # split the reference side and prune against the undivided query cell before splitting that as well
         still = pairs.where("open").select("qcode", *q_box, *r_state)
-        below = level + STEP_BITS
         children = r_cells.where(F.col("rlevel") == below).select("rparent", *r_state)
         split = still.where(~F.col("rleaf")).select("qcode", *q_box, F.col("rcode").alias("rparent"))
         spread = split.join(children, "rparent").drop("rparent").unionByName(still.where("rleaf"))
@@ -192,8 +188,7 @@ def neighbours(
     q, r = q.withColumns(grid), r.withColumns(grid)
 
     start = STEP_BITS if measured[0] <= leaf_rows * (1 << 2 * STEP_BITS) else START_LEVEL
-    r_cells, deepest = _reference_tree(r, [level for level in LEVELS if level >= start], leaf_rows)
-    levels = [level for level in LEVELS if start <= level <= deepest]
+    r_cells, levels = _reference_tree(r, start, leaf_rows, width)
     q_cells = _cells(q, levels)
     pairs = _leaf_pairs(q_cells if len(levels) == 1 else stage(q_cells), r_cells, k, levels)
 

@@ -90,6 +90,21 @@ def e4(spark, sf):
     return out.select("property_id", F.col("e.ref_id").alias("point_id"), (F.col("pos") + 1).cast("bigint").alias("nth"), F.round("e.dist", 3).alias("metres"))
 
 
+DENSE = """spots AS (SELECT point_id, CASE WHEN point_id = 1 THEN -33.0::DOUBLE ELSE 41.8::DOUBLE + latitude / 1e5 END AS latitude,
+    CASE WHEN point_id = 1 THEN 151.0::DOUBLE ELSE -87.7::DOUBLE + longitude / 1e5 END AS longitude FROM points)"""
+
+
+@query("e3_dense_spot", f"WITH {PROPERTY}, {POINTS}, {DENSE}, near AS (SELECT property_id, 41.8::DOUBLE + latitude / 1e5 AS latitude, -87.7::DOUBLE + longitude / 1e5 AS longitude FROM property) {_nearest_sql('near', 'spots')}")
+def e3_dense(spark, sf):
+    """All within a metre or so but for one point on the far side of the world."""
+    squeezed = lambda df: df.withColumns({"latitude": F.lit(41.8) + F.col("latitude") / F.lit(1e5), "longitude": F.lit(-87.7) + F.col("longitude") / F.lit(1e5)})
+    rows = squeezed(properties(spark, sf).select("property_id", "latitude", "longitude"))
+    far = F.col("point_id") == 1
+    spots = squeezed(points(spark, sf)).withColumns({"latitude": F.when(far, -33.0).otherwise(F.col("latitude")), "longitude": F.when(far, 151.0).otherwise(F.col("longitude"))})
+    out = spatial.nearest_distance(rows, spots, "metres", 5000.0)
+    return out.select("property_id", F.round("metres", 3).alias("metres"))
+
+
 def _knn_sql(src: str, extra: str = "", k: int = 10) -> str:
     return f"""pairs AS (SELECT a.property_id, b.property_id AS rid, CASE WHEN b.service_line_material = 'Lead' THEN 1.0 ELSE 0.0 END AS y, {HAVERSINE} AS d
       FROM {src} a CROSS JOIN (SELECT * FROM {src} WHERE {KNOWN}{extra}) b),

@@ -64,3 +64,40 @@ def test_no_cross_join_in_plan(spark, sf):
     df = spatial.nearest_distance(properties(spark, sf), points(spark, sf), "metres", 5000.0)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def spot(n, seed=4):
+    """`n` points within a metre, one on the far side of the world, and one spot within that spot."""
+    rng = np.random.default_rng(seed)
+    lat, lon = 41.8 + rng.random(n) * 9e-6, -87.7 + rng.random(n) * 9e-6
+    inner = rng.random(n) < 0.3
+    lat[inner], lon[inner] = 41.8 + rng.random(inner.sum()) * 1e-9, -87.7 + rng.random(inner.sum()) * 1e-9
+    lat[0], lon[0] = -33.0, 151.0
+    return pd.DataFrame({"id": np.arange(n), "latitude": lat, "longitude": lon})
+
+
+def test_dense_spot_equals_brute_force(spark):
+    r = spot(3000)
+    q = pd.concat([r.sample(200, random_state=1), cloud(np.random.default_rng(2), 50, "world")[["id", "latitude", "longitude"]]]).reset_index(drop=True)
+    q["id"] = np.arange(len(q))
+    near = spatial.nearest_distance(spark.createDataFrame(q), spark.createDataFrame(r), "metres", 5000.0).toPandas().sort_values("id")
+    assert np.allclose(near.metres, distances(q, r).min(axis=1), atol=1e-5)
+
+
+def test_dense_spot_takes_linear_work(spark):
+    """Pairs of cells and the rows in the largest leaf, at two sizes."""
+    work = {}
+    for n in (10_000, 100_000):
+        rows = spark.createDataFrame(spot(n))
+        r = spatial.stage(spatial._reference(rows, "latitude", "longitude", None, (), 1))
+        scale = (1 << spatial.FINEST_BITS) / 4.0
+        grid = r.withColumns({f"i{a}": F.floor((F.col(a) + 2.0) * scale) for a in spatial.AXES})
+        tree, levels = spatial._reference_tree(grid, spatial.START_LEVEL, spatial.LEAF_ROWS, 4.0)
+        cells = spatial.stage(spatial._cells(grid, levels))
+        pairs = spatial._leaf_pairs(cells, tree, 1, levels)
+        sizes = tree.where("leaf").select(F.col("level").alias("rlevel"), F.col("code").alias("rcode"), "n")
+        asked = cells.select(F.col("level").alias("qlevel"), F.col("code").alias("qcode"), F.col("n").alias("m"))
+        joined = pairs.join(sizes, ["rlevel", "rcode"]).join(asked, ["qlevel", "qcode"])
+        work[n] = joined.agg(F.sum(F.col("n") * F.col("m")), F.max("n")).first()
+        assert levels == sorted(levels) and len(levels) < 20
+    assert work[100_000][0] < 15 * work[10_000][0] and work[100_000][1] < 300
