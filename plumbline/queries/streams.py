@@ -24,13 +24,21 @@ def l1(spark, sf):
     return ok.unionByName(no).groupBy("inspected_material", "rejected").agg(F.count("*").alias("n"))
 
 
+def weeks(spark, sf, resent: bool) -> str:
+    """The log in files of a week each, in order of time; with `resent` every week is written twice."""
+    path, rows = scratch(spark), inspection_log(spark, sf)
+    week = F.least(F.lit(3), F.floor((F.dayofmonth(F.col("inspected_at").cast("timestamp")) - 1) / 7))
+    for i in range(4):
+        for _ in range(1 + resent):
+            files.append_inspections(rows.where(week == i).coalesce(1), path)
+    return path
+
+
 @query("l2_stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS inspection_id, 1 AS n FROM events")
 def l2(spark, sf):
-    """The log is written twice; each id comes out once."""
-    path, out = scratch(spark), scratch(spark)
-    log = inspection_log(spark, sf)
-    files.append_inspections(log.unionByName(log), path)
-    once = I.deduplicated(I.read_log(spark, path), "3650 days")
+    """Every week of the log is sent twice, a file at a time; each id comes out once, at the default delay."""
+    out = scratch(spark)
+    once = I.deduplicated(I.read_log(spark, weeks(spark, sf, True), 1))
     I.run_to_table(once.select("inspection_id"), out, scratch(spark)).awaitTermination()
     return spark.read.parquet(out).groupBy("inspection_id").agg(F.count("*").cast("int").alias("n"))
 
@@ -58,13 +66,20 @@ def l3_equity(spark, sf):
     return boosts.select("census_tract", r6(F.col("equity_boost"), "equity_boost"))
 
 
-@query("l4_retrain_trigger")
+WEEK_SQL = "least(3, CAST(floor((day(ts) - 1) / 7) AS INTEGER))"
+
+
+@query(
+    "l4_retrain_trigger",
+    f"""WITH {LOG}, w AS (SELECT {WEEK_SQL} AS week, count(*) FILTER (inspected_material IN ('Lead','Copper','Galvanized') AND NOT used_in_training) AS new FROM log WHERE {GOOD} GROUP BY 1),
+      t AS (SELECT week, sum(new) OVER (ORDER BY week) AS pending FROM w) SELECT CAST(pending AS BIGINT) AS pending FROM t WHERE pending >= 500""",
+)
 def l4(spark, sf):
-    """Batches at which the unused labels had reached the threshold."""
-    fired: list[tuple[int, int]] = []
-    stream = I.read_log(spark, log_json(spark, sf), 1)
-    I.retrain_trigger(stream, scratch(spark), 500, lambda batch, pending: fired.append((batch, pending))).awaitTermination()
-    return spark.createDataFrame(fired, "batch bigint, pending bigint")
+    """The totals of unused labels at the batches where they had reached the threshold; every week is sent twice."""
+    fired: list[tuple[int]] = []
+    stream = I.read_log(spark, weeks(spark, sf, True), 1)
+    I.retrain_trigger(stream, scratch(spark), 500, lambda batch, pending: fired.append((pending,))).awaitTermination()
+    return spark.createDataFrame(fired, "pending bigint")
 
 
 @query(
@@ -80,6 +95,40 @@ def l5(spark, sf):
     return I.latest(spark, out).select(day.alias("day"), "n", r6(F.col("lead_rate"), "lead_rate"), F.round("cost_usd", 4).alias("cost_usd"))
 
 
+def _with_stale(spark, sf) -> str:
+    """Weeks in order of time, then some records of the first week once more under new ids."""
+    path = weeks(spark, sf, False)
+    old = (F.dayofmonth(F.col("inspected_at").cast("timestamp")) <= 7) & (F.col("inspection_id").cast("bigint") % 50 == 0)
+    stale = inspection_log(spark, sf).where(old).withColumn("inspection_id", F.concat(F.lit("again-"), "inspection_id"))
+    files.append_inspections(stale.coalesce(1), path)
+    return path
+
+
+@query(
+    "l5_closed_windows",
+    f"""WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(cost_usd), 4) AS cost_usd FROM log
+      WHERE {GOOD} AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log WHERE {GOOD}) - INTERVAL 2 DAY GROUP BY 1""",
+)
+def l5_closed(spark, sf):
+    """Appended windows: each once, when an event two days younger than its end has come; stale records change none."""
+    out = scratch(spark)
+    stream = I.accepted(I.read_log(spark, _with_stale(spark, sf), 1))
+    I.run_to_table(I.windowed(stream, late="2 days"), out, scratch(spark)).awaitTermination()
+    day = F.date_format(F.col("window.start"), "yyyy-MM-dd")
+    return spark.read.parquet(out).select(day.alias("day"), "n", F.round("cost_usd", 4).alias("cost_usd"))
+
+
+@query(
+    "l5_late_records",
+    f"WITH {LOG} SELECT concat('again-', inspection_id) AS inspection_id FROM log WHERE {GOOD} AND CAST(inspection_id AS BIGINT) % 50 = 0 AND day(ts) <= 7",
+)
+def l5_late(spark, sf):
+    out = scratch(spark)
+    stream = I.accepted(I.read_log(spark, _with_stale(spark, sf), 1))
+    I.late_records(stream, out, scratch(spark), scratch(spark), late="2 days").awaitTermination()
+    return spark.read.parquet(out).select("inspection_id")
+
+
 @query(
     "k8_record_inspections",
     f"""WITH {PROPERTY} SELECT concat('insp-', substr(sha256(concat(CAST(user_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR))), 1, 12)) AS inspection_id, CAST(user_id AS VARCHAR) AS property_id,

@@ -92,6 +92,44 @@ def test_retrain_trigger(spark, sf, tmp_path):
     assert fired == [n]
 
 
+def _sent(spark, path, ids, day):
+    rows = [(f"i{i}", f"p{i}", "Lead", f"2024-01-{day:02d} 10:00:00.000000", "field_inspection", 1.0, "t", False) for i in ids]
+    files.append_inspections(spark.createDataFrame(rows, I.INSPECTION_LOG).coalesce(1), path)
+
+
+def test_records_sent_again_count_once_and_old_ones_count(spark, tmp_path):
+    path, fired, mark = str(tmp_path / "log"), [], str(tmp_path / "a")
+    for ids, day in ((range(5), 20), (range(5), 20), (range(3, 8), 21), (range(8, 10), 1)):
+        _sent(spark, path, ids, day)
+    run = lambda: I.retrain_trigger(I.read_log(spark, path, 1), mark, 6, lambda b, k: fired.append(k)).awaitTermination()
+    run()
+    assert fired == [8, 10]
+    _sent(spark, path, range(20, 22), 25)
+    run()  # goes on from the totals of the run before
+    assert fired == [8, 10, 12]
+
+
+def test_state_holds_only_the_delay(spark, tmp_path):
+    path, held = str(tmp_path / "log"), []
+    for k in range(10):
+        _sent(spark, path, range(50 * k, 50 * k + 50), 1 + 3 * k)
+    once = I.deduplicated(I.read_log(spark, path, 1), "5 days")
+    query = I.run_to_table(once.select("inspection_id"), str(tmp_path / "out"), str(tmp_path / "c"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+    assert max(held) <= 250  # an id stays for the delay after its time, and the watermark lags by as much
+
+
+def test_late_records_of_a_replayed_batch_replace_themselves(spark, tmp_path):
+    path, out, state = (str(tmp_path / c) for c in ("log", "out", "state"))
+    for k, (ids, day) in enumerate(((range(3), 1), (range(3, 6), 20), (range(6, 9), 2), (range(9, 10), 21))):
+        _sent(spark, path, ids, day)
+    for mark in ("a", "b"):  # a second run from the start writes the same batches again
+        I.late_records(I.read_log(spark, path, 1), out, state, str(tmp_path / mark), late="3 days").awaitTermination()
+        assert sorted(r[0] for r in spark.read.parquet(out).select("inspection_id").collect()) == ["i6", "i7", "i8"]
+
+
 def test_queue_carries_no_address(spark, sf):
     rows = properties(spark, sf).withColumn("address", F.lit("secret"))
     queue = scoring.priority_queue(rows, inspection_log(spark, sf), F.lit(0.6))
