@@ -83,11 +83,9 @@ def j15_job(spark, sf):
 
 @query("j9_calibration_keeps_order", f"{ROWS} SELECT property_id, rank() OVER (ORDER BY p_lead) AS position FROM lab")
 def j9_order(spark, sf):
-    """Calibrated probabilities come in the order of the scores they are made of."""
-    rows = shared_split(spark, sf).rows.withColumn("y", (F.col("service_line_material") == "Lead").cast("int"))
-    slope, intercept = fit_sigmoid(rows, "p_lead", "y")
-    # rows of a score share a rank; a falling sigmoid turns the order round
-    p = apply_sigmoid(F.col("p_lead"), slope, intercept) * (1.0 if slope >= 0 else -1.0)
+    """Calibrated probabilities rise with the scores where labels do: one that turned the order round would show."""
+    rows = shared_split(spark, sf).rows.withColumn("y", (F.col("p_lead") + F.col("property_id") % 7 / 10 > 0.8).cast("int"))
+    p = apply_sigmoid(F.col("p_lead"), *fit_sigmoid(rows, "p_lead", "y"))
     groups = rows.select("property_id", p.alias("_p"))
     from plumbline.operators.ordered import running_totals
 

@@ -7,7 +7,7 @@ import pytest
 import compare
 from plumbline.queries import ORACLES, QUERIES
 
-HEAVY = ("k6_acquisition_back_test", "i8_ablation_grid", "j4_baseline_models", "j8_hyper_parameter_search")
+HEAVY = ("k6_acquisition_back_test",)
 
 
 @pytest.fixture(scope="module")
