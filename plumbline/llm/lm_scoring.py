@@ -1,195 +1,276 @@
 """Cross-entropy difference scores from two matched n-gram models over one vocabulary.
 
 Both models are interpolated bigram models of words in lower case. The target model counts the rows marked as target,
-the background model all rows. They are matched: same vocabulary (the most frequent words of the whole corpus, all
-others are one unknown word), same smoothing, and background counts scaled to the target's number of words, so that
-smoothing weighs the same in both.
-
-Counting covers the whole corpus. Unigrams and histories are counted by word id, bigrams in `CELLS` hashed cells
-(colliding bigrams share a count in both models). Each task adds up its rows and hands over its table in blocks, which
-Spark sums by block: what is shuffled grows with the number of tasks, and the model's size is fixed, which bounds its
-broadcast. A document's score is its mean per-word loss under the target minus that under the background: the lower,
-the more it looks like the target.
+the background model all rows. They are matched: same vocabulary (words seen `min_count` times in the whole corpus, all
+others are one unknown word), same bigrams (those seen `min_count` times), same smoothing, and background counts scaled
+to the target's number of words, so that smoothing weighs the same in both.
+
+Counts are exact and cover the whole corpus, at any size: tasks add up what they read, Spark sums the rest, and the
+models are tables of what every word and bigram adds to a document's loss. A word w after v costs -log p(w) of the
+interpolated unigram model, plus log(1 + h(v) / H) for backing off from v, minus log(1 + c(v,w) / (H p(w))) if the
+bigram is in the model (c: its count, h(v): kept bigrams that begin with v, H: `HISTORY_WEIGHT`). What differs from an
+unknown word is stored by a 64-bit key, so that a key that no table holds adds nothing. Losses are integers, in units
+of 1 / `UNIT`, and sums therefore the same in any order.
+
+Scoring: the most frequent keys, `HOT` at most, are broadcast with a bitmap of all others. A document's remaining keys
+that the bitmap knows are joined by a shuffle and summed per row. How much is broadcast never changes a score.
+
+A document's score is its mean per-word loss under the target minus that under the background: the lower, the more it
+looks like the target.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.batches import WordHasher, mixed, text_pieces
-from plumbline.llm.tables import free, text_or_empty
+from plumbline.llm.batches import WordHasher, text_pieces
+from plumbline.llm.tables import free, text_or_empty, written
 
-VOCABULARY = 32_768
-CELLS = 1 << 21
-BLOCK = 1 << 12
+MIN_COUNT = 3
 HISTORY_WEIGHT = 20.0
 WORD_WEIGHT = 0.1
+UNIT = 1 << 20
+HOT = 1 << 21
+FILTER_BITS = 27
+HELD_WORDS = 1 << 22
+BATCH_ROWS = 1 << 16
 BROADCAST_LABELS = 1_000_000
-HELD_HASHES = 1 << 21
+BACK = 0x5851F42D4C957F2D  # tells the key of backing off from a word from the key of the word
+TURN = 17
 
 
 @dataclasses.dataclass(frozen=True)
 class Models:
-    """words: sorted hashes of the vocabulary; counts[m]: of each word id (0: unknown) and of each bigram cell, for m = target, background."""
+    """unknown: loss of an unknown word under (target, background); keys, values: the hot keys, sorted, and what they add
+    under both; bits: bitmap over the first bits of all other keys; cold: those as a table (key, target, background)."""
 
-    words: np.ndarray
-    unigrams: np.ndarray
-    cells: np.ndarray
+    unknown: tuple[int, int]
+    keys: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
+    cold: DataFrame
 
 
-def _ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(words, hashes)
-    found = words[np.minimum(at, len(words) - 1)] == hashes if len(words) else np.zeros(len(hashes), bool)
-    return np.where(found, at + 1, 0)
+def _first_words(edges: np.ndarray) -> np.ndarray:
+    """Positions of the first words of the texts that have words."""
+    return edges[:-1][np.diff(edges) > 0]
 
 
-def _cells(left: np.ndarray, right: np.ndarray, cells: int) -> np.ndarray:
-    return (mixed(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
+def _after(first: np.ndarray, n: int) -> np.ndarray:
+    """Positions of words that have one before them in their text."""
+    inner = np.ones(n, bool)
+    inner[_first_words(first)] = False
+    return np.flatnonzero(inner)
 
 
-def _first_words(edges: np.ndarray) -> np.ndarray:
-    """Positions of the first words of the texts that have words."""
-    return edges[:-1][np.diff(edges) > 0]
+def _pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left << np.uint64(TURN) | left >> np.uint64(64 - TURN)) ^ right
+
+
+def _batches(columns: list[np.ndarray], names: list[str]):
+    for at in range(0, len(columns[0]), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH_ROWS]) for c in columns], names=names)
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Hashes of the `size` most frequent words, sorted; ties by hash."""
+def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int) -> DataFrame:
+    """(v, w, n, t): occurrences of every word w (v = 0), and of word w after v if there are `min_count`, in all rows and
+    in the target's. Words are named by their hashes."""
 
     def count(batches):
         hasher, held, n = WordHasher(), [], 0
-        total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def merged():
-            h, c = np.concatenate([total[0], *(x for x, _ in held)]), np.concatenate([total[1], *(y for _, y in held)])
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            return h[starts], np.add.reduceat(c, starts) if len(h) else c
+        def summed():
+            left, right, marks = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((right, left))
+            left, right, marks = left[order], right[order], marks[order]
+            starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+            ends = np.r_[starts[1:], len(left)]
+            yield from _batches(
+                [left[starts].view(np.int64), right[starts].view(np.int64), ends - starts, np.add.reduceat(marks, starts, dtype=np.int64)],
+                ["v", "w", "n", "t"],
+            )
 
         for batch in batches:
-            for _, _, data, edges in text_pieces(batch.column(0)):
-                held.append(np.unique(hasher(data, edges)[0], return_counts=True))
-                n += len(held[-1][0])
-                if n > HELD_HASHES:  # hand over what has gathered: memory stays bounded, the sum is made by Spark
-                    yield _counts(*merged())
+            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, data, edges in text_pieces(batch.column(0)):
+                words, first = hasher(data, edges)
+                if not len(words):
+                    continue
+                marks = np.repeat(wanted[a:b], np.diff(first))
+                at = _after(first, len(words))
+                held.append((np.zeros(len(words), np.uint64), words, marks))
+                held.append((words[at - 1], words[at], marks[at]))
+                n += len(words) + len(at)
+                if n > HELD_WORDS:  # hand over what has gathered: memory stays bounded, the sum is made by Spark
+                    yield from summed()
                     held, n = [], 0
-        yield _counts(*merged())
+        if held:
+            yield from summed()
 
-    def _counts(h, c):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "n"])
+    rows = docs.select(text_or_empty(text).alias("text"), F.coalesce(F.col(f"`{target}`").cast("boolean"), F.lit(False)).alias("target"))
+    counts = rows.mapInArrow(count, "v long, w long, n long, t long")
+    # rows of one left word stay together, which compresses well; the many of a frequent one and the single words are split
+    part = F.when(F.col("v") == 0, F.col("w").bitwiseAND(1023)).otherwise(F.col("w").bitwiseAND(15))
+    counts = counts.withColumn("part", part).repartition("v", "part")
+    counts = counts.groupBy("v", "part", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).drop("part")
+    return counts.where((F.col("v") == 0) | (F.col("n") >= min_count))
 
-    counts = docs.select(text_or_empty(text).alias("text")).mapInArrow(count, "h long, n long")
-    top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size)
-    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
 
+def _units(x: Column) -> Column:
+    return F.round(x * UNIT).cast("int")
 
-def fit(docs: DataFrame, text: str = "text", target: str = "target", size: int = VOCABULARY, cells: int = CELLS) -> Models:
-    """Both models from `docs`; `target` marks the target's rows (null: not one)."""
-    words = vocabulary(docs, text, size)
-    width = cells + size + 1
-    blocks = -(-width // BLOCK)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def count(batches):
-        hasher, table = WordHasher(), np.zeros((2, blocks * BLOCK), np.int64)
-        for batch in batches:
-            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, edges in text_pieces(batch.column(0)):
-                hashes, first = hasher(data, edges)
-                ids = _ids(shared.value, hashes)
-                pair = np.ones(len(ids), bool)
-                pair[_first_words(first)] = False
-                marked = np.repeat(marks[a:b], np.diff(first))
-                at = np.flatnonzero(pair)
-                bigrams = _cells(ids[at - 1], ids[at], cells)
-                table[1] += np.bincount(np.concatenate([bigrams, cells + ids]), minlength=blocks * BLOCK)
-                if marked.any():
-                    table[0] += np.bincount(np.concatenate([bigrams[marked[at]], cells + ids[marked]]), minlength=blocks * BLOCK)
-        yield from _blocks((k, table[:, k * BLOCK : (k + 1) * BLOCK]) for k in range(blocks))
-
-    def _blocks(items) -> Iterator[pa.RecordBatch]:
-        for k, part in items:
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(part.as_buffer(), "<i8").reshape(2, BLOCK)
-                sums[k] = sums[k] + part if k in sums else part
-        yield from _blocks(sums.items())
+def fit(
+    docs: DataFrame, text: str = "text", target: str = "target", min_count: int = MIN_COUNT, hot: int = HOT, filter_bits: int = FILTER_BITS
+) -> Models:
+    """Both models from `docs`; `target` marks the target's rows (null: not one).
 
-    schema = "block int, counts binary"
-    rows = docs.select(text_or_empty(text).alias("text"), F.coalesce(F.col(f"`{target}`").cast("boolean"), F.lit(False)).alias("target"))
-    summed = rows.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    table = np.zeros((2, blocks * BLOCK), np.int64)
-    for r in summed.toLocalIterator():  # a table of fixed size
-        table[:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8").reshape(2, BLOCK)
-    shared.unpersist()
-    return Models(words, table[:, cells:width], table[:, :cells])
-
-
-def losses(models: Models, ids: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Minus log probability of every word under (target, background); `pair` tells words that have one before them."""
-    n = models.unigrams.sum(axis=1)
-    scale = np.array([1.0, n[0] / n[1] if n[0] else 1.0])
-    size = models.unigrams.shape[1]
-    before = np.where(pair, np.roll(ids, 1), 0)
-    cell = _cells(before, ids, models.cells.shape[1])
-    out = np.empty((2, len(ids)))
-    for m in (0, 1):
-        word = (scale[m] * models.unigrams[m][ids] + WORD_WEIGHT) / (scale[m] * n[m] + WORD_WEIGHT * size)
-        seen, together = scale[m] * models.unigrams[m][before], scale[m] * models.cells[m][cell]
-        chance = (np.minimum(together, seen) + HISTORY_WEIGHT * word) / (seen + HISTORY_WEIGHT)
-        out[m] = -np.log(np.where(pair, chance, word))
-    return out
+    Null and empty texts count nothing, repeated rows count every time, and an empty table gives models in which every
+    word is unknown. Very long texts are counted whole. Other columns of `docs` are not read. Keys of 64 bits stand for
+    words and bigrams: two of them share one with a chance of about 10^-19 a pair.
+    """
+    counts = written(ngram_counts(docs, text, target, min_count), "ngrams")
+    single, pairs = counts.where("v = 0").drop("v"), counts.where("v <> 0")
+    rare = F.col("n") < min_count
+    total = single.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t")],
+        *[F.coalesce(F.sum(F.when(rare, F.col(c))), F.lit(0)).alias(f"rare_{c}") for c in ("n", "t")],
+        F.count(F.when(~rare, 1)).alias("size"),
+    ).first()
+    scale = {"t": 1.0, "n": total.t / total.n if total.t else 1.0}
+    mass = {c: scale[c] * total[c] + WORD_WEIGHT * (total.size + 1) for c in "tn"}
+    unknown = {c: (scale[c] * total[f"rare_{c}"] + WORD_WEIGHT) / mass[c] for c in "tn"}
+
+    def chance(c: str, column: Column) -> Column:
+        return (F.lit(scale[c]) * column + WORD_WEIGHT) / mass[c]
+
+    words = single.where(~rare)
+    word_rows = words.select(F.col("w").alias("key"), "n", *[_units(F.log(unknown[c] / chance(c, F.col(c)))).alias(f"d{c}") for c in "tn"])
+    begun = pairs.groupBy("v").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    back_rows = begun.select(
+        F.col("v").bitwiseXOR(F.lit(BACK)).alias("key"), "n", *[_units(F.log1p(F.lit(scale[c]) * F.col(c) / HISTORY_WEIGHT)).alias(f"d{c}") for c in "tn"]
+    )
+    key = F.shiftleft("v", TURN).bitwiseOR(F.shiftrightunsigned("v", 64 - TURN)).bitwiseXOR(F.col("w"))
+    chances = words.select("w", *[chance(c, F.col(c)).alias(f"p{c}") for c in "tn"])
+    pair_rows = pairs.join(chances, "w").select(
+        key.alias("key"), "n", *[_units(-F.log1p(F.lit(scale[c]) * F.col(c) / (HISTORY_WEIGHT * F.col(f"p{c}")))).alias(f"d{c}") for c in "tn"]
+    )
+    deltas = word_rows.unionByName(back_rows).unionByName(pair_rows).where("dt <> 0 OR dn <> 0")
+    deltas = written(deltas.withColumn("band", F.floor(8 * F.log2("n")).cast("int")), "deltas")
+
+    # the bands of the largest counts that fit together; at most eight bands to a power of two
+    cut, room = 1 << 30, hot
+    for r in sorted(deltas.groupBy("band").count().collect(), key=lambda r: -r.band):
+        if r["count"] > room:
+            break
+        cut, room = r.band, room - r["count"]
+    top = deltas.where(F.col("band") >= cut).select("key", "dt", "dn").toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    values = np.stack([top[c].to_numpy()[order] for c in ("dt", "dn")])
+    cold = deltas.where(F.col("band") < cut).select("key", F.col("dt").alias("target"), F.col("dn").alias("background"))
+    at = F.shiftrightunsigned("key", 64 - filter_bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    filled = cold.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^21 rows at most
+    bits = np.zeros(1 << (filter_bits - 6), np.uint64)
+    bits[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    return Models(tuple(round(-math.log(unknown[c]) * UNIT) for c in "tn"), keys[order], values, bits, cold)
+
+
+def _found(keys: np.ndarray, hot: np.ndarray, values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what the hot ones of `keys` add under both models, which of the others may be in the cold table)."""
+    out = np.zeros((2, len(keys)), np.int64)
+    hit = np.zeros(len(keys), bool)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        hit = hot[at] == keys
+        out[:, hit] = values[:, at[hit]]
+    place = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
+    known = bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)
+    return out, ~hit & (known == 1)
+
+
+def _piece(words: np.ndarray, first: np.ndarray, hot: np.ndarray, values: np.ndarray, bits: np.ndarray):
+    """Of texts' word hashes: (sums of what hot keys add, per text; keys to look up; where each text's keys begin)."""
+    at = _after(first, len(words))
+    followed = at - 1
+    kinds, which = np.unique(words, return_inverse=True)
+    own, own_cold = _found(kinds, hot, values, bits)
+    back, back_cold = _found(kinds ^ np.uint64(BACK), hot, values, bits)
+    pair_keys = _pair_key(words[followed], words[at])
+    pair, pair_cold = _found(pair_keys, hot, values, bits)
+    total = own[:, which]
+    total[:, followed] += back[:, which[followed]]
+    total[:, at] += pair
+    sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(total, axis=1)], axis=1)
+    sums = sums[:, first[1:]] - sums[:, first[:-1]]
+    own_at = np.flatnonzero(own_cold[which])
+    back_at = followed[back_cold[which[followed]]]
+    pair_at = at[pair_cold]
+    places = np.concatenate([own_at, back_at, pair_at])
+    keys = np.concatenate([words[own_at], words[back_at] ^ np.uint64(BACK), pair_keys[pair_cold]])
+    order = np.argsort(places, kind="stable")
+    return sums, keys[order], np.searchsorted(places[order], first)
 
 
 def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """`docs` without `text`, plus n_words, loss_target, loss_background (means per word) and score (their difference).
 
-    A null or empty text has no words and null losses and score. Rows are scored one by one, so repeated rows give
-    repeated results, and an empty table an empty one. Columns of `docs` with these names are replaced.
+    A null or empty text has no words and null losses and score. Rows are scored one by one and numbered where they are
+    read, so repeated rows give repeated results, and an empty table an empty one. Very long texts are scored whole, by
+    one task up to the shuffle. Columns of `docs` with the names of the results are replaced.
     """
     own = ("n_words", "loss_target", "loss_background", "score")
     keep = [c for c in docs.columns if c != text and c.lower() not in own]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    names = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*names, text_or_empty(text).alias("text"))
+    part = docs.select(*names, *[F.lit(0).alias(c) for c in own])
+    row, more, target, background, keys, found_t, found_b = (
+        free(part, c) for c in ("row", "found_row", "target_sum", "background_sum", "keys", "found_target", "found_background")
+    )
+    shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.values, models.bits))
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, number = WordHasher(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
             for a, b, data, edges in text_pieces(batch.column(batch.num_columns - 1)):
-                hashes, first = hasher(data, edges)
-                ids = _ids(shared.value.words, hashes)
-                pair = np.ones(len(ids), bool)
-                pair[_first_words(first)] = False
-                n[a:b] = np.diff(first)
-                filled = n[a:b] > 0
-                if filled.any():
-                    sums[:, a:b][:, filled] = np.add.reduceat(losses(shared.value, ids, pair), _first_words(first), axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = sums / n
-            none = n == 0
-            columns = [pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), *columns], names=[*keep, *own])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias("text"))
+                words, first = hasher(data, edges)
+                sums, cold, begin = _piece(words, first, *shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.slice(a, b - a).columns[:-1], pa.array(np.diff(first)), pa.array(np.arange(number, number + b - a)), pa.array(sums[0]),
+                        pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(cold.view(np.int64))),
+                    ],
+                    names=[*keep, "n_words", row, target, background, keys],
+                )
+                number += b - a
+
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_words long, loss_target double, loss_background double, score double"]))
+    schema = ", ".join([*fields, f"n_words long, `{row}` long, `{target}` long, `{background}` long, `{keys}` array<long>"])
+    read = written(rows.mapInArrow(run, schema), "losses")
+    asked = read.select(F.col(row).alias("found_row"), F.explode(keys).alias("key"))
+    found = asked.join(models.cold, "key").groupBy("found_row").agg(F.sum("target"), F.sum("background"))
+    read = read.drop(keys).join(found.toDF(more, found_t, found_b), F.col(row) == F.col(more), "left")
+
+    def mean(base: int, hot: str, cold: str) -> Column:
+        units = F.col("n_words") * base + F.col(hot) + F.coalesce(F.col(cold), F.lit(0))
+        return F.when(F.col("n_words") > 0, units / F.col("n_words") / UNIT)
+
+    losses = mean(models.unknown[0], target, found_t), mean(models.unknown[1], background, found_b)
+    return read.select(*names, "n_words", losses[0].alias("loss_target"), losses[1].alias("loss_background"), (losses[0] - losses[1]).alias("score"))
 
 
 def marked(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`docs` with a column target: whether the row's id is among `ids` (one column, doc_id).
 
     Ids are broadcast while their number is small, and joined by a shuffle beyond that. Null ids mark nothing, rows with
-    a null id are not marked, repeated ids count once, and a column target of `docs` is replaced.
+    a null id are not marked, repeated ids count once, and a column target of `docs` is replaced. Texts are not looked at.
     """
     key, mark = free(docs, "marked_id"), free(docs, "mark")
     ids = ids.select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(mark, F.lit(True))

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import lm_scoring as lm
@@ -23,58 +24,94 @@ def words(t):
     return [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
 
 
-def test_scores_equal_plain_counts(spark):
-    rows = [(a, b, c, 5.0, "x") for a, b, c in ROWS]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean, score double, n_words string")
-    size, cells = 8, 1 << 20
-    models = lm.fit(docs, size=size, cells=cells)
-    hasher = WordHasher()
-    hash_of = lambda w: int(hasher(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].view(np.int64)[0])
-    total = Counter(w for _, t, _ in ROWS for w in words(t))
-    kept = sorted(total, key=lambda w: (-total[w], hash_of(w)))[:size]
-    name = lambda w: w if w in kept else "?"
+def plain_losses(rows, min_count):
+    """(target, background) loss of every text, straight from the definition."""
+    total, together = Counter(), Counter()
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for _, t, mark in ROWS:
-        ws = [name(w) for w in words(t)]
-        for m in [1] + [0] * bool(mark):
-            uni[m].update(ws)
-            bi[m].update(zip(ws, ws[1:]))
-    scale = [1.0, sum(uni[0].values()) / sum(uni[1].values())]
+    texts = [(words(t), bool(mark)) for t, mark in rows]
+    for ws, _ in texts:
+        total.update(ws)
+        together.update(zip(ws, ws[1:]))
+    for ws, mark in texts:
+        for m in [1] + [0] * mark:
+            uni[m].update(w if total[w] >= min_count else None for w in ws)
+            bi[m].update(p for p in zip(ws, ws[1:]) if together[p] >= min_count)
+    size = sum(n >= min_count for n in total.values())
+    n = [sum(u.values()) for u in uni]
+    scale = [1.0, n[0] / n[1] if n[0] else 1.0]
+    begun = [Counter(), Counter()]
+    for m in (0, 1):
+        for (v, _), c in bi[m].items():
+            begun[m][v] += c
 
     def loss(m, ws):
-        out, n = 0.0, sum(uni[m].values())
+        out = 0.0
         for i, w in enumerate(ws):
-            p = (scale[m] * uni[m][w] + lm.WORD_WEIGHT) / (scale[m] * n + lm.WORD_WEIGHT * (size + 1))
+            name = w if total[w] >= min_count else None
+            p = (scale[m] * uni[m][name] + lm.WORD_WEIGHT) / (scale[m] * n[m] + lm.WORD_WEIGHT * (size + 1))
             if i:
                 v = ws[i - 1]
-                p = (scale[m] * bi[m][v, w] + lm.HISTORY_WEIGHT * p) / (scale[m] * uni[m][v] + lm.HISTORY_WEIGHT)
+                p = (scale[m] * bi[m][v, w] + lm.HISTORY_WEIGHT * p) / (scale[m] * begun[m][v] + lm.HISTORY_WEIGHT)
             out -= math.log(p)
-        return out / len(ws)
-
-    got = lm.score(docs, models).orderBy(F.col("doc_id").asc_nulls_first()).collect()
-    assert len(got) == len(ROWS) and got[0].target is False
-    want = sorted(ROWS, key=lambda r: (r[0] is not None, r[0]))
-    for r, (i, t, _) in zip(got, want):
-        ws = [name(w) for w in words(t)]
-        assert (r.doc_id, r.n_words) == (i, len(ws))
-        if not ws:
-            assert r.score is None and r.loss_target is None
-        else:
-            assert abs(r.loss_target - loss(0, ws)) < 1e-9 and abs(r.loss_background - loss(1, ws)) < 1e-9
-            assert abs(r.score - (loss(0, ws) - loss(1, ws))) < 1e-9
+        return out / len(ws) if ws else None
+
+    return [(loss(0, ws), loss(1, ws)) for ws, _ in texts]
+
+
+def close(got, want):
+    return got is want is None or abs(got - want) < 4 / lm.UNIT
+
+
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+@pytest.mark.parametrize("hot, bits", [(0, 7), (8, 20), (1 << 20, 27)])
+def test_scores_equal_plain_counts(spark, min_count, hot, bits):
+    rows = [(a, b, c, 5.0, "x", -1) for a, b, c in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean, score double, n_words string, row int")
+    models = lm.fit(docs, min_count=min_count, hot=hot, filter_bits=bits)
+    assert len(models.keys) <= hot
+    got = lm.score(docs, models)
+    assert got.columns == ["doc_id", "target", "row", "n_words", "loss_target", "loss_background", "score"]
+    key = lambda i, n, t: (i is not None, i or 0, n, t)
+    want = sorted((key(i, len(words(t)), m or False), x) for (i, t, m), x in zip(ROWS, plain_losses([r[1:] for r in ROWS], min_count)))
+    got = sorted(got.collect(), key=lambda r: key(r.doc_id, r.n_words, r.target or False))
+    assert len(got) == len(want)
+    for r, (k, (t, b)) in zip(got, want):
+        assert key(r.doc_id, r.n_words, r.target or False) == k and r.row == -1
+        assert close(r.loss_target, t) and close(r.loss_background, b)
+        assert r.score is None if t is None else abs(r.score - (t - b)) < 8 / lm.UNIT
     by_id = {r.doc_id: r for r in got}
-    assert by_id[1].score < 0 < by_id[3].score
+    assert min_count > 2 or by_id[1].score < 0 < by_id[3].score
+
+
+def test_models_of_one_table_score_another(spark):
+    docs = spark.createDataFrame([("a b a b a b", True), ("c d c d c d", False)], "text string, target boolean")
+    models = lm.fit(docs, min_count=1)
+    other = spark.createDataFrame([("a b",), ("c d",), ("never seen",)], "text string")
+    assert [r.score < 0 for r in lm.score(other, models).orderBy("score").collect()][0]
+    assert lm.score(other, models).where("loss_target is null").count() == 0
 
 
 def test_empty_and_unmarked_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, target boolean")
-    models = lm.fit(docs, size=4, cells=1 << 12)
+    models = lm.fit(docs)
     assert lm.score(docs, models).collect() == []
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
     assert {r.doc_id: r.target for r in lm.marked(docs, ids).collect()} == {1: True, None: False}
     none = lm.marked(docs, ids.limit(0))
-    assert all(r.score is None or math.isfinite(r.score) for r in lm.score(none, lm.fit(none, size=4, cells=1 << 12)).collect())
+    assert all(r.score is None or math.isfinite(r.score) for r in lm.score(none, lm.fit(none, min_count=1)).collect())
+    assert all(r.score is None or math.isfinite(r.score) for r in lm.score(docs, models).collect())
+
+
+def test_query_equals_plain_counts(spark, sf):
+    from plumbline.llm.queries import QUERIES
+
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = dict(zip([i for i, _ in docs], plain_losses([(t, i in good) for i, t in docs], lm.MIN_COUNT)))
+    got = QUERIES["op9_lm_scoring"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    assert all(close(r.loss_target, want[r.doc_id][0]) and close(r.loss_background, want[r.doc_id][1]) for r in got)
 
 
 def test_word_hashes_do_not_depend_on_their_place():
