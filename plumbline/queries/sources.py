@@ -161,7 +161,8 @@ def a11(spark, sf):
     table(spark, sf, "customer").write.mode("append").parquet(f"{path}/customer")
     manifest.record(manifest.fingerprints(spark, path), seen)
     table(spark, sf, "orders").write.mode("append").parquet(f"{path}/orders")
-    new = manifest.changed(manifest.fingerprints(spark, path), manifest.read_manifest(spark, seen))
+    old = manifest.read_manifest(spark, seen)
+    new = manifest.changed(manifest.fingerprints(spark, path, old), old)
     # all columns of both tables, so that a customer file that is read again would show as rows of nulls
     rows = spark.read.option("recursiveFileLookup", "true").schema("o_orderkey bigint, o_custkey bigint").parquet(path)
     rows = rows.withColumn("_file", F.input_file_name())
@@ -169,6 +170,26 @@ def a11(spark, sf):
     return rows.withColumn("_file", manifest.same_path(F.col("_file"))).join(fresh, "_file", "left_semi").drop("_file")
 
 
+@query(
+    "a11_reads_only_new_bytes",
+    """SELECT 'customer' AS folder, count(*) AS n_rows, false AS read_again FROM customer
+    UNION ALL SELECT 'orders', count(*), true FROM orders""",
+)
+def a11_bytes(spark, sf):
+    """Two tables, one of them recorded before: only the other's files are hashed, block by block, and the sizes of all
+    files tell which folder was read."""
+    path, seen = scratch(spark), scratch(spark)
+    table(spark, sf, "customer").write.parquet(f"{path}/customer")
+    manifest.record(manifest.fingerprints(spark, path, block_bytes=1 << 14), seen)
+    table(spark, sf, "orders").write.parquet(f"{path}/orders")
+    found = manifest.fingerprints(spark, path, manifest.read_manifest(spark, seen), block_bytes=1 << 14, settle=0)
+    folder = F.substring_index("name", "/", 1).alias("folder")
+    read = found.groupBy(folder).agg((F.sum("hashed") > 0).alias("read_again"))
+    rows = spark.read.option("recursiveFileLookup", "true").schema("_none int").parquet(path)
+    rows = rows.select(F.element_at(F.split(manifest.same_path(F.input_file_name()), "/"), -2).alias("folder"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n_rows")).join(read, "folder")
+
+
 @query(
     "a14_ranked_id_list",
     f"""WITH {PROPERTY}, wanted AS (SELECT DISTINCT o_custkey AS property_id FROM orders WHERE o_orderpriority = '1-URGENT'),

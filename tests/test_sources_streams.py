@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,55 @@ def test_manifest(spark, tmp_path):
     assert manifest.changed(manifest.fingerprints(spark, str(data)), manifest.read_manifest(spark, seen)).count() == 3
 
 
+def test_manifest_reads_no_old_byte(spark, tmp_path):
+    """A file swapped behind length and time keeps its recorded digest, so it was not opened; a touched one is hashed again."""
+    data, seen = tmp_path / "d", str(tmp_path / "m")
+    data.mkdir()
+    for name in ("old", "touched"):
+        (data / name).write_bytes(b"x" * 5000)
+        os.utime(data / name, (1_000_000_000, 1_000_000_000))
+    first = manifest.fingerprints(spark, str(data))
+    assert {r["hashed"] for r in first.collect()} == {5000}
+    manifest.record(first, seen)
+    (data / "old").write_bytes(b"y" * 5000)
+    os.utime(data / "old", (1_000_000_000, 1_000_000_000))
+    os.utime(data / "touched", (1_000_000_100, 1_000_000_100))
+    (data / "new").write_bytes(b"n")
+    again = manifest.fingerprints(spark, str(data), manifest.read_manifest(spark, seen))
+    assert {r["name"]: r["hashed"] for r in again.collect()} == {"old": 0, "touched": 5000, "new": 1}
+    assert [r["name"] for r in manifest.changed(again, manifest.read_manifest(spark, seen)).collect()] == ["new"]
+    manifest.record(again, seen)
+    settled = manifest.fingerprints(spark, str(data), manifest.read_manifest(spark, seen))
+    assert {r["hashed"] for r in settled.where("name <> 'new'").collect()} == {0}
+    # a file written just before it was recorded may have been written again at the same time
+    (data / "fresh").write_bytes(b"z")
+    manifest.record(manifest.fingerprints(spark, str(data)), seen)
+    late = manifest.fingerprints(spark, str(data), manifest.read_manifest(spark, seen), settle=3600)
+    assert {r["name"]: r["hashed"] for r in late.collect()}["fresh"] == 1
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000, 1 << 20])
+def test_digests_are_hash_trees_of_blocks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(manifest, "FAN", 4)
+    contents = {"one": b"a", "even": bytes(range(64)), "long": bytes(i * i % 251 for i in range(1000)), "twin": bytes(i * i % 251 for i in range(1000))}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty").write_bytes(b"")  # gives no row
+
+    def root(content):
+        level = [hashlib.sha256(content[i : i + block]).hexdigest() for i in range(0, max(len(content), 1), block)]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+        return level[0]
+
+    got = {r["name"]: r["digest"] for r in manifest.fingerprints(spark, str(tmp_path), block_bytes=block).collect()}
+    assert got == {name: root(content) for name, content in contents.items()}
+
+
+def test_empty_folder_has_no_fingerprints(spark, tmp_path):
+    assert manifest.fingerprints(spark, str(tmp_path)).collect() == []
+
+
 def test_record_ids_do_not_depend_on_the_time_zone(spark):
     from plumbline.functions.text import event_id
 
