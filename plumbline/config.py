@@ -46,6 +46,18 @@ class ScoringConfig:
     def from_json(cls, text: str) -> "ScoringConfig":
         return cls.from_mapping(json.loads(text))
 
+    @classmethod
+    def from_yaml(cls, text: str) -> "ScoringConfig":
+        """Build from a YAML document; an empty one gives the defaults. Needs PyYAML, which is no dependency otherwise."""
+        try:
+            import yaml
+        except ImportError as missing:
+            raise RuntimeError("YAML configuration needs the package PyYAML; JSON needs none") from missing
+        values = yaml.safe_load(text)
+        if values is not None and not isinstance(values, Mapping):
+            raise ValueError("the configuration must be a mapping")
+        return cls.from_mapping(values)
+
 
 @dataclasses.dataclass(frozen=True)
 class TrainConfig:

@@ -86,3 +86,15 @@ def test_config():
     assert (cfg.lambda1, cfg.batch_size, cfg.lambda2) == (0.5, 7, 0.25)
     with pytest.raises(ValueError):
         ScoringConfig(confidence_level=1.0)
+
+
+def test_config_from_yaml():
+    pytest.importorskip("yaml")
+    text = "lambda1: 0.5\nactive_learning:\n  batch_size: 7\n  n_rounds: 3\nother: [1, 2]\nbudget_scenarios: [1.0, 2.0]\n"
+    cfg = ScoringConfig.from_yaml(text)
+    assert (cfg.lambda1, cfg.batch_size, cfg.n_rounds, cfg.lambda2) == (0.5, 7, 3, 0.25)
+    assert ScoringConfig.from_yaml("") == ScoringConfig()
+    with pytest.raises(ValueError, match="mapping"):
+        ScoringConfig.from_yaml("- 1\n- 2\n")
+    with pytest.raises(ValueError, match="confidence_level"):
+        ScoringConfig.from_yaml("confidence_level: 1.0")
