@@ -30,11 +30,14 @@ def initial_labels(rows: DataFrame, row_id: str, fraction: float, seed: int = fv
     return ranked.where(F.col("_rank") <= size).select(row_id)
 
 
-def acquire(pool: DataFrame, row_id: str, strategy: str, batch: int, seed: int) -> DataFrame:
-    """Ids and outcomes of the next batch. The oracle takes positives while there are any, else the first rows."""
+def acquire(pool: DataFrame, row_id: str, strategy: str, batch: int, seed: int, key: Column | None = None) -> DataFrame:
+    """Ids and outcomes of the next batch. The oracle takes positives while there are any, else the first rows.
+
+    The oracle's order is that of `key` (default: a hash of id and seed), ties by id.
+    """
     if strategy != "oracle":
         return pool.orderBy(F.desc("priority_score"), F.asc(row_id)).limit(batch).select(row_id, ml.LABEL)
-    order = unit_hash(F.col(row_id), seed)
+    order = unit_hash(F.col(row_id), seed) if key is None else key
     hits = pool.where(F.col(ml.LABEL) == 1)
     source = pool if hits.isEmpty() else hits
     return source.orderBy(order, row_id).limit(batch).select(row_id, ml.LABEL)

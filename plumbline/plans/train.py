@@ -122,8 +122,14 @@ def evaluate(trained: Trained, data: Prepared, baseline_ap: float | None = None)
     return improvement_gate(out.withColumn("_b", F.lit(baseline_ap)), "pr_auc", "_b").drop("_b")
 
 
-def propensity(df: DataFrame, features: Sequence[str], row_id: str, label: str, cfg: TrainConfig, key: Column | None = None) -> DataFrame:
-    """How predictable it is that a row was inspected at all: metrics on a stratified fifth of the rows."""
+def propensity(
+    df: DataFrame, features: Sequence[str], row_id: str, label: str, cfg: TrainConfig, key: Column | None = None,
+    path: str | None = None, version: str = "propensity",
+) -> DataFrame:
+    """How predictable it is that a row was inspected at all: metrics on a stratified fifth of the rows.
+
+    With `path` the model goes to the model store there, with how its rows were split and its metrics.
+    """
     from plumbline.functions.scores import is_known
     from plumbline.operators.splits import random_split
 
@@ -132,7 +138,13 @@ def propensity(df: DataFrame, features: Sequence[str], row_id: str, label: str,
     parted = stage(impute.apply(parted, impute.fit(parted.where("split = 'train'"))))
     model = ml.fit_boosted(parted.where("split = 'train'"), features, cfg)
     scored = ml.score(model, parted.where("split = 'test'"), "p_seen")
-    return compute_metrics(scored, ml.LABEL, "p_seen", row_id).withColumn("baseline", F.col("n_pos") / F.col("n"))
+    out = compute_metrics(scored, ml.LABEL, "p_seen", row_id).withColumn("baseline", F.col("n_pos") / F.col("n"))
+    if path is None:
+        return out
+    out = stage(out)
+    split = {"split_mode": "random_stratified", "test_fraction": 0.2, "target": "inspected", "seed": cfg.seed}
+    store.save_model(model, df.sparkSession, path, version, features, split, metrics=out.first().asDict())
+    return out
 
 
 def conformal_report(

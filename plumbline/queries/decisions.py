@@ -253,6 +253,23 @@ def k3_features(spark, sf):
     return out.select("property_id", "p_lead_calibrated", "priority_score", top.alias("top_features"))
 
 
+@query(
+    "a14_ranked_records",
+    f"""WITH {PROPERTY}, {LINEAR}, {LOG}, {BOOST}, {PRIORITY}, {THRESHOLD},
+      f AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY -abs(c), feature) AS nth FROM a),
+      k AS (SELECT property_id, round(score, 4) AS priority_score, round(p_lead, 4) AS p_lead_calibrated, round(u, 4) AS uncertainty_score,
+        replace({SET}, ',', ', ') AS conformal_set FROM ranked CROSS JOIN th WHERE property_id IN (SELECT user_id FROM events))
+      SELECT row_number() OVER (ORDER BY priority_score DESC, property_id) AS rank, k.*, f.feature AS top_feature
+      FROM k JOIN f USING (property_id) WHERE nth = 1""",
+)
+def a14_records(spark, sf):
+    """Full records of an id list, ranked as they are shown."""
+    wanted = table(spark, sf, "events").select(F.col("user_id").alias("property_id"))
+    rows = properties(spark, sf).join(linear(spark, sf).select("property_id", "attributions"), "property_id")
+    out = scoring.prediction_records(rows, inspection_log(spark, sf), threshold(spark, sf), wanted=wanted, attributions="attributions", strict=False)
+    return scoring.rank_ids(out)
+
+
 @query("j18_global_importance", f"WITH {PROPERTY}, {LINEAR} SELECT feature, round(avg(abs(c)), 5) AS mean_abs FROM a GROUP BY feature")
 def j18(spark, sf):
     out = explain.global_importance(linear(spark, sf), "attributions")

@@ -39,7 +39,7 @@ def prepared(spark, sf, features=INTRINSIC, mode="geographic", **kw):
 @query("j4_baseline_models")
 def j4(spark, sf):
     """Heuristic, standardised logistic regression and random forest on one geographic split."""
-    return T.baseline_metrics(prepared(spark, sf, fv.LINEAR_FEATURES), SMALL)
+    return T.baseline_metrics(prepared(spark, sf, fv.LINEAR_FEATURES), TrainConfig())
 
 
 @query("j7_boosted_calibrated")
@@ -49,6 +49,13 @@ def j7(spark, sf):
     return T.evaluate(T.train_boosted(data, SMALL), data, baseline_ap=0.3)
 
 
+@query("j7_full_size")
+def j7_full(spark, sf):
+    """As above with all trees of the default depth, over the features that lie in place and neighbourhood too."""
+    data = prepared(spark, sf, fv.FEATURE_SETS["intrinsic_geo"])
+    return T.evaluate(T.train_boosted(data, TrainConfig()), data, baseline_ap=0.3)
+
+
 @query("j7_monotone_audit")
 def j7_audit(spark, sf):
     data = prepared(spark, sf)
@@ -79,7 +86,11 @@ def j10(spark, sf):
 
 @query("j11_propensity_model")
 def j11(spark, sf):
-    return T.propensity(unfilled(spark, sf), fv.PROPENSITY_FEATURES, "property_id", "service_line_material", SMALL)
+    """Fitted at full size and kept in the model store; its metrics with the stored version."""
+    path, cfg = scratch(spark), TrainConfig(max_depth=5)
+    out = T.propensity(unfilled(spark, sf), fv.PROPENSITY_FEATURES, "property_id", "service_line_material", cfg, path=path)
+    version = store.active_version(spark, path).select("model_version").scalar()
+    return out.withColumn("model_version", version)
 
 
 @query("j16_tree_attributions")

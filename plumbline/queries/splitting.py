@@ -176,6 +176,35 @@ def h3(spark, sf):
     return top_k(hits, [F.asc("_k"), F.asc("id")], 200).select("id", "rank")
 
 
+ACQUIRED = f"""WITH {ORDER_SCORES}, r AS (SELECT id, y, row_number() OVER (ORDER BY {{order}}) AS nth FROM scores {{where}})
+    SELECT id, CAST(y AS DOUBLE) AS _y FROM r WHERE nth <= 200"""
+
+
+def acquired(spark, sf, strategy, y):
+    from plumbline.models.pipelines import LABEL
+    from plumbline.plans.backtest import acquire
+
+    pool = order_scores(spark, sf).where(y).withColumns({LABEL: F.col("y").cast("double"), "priority_score": F.col("p")})
+    return acquire(pool, "id", strategy, 200, 42, key=mixed(F.col("id"), 5)).select("id", F.col(LABEL).alias("_y"))
+
+
+@query("h3_acquired_by_oracle", ACQUIRED.format(order=mixed_sql("id", 5) + ", id", where="WHERE y = 1"))
+def h3_oracle(spark, sf):
+    """The oracle's batch from the whole pool: positives only, as there are enough."""
+    return acquired(spark, sf, "oracle", F.lit(True))
+
+
+@query("h3_acquired_by_oracle_without_hits", ACQUIRED.format(order=mixed_sql("id", 5) + ", id", where="WHERE y = 0"))
+def h3_none(spark, sf):
+    """No positive is left in the pool: its first rows."""
+    return acquired(spark, sf, "oracle", F.col("y") == 0)
+
+
+@query("h3_acquired_by_priority", ACQUIRED.format(order="p DESC, id", where=""))
+def h3_priority(spark, sf):
+    return acquired(spark, sf, "risk_uncertainty_equity", F.lit(True))
+
+
 @query("h5_seeded_fraction", f"WITH {ORDER_SCORES}, r AS (SELECT id, row_number() OVER (ORDER BY {mixed_sql('id', 3)}, id) AS rk, count(*) OVER () AS n FROM scores) SELECT id FROM r WHERE rk <= greatest(1, floor(n*0.10::DOUBLE))")
 def h5(spark, sf):
     from plumbline.plans.backtest import initial_labels

@@ -122,6 +122,18 @@ def test_train_store_and_explain(spark, data, tmp_path):
     assert base_value(leaf_rules(trained.model)) == pytest.approx(parts.first()["base_value"])
 
 
+def test_propensity_model_is_stored(spark, rows, tmp_path):
+    path, cfg = str(tmp_path / "p"), TrainConfig(n_estimators=2, max_depth=2)
+    out = T.propensity(rows, fv.INTRINSIC, "property_id", "service_line_material", cfg, path=path).first()
+    assert 0 < out["baseline"] <= 1
+    active = store.active_version(spark, path).first()
+    assert active["model_version"] == "propensity" and tuple(active["feature_names"]) == tuple(fv.INTRINSIC)
+    assert '"target": "inspected"' in active["split_metadata"]
+    filled = rows.select("property_id", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fv.INTRINSIC])
+    scored = ml.score(store.load_model(spark, path), filled, "p_seen")
+    assert scored.where("p_seen < 0 OR p_seen > 1 OR p_seen IS NULL").count() == 0
+
+
 def test_sigmoid_matches_newton(spark):
     rng = np.random.default_rng(2)
     s = rng.normal(size=400)
