@@ -5,8 +5,11 @@ the background model all rows. They are matched: same vocabulary (words seen `mi
 others are one unknown word), same bigrams (those seen `min_count` times), same smoothing, and background counts scaled
 to the target's number of words, so that smoothing weighs the same in both.
 
-Counts are exact and cover the whole corpus, at any size: tasks add up what they read, Spark sums the rest, and the
-models are tables of what every word and bigram adds to a document's loss. A word w after v costs -log p(w) of the
+Counts are exact and cover the whole corpus, at any size. A first pass counts cells of 40 hash bits in place of bigrams,
+which takes a few bits a bigram: sorted cells go as differences. Bigrams in cells below `min_count` are rare for
+certain and stay out of the second pass, in which tasks add up what they read and Spark sums the rest; what gets by
+because cells or bits are shared costs time and changes no count. The models are tables of what every word and bigram
+adds to a document's loss. A word w after v costs -log p(w) of the
 interpolated unigram model, plus log(1 + h(v) / H) for backing off from v, minus log(1 + c(v,w) / (H p(w))) if the
 bigram is in the model (c: its count, h(v): kept bigrams that begin with v, H: `HISTORY_WEIGHT`). What differs from an
 unknown word is stored by a 64-bit key, so that a key that no table holds adds nothing. Losses are integers, in units
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.batches import WordHasher, text_pieces
+from plumbline.llm.batches import WordHasher, mixed, text_pieces
 from plumbline.llm.tables import free, text_or_empty, written
 
 MIN_COUNT = 3
@@ -39,6 +42,10 @@ UNIT = 1 << 20
 HOT = 1 << 21
 FILTER_BITS = 27
 HELD_WORDS = 1 << 22
+HELD_PAIRS = 1 << 23
+CELL_BITS = 40
+CELL_BYTES = 5
+BUCKET_BYTES = 1 << 20  # of text, for one bucket of cells
 BATCH_ROWS = 1 << 16
 BROADCAST_LABELS = 1_000_000
 BACK = 0x5851F42D4C957F2D  # tells the key of backing off from a word from the key of the word
@@ -78,9 +85,92 @@ def _batches(columns: list[np.ndarray], names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH_ROWS]) for c in columns], names=names)
 
 
-def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int) -> DataFrame:
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys) >> np.uint64(64 - CELL_BITS)
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted cells as differences, and their counts up to 255, in planes of bytes."""
+    steps = np.diff(cells, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES]
+    planes = np.concatenate([steps.T, np.minimum(counts, 255).astype(np.uint8)[None]])
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, (CELL_BYTES + 1) * n, asbytes=True), np.uint8).reshape(-1, n)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :CELL_BYTES] = planes[:CELL_BYTES].T
+    return np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64), planes[CELL_BYTES].astype(np.int64)
+
+
+def frequent_cells(docs: DataFrame, text: str, min_count: int, filter_bits: int) -> np.ndarray:
+    """Bitmap over the first bits of cells, set for all bigrams that occur `min_count` times, and for few others."""
+    rows = docs.select(text_or_empty(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bucket_bits = min(CELL_BITS - 1, (size // BUCKET_BYTES).bit_length())
+
+    def count(batches):
+        hasher, held, n = WordHasher(), [], 0
+
+        def summed():
+            cells = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            counts, cells = np.diff(np.r_[starts, len(cells)]), cells[starts]
+            bucket = (cells >> np.uint64(CELL_BITS - bucket_bits)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[at[1:], len(cells)]
+            for k in range(0, len(at), 1024):
+                spans = list(zip(at[k : k + 1024].tolist(), ends[k : k + 1024].tolist()))
+                columns = [pa.array(bucket[at[k : k + 1024]]), pa.array([b - a for a, b in spans], pa.int32())]
+                packed = pa.array([_packed(cells[a:b], counts[a:b]) for a, b in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, packed], names=["bucket", "size", "cells"])
+
+        for batch in batches:
+            for _, _, data, edges in text_pieces(batch.column(0)):
+                words, first = hasher(data, edges)
+                if len(words):
+                    at = _after(first, len(words))
+                    held.append(_cells(_pair_key(words[at - 1], words[at])))
+                    n += len(at)
+                if n > HELD_PAIRS:
+                    yield from summed()
+                    held, n = [], 0
+        if n:
+            yield from summed()
+
+    def merge(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        parts = [_unpacked(n, data) for n, data in zip(found["size"].to_pylist(), found["cells"].to_pylist())]
+        cells, counts = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(cells)
+        cells, counts = cells[order], np.where(counts[order] == 255, min_count, counts[order])
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        place = cells[starts][np.add.reduceat(counts, starts) >= min_count] >> np.uint64(CELL_BITS - filter_bits)
+        at, first = np.unique(place >> np.uint64(6), return_index=True)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        bits = np.bitwise_or.reduceat(bit, first) if len(bit) else bit
+        return pa.table({"at": at.astype(np.int64), "bits": bits.view(np.int64)})
+
+    cells = rows.mapInArrow(count, "bucket long, size int, cells binary").groupBy("bucket").applyInArrow(merge, "at long, bits long")
+    return _bitmap(cells.groupBy("at").agg(F.bit_or("bits").alias("bits")), filter_bits)
+
+
+def _bitmap(words: DataFrame, filter_bits: int) -> np.ndarray:
+    """The bitmap of (at, bits), one row per 64-bit word that is not 0: 2^21 rows at 27 bits."""
+    filled = words.toArrow()
+    bits = np.zeros(1 << (filter_bits - 6), np.uint64)
+    bits[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(v, w, n, t): occurrences of every word w (v = 0), and of word w after v if there are `min_count`, in all rows and
     in the target's. Words are named by their hashes."""
+    bits = frequent_cells(docs, text, min_count, filter_bits) if min_count > 1 else np.full(1 << (filter_bits - 6), ~np.uint64(0))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches):
         hasher, held, n = WordHasher(), [], 0
@@ -104,6 +194,8 @@ def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int) -> Dat
                     continue
                 marks = np.repeat(wanted[a:b], np.diff(first))
                 at = _after(first, len(words))
+                cells = _cells(_pair_key(words[at - 1], words[at]))
+                at = at[_is_set(shared.value, cells >> np.uint64(CELL_BITS - filter_bits))]
                 held.append((np.zeros(len(words), np.uint64), words, marks))
                 held.append((words[at - 1], words[at], marks[at]))
                 n += len(words) + len(at)
@@ -135,7 +227,7 @@ def fit(
     word is unknown. Very long texts are counted whole. Other columns of `docs` are not read. Keys of 64 bits stand for
     words and bigrams: two of them share one with a chance of about 10^-19 a pair.
     """
-    counts = written(ngram_counts(docs, text, target, min_count), "ngrams")
+    counts = written(ngram_counts(docs, text, target, min_count, filter_bits), "ngrams")
     single, pairs = counts.where("v = 0").drop("v"), counts.where("v <> 0")
     rare = F.col("n") < min_count
     total = single.agg(
@@ -177,9 +269,7 @@ def fit(
     cold = deltas.where(F.col("band") < cut).select("key", F.col("dt").alias("target"), F.col("dn").alias("background"))
     at = F.shiftrightunsigned("key", 64 - filter_bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    filled = cold.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^21 rows at most
-    bits = np.zeros(1 << (filter_bits - 6), np.uint64)
-    bits[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    bits = _bitmap(cold.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")), filter_bits)
     return Models(tuple(round(-math.log(unknown[c]) * UNIT) for c in "tn"), keys[order], values, bits, cold)
 
 
@@ -192,8 +282,7 @@ def _found(keys: np.ndarray, hot: np.ndarray, values: np.ndarray, bits: np.ndarr
         hit = hot[at] == keys
         out[:, hit] = values[:, at[hit]]
     place = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
-    known = bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)
-    return out, ~hit & (known == 1)
+    return out, ~hit & _is_set(bits, place)
 
 
 def _piece(words: np.ndarray, first: np.ndarray, hot: np.ndarray, values: np.ndarray, bits: np.ndarray):

@@ -83,6 +83,35 @@ def test_scores_equal_plain_counts(spark, min_count, hot, bits):
     assert min_count > 2 or by_id[1].score < 0 < by_id[3].score
 
 
+def test_packed_cells_come_back():
+    rng = np.random.default_rng(5)
+    for top in (3, 1 << 12, 1 << lm.CELL_BITS):
+        cells = np.unique(rng.integers(0, top, 500).astype(np.uint64))
+        counts = rng.integers(1, 400, len(cells))
+        back, n = lm._unpacked(len(cells), lm._packed(cells, counts))
+        assert (back == cells).all() and (n == np.minimum(counts, 255)).all()
+
+
+def test_no_frequent_bigram_is_filtered_out(spark, monkeypatch):
+    """Over many buckets and hand-overs, with counts above what a byte holds."""
+    monkeypatch.setattr(lm, "HELD_PAIRS", 50)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 64)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 40))) for _ in range(200)] + ["a b " * 800]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    pairs = Counter(p for t in texts for p in zip(words(t), words(t)[1:]))
+    hasher = WordHasher()
+    for least in (2, 30, 300, 700):
+        bits = lm.frequent_cells(docs, "text", least, 16)
+        found = Counter()
+        for (v, w), n in pairs.items():
+            data = f"{v} {w}".encode()
+            h, _ = hasher(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            place = lm._cells(lm._pair_key(h[:1], h[1:])) >> np.uint64(lm.CELL_BITS - 16)
+            found[n >= least, bool(lm._is_set(bits, place)[0])] += 1
+        assert found[True, True] and not found[True, False] and found[False, True] <= 3
+
+
 def test_models_of_one_table_score_another(spark):
     docs = spark.createDataFrame([("a b a b a b", True), ("c d c d c d", False)], "text string, target boolean")
     models = lm.fit(docs, min_count=1)
