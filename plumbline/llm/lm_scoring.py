@@ -41,8 +41,8 @@ WORD_WEIGHT = 0.1
 UNIT = 1 << 20
 HOT = 1 << 21
 FILTER_BITS = 27
-HELD_WORDS = 1 << 22
-HELD_PAIRS = 1 << 23
+HELD_WORDS = 1 << 21
+HELD_PAIRS = 1 << 22
 CELL_BITS = 40
 CELL_BYTES = 5
 BUCKET_BYTES = 1 << 20  # of text, for one bucket of cells
@@ -113,7 +113,9 @@ def frequent_cells(docs: DataFrame, text: str, min_count: int, filter_bits: int)
         hasher, held, n = WordHasher(), [], 0
 
         def summed():
-            cells = np.sort(np.concatenate(held))
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
             starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
             counts, cells = np.diff(np.r_[starts, len(cells)]), cells[starts]
             bucket = (cells >> np.uint64(CELL_BITS - bucket_bits)).astype(np.int64)
@@ -134,7 +136,7 @@ def frequent_cells(docs: DataFrame, text: str, min_count: int, filter_bits: int)
                     n += len(at)
                 if n > HELD_PAIRS:
                     yield from summed()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from summed()
 
@@ -177,6 +179,7 @@ def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int, filter
 
         def summed():
             left, right, marks = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order = np.lexsort((right, left))
             left, right, marks = left[order], right[order], marks[order]
             starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
@@ -201,7 +204,7 @@ def ngram_counts(docs: DataFrame, text: str, target: str, min_count: int, filter
                 n += len(words) + len(at)
                 if n > HELD_WORDS:  # hand over what has gathered: memory stays bounded, the sum is made by Spark
                     yield from summed()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from summed()
 
