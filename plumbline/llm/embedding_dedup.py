@@ -12,7 +12,10 @@
    within range are expanded until nothing new is in range. Hits are verified in double precision.
 4. Recall is audited twice: for a sample of a shard's queries brute force over the shard tells what should be found, and
    the beam is doubled until `MIN_RECALL` of it is; and the links found of the hashed sample are compared with all its
-   links within the label. The lower of the two is returned.
+   links within the label. A label of which fewer than `LEAST_AUDIT` were found is searched again, in every shard within
+   the range and by brute force there, which misses nothing. The lower of the two audits is returned. Labels of one
+   shard are searched whole and need the first audit only; of every other label about `LABEL_SAMPLE` nodes at least are
+   in the hashed sample.
 
 A shard of more than `PART` nodes is dealt by hash into parts with a graph each, and so are its queries; each part of the
 queries visits all parts of the nodes. So no task holds more than about 2 `PART` rows, and nothing is dropped. A task returns, per query, the number of links, and for
@@ -21,12 +24,13 @@ components one edge per node it has linked, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.groups import attach, components
 from plumbline.llm.tables import written
@@ -45,11 +49,17 @@ MEDOIDS = 16
 AUDIT = 64
 MIN_RECALL = 0.99
 AUDITED_NODES = 1024
+LABEL_SAMPLE = 32  # of at most CENTRES / 2 labels that have more than one shard
+LEAST_AUDIT = 0.95
 MIN_COVER = 0.995
 ROUNDING = 1e-5
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a power of two is taken out first, so that squares neither overflow nor vanish."""
+    if not values.size:
+        return values
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, keepdims=True))[1])
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
@@ -175,8 +185,13 @@ def audited_search(x, graph, queries, threshold) -> tuple[np.ndarray, float, int
     return range_search(x, graph, queries, starts, least, beam), float(recall), beam
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.frombuffer(v, "<f4") for v in column]) if len(column) else np.zeros((0, 1), "f4")
+def _units(frame: pd.DataFrame) -> np.ndarray:
+    """The unit vectors, in double precision, of rows of one dimension; components are kept in 4 bytes or in 8."""
+    if not len(frame):
+        return np.zeros((0, 1))
+    dim = int(frame["dim"].iloc[0])
+    kind = f"<f{len(frame['vec'].iloc[0]) // dim}"
+    return unit_rows(np.frombuffer(b"".join(frame["vec"]), kind).reshape(-1, dim).astype("f8"))
 
 
 HOME = "label long, dim int, node long, weight long, vec binary, shard long, cos double"
@@ -192,7 +207,7 @@ def _homes(nodes: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> Data
             for key, part in frame.groupby(["label", "dim"]):
                 home, cos = np.zeros(len(part), np.int64), np.ones(len(part))
                 if key in shared.value:
-                    s = unit_rows(_matrix(part["vec"]).astype("f8")) @ shared.value[key].T
+                    s = _units(part) @ shared.value[key].T
                     home, cos = s.argmax(axis=1), s.max(axis=1)
                 yield pa.RecordBatch.from_pandas(part.assign(shard=home, cos=cos), preserve_index=False)
 
@@ -222,7 +237,7 @@ def _visits(homes: DataFrame, centres: dict, radii: dict, margins: dict, thresho
                     who, shard = np.arange(len(asks)), asks["shard"].to_numpy()
                     if key in centres:
                         c = centres[key]
-                        s = unit_rows(_matrix(asks["vec"]).astype("f8")) @ c.T
+                        s = _units(asks) @ c.T
                         near = np.arccos(np.clip(s, -1, 1)) <= radii[key] + reach + ROUNDING
                         near &= _depths(s, shard, c) <= margins[key] + ROUNDING
                         near[who, shard] = True
@@ -235,7 +250,7 @@ def _visits(homes: DataFrame, centres: dict, radii: dict, margins: dict, thresho
 
 def _true_links(homes: DataFrame, sample: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(label, dim, node, shard, n): the links of the sampled nodes to the nodes of each shard, by brute force over their label."""
-    asked = {k: (p["node"].to_numpy(), unit_rows(_matrix(p["vec"]).astype("f8"))) for k, p in sample.groupby(["label", "dim"])}
+    asked = {k: (p["node"].to_numpy(), _units(p)) for k, p in sample.groupby(["label", "dim"])}
     shared = homes.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -245,7 +260,7 @@ def _true_links(homes: DataFrame, sample: pd.DataFrame, threshold: float) -> pd.
                 if key not in shared.value:
                     continue
                 ids, y = shared.value[key]
-                who, at = np.nonzero((y @ unit_rows(_matrix(part["vec"]).astype("f8")).T >= threshold) & (ids[:, None] != part["node"].to_numpy()))
+                who, at = np.nonzero((y @ _units(part).T >= threshold) & (ids[:, None] != part["node"].to_numpy()))
                 out = pd.DataFrame({"node": ids[who], "shard": part["shard"].to_numpy()[at], "n": part["weight"].to_numpy()[at]})
                 out = out.groupby(["node", "shard"], as_index=False).sum().assign(label=key[0], dim=key[1])
                 yield pa.RecordBatch.from_pandas(out[["label", "dim", "node", "shard", "n"]], preserve_index=False)
@@ -263,7 +278,7 @@ def _margins(sample: pd.DataFrame, links: pd.DataFrame, centres: dict, threshold
         found = links[(links["label"] == key[0]) & (links["dim"] == key[1])]
         if not len(found):
             continue
-        depth = _depths(unit_rows(_matrix(asks["vec"]).astype("f8")) @ c.T, asks["shard"].to_numpy(), c)
+        depth = _depths(_units(asks) @ c.T, asks["shard"].to_numpy(), c)
         row = pd.Series(np.arange(len(asks)), asks["node"].to_numpy())
         need = depth[row[found["node"]].to_numpy(), found["shard"].to_numpy()]
         order, n = np.argsort(need), found["n"].to_numpy().astype(float)
@@ -275,19 +290,24 @@ def _margins(sample: pd.DataFrame, links: pd.DataFrame, centres: dict, threshold
 
 
 def _build(key, frame: pd.DataFrame) -> pd.DataFrame:
-    x = unit_rows(_matrix(frame["vec"]).astype("f4"))
+    x = _units(frame).astype("f4")
     ids = frame["node"].to_numpy()
     graph = build_graph(x, seed=len(x))
     return pd.DataFrame({"node": ids, "links": [ids[g] for g in reachable(graph)]})
 
 
-def _search(threshold: float):
+FOUND = "label long, dim int, kind int, node long, value long, recall double"
+
+
+def _search(threshold: float, whole: bool):
+    """What a part of the queries finds in a part of a shard; `whole`: by brute force."""
+
     def search(key, frame: pd.DataFrame) -> pd.DataFrame:
         index, asks = frame[frame["links"].notna()], frame[frame["ask"]]
         if not len(index) or not len(asks):
-            return pd.DataFrame({"kind": [], "node": [], "value": [], "recall": []}).astype({"kind": "int32", "node": "int64", "value": "int64", "recall": "float64"})
-        exact, ids = unit_rows(_matrix(index["vec"]).astype("f8")), index["node"].to_numpy()
-        asked, own = unit_rows(_matrix(asks["vec"]).astype("f8")), asks["node"].to_numpy()
+            return pd.DataFrame({c: [] for c in ("label", "dim", "kind", "node", "value")}, dtype="int64").assign(recall=0.0)
+        exact, ids = _units(index), index["node"].to_numpy()
+        asked, own = _units(asks), asks["node"].to_numpy()
         place = pd.Series(np.arange(len(ids)), ids)
         graph = np.full((len(ids), max(1, max(map(len, index["links"])))), len(ids), np.int64)
         for i, links in enumerate(index["links"]):
@@ -304,7 +324,7 @@ def _search(threshold: float):
         counts, recall = np.zeros(len(own), np.int64), 1.0
         x, y = exact.astype("f4"), asked.astype("f4")
         for a in range(0, len(own), 1024):
-            hits, r, _ = audited_search(x, graph, y[a : a + 1024], threshold)
+            hits, r, _ = (y[a : a + 1024] @ x.T >= threshold - 1e-5, 1.0, 0) if whole else audited_search(x, graph, y[a : a + 1024], threshold)
             recall = min(recall, r)
             who, node = np.nonzero(hits)
             true = np.concatenate([np.einsum("nd,nd->n", asked[a + who[b : b + 65536]], exact[node[b : b + 65536]]) >= threshold for b in range(0, len(who), 65536)] or [np.zeros(0, bool)])
@@ -316,13 +336,51 @@ def _search(threshold: float):
                 u, v = root(u), root(v)
                 if u != v:
                     parent[max(u, v)] = min(u, v)
-        out = [(0, n, c, recall) for n, c in zip(own.tolist(), counts.tolist())]
-        out += [(1, v, root(v), recall) for v in list(parent) if root(v) != v]
-        return pd.DataFrame(out, columns=["kind", "node", "value", "recall"])
+        place = int(key[0]), int(key[1])
+        out = [(*place, 0, n, c, recall) for n, c in zip(own.tolist(), counts.tolist())]
+        out += [(*place, 1, v, root(v), recall) for v in list(parent) if root(v) != v]
+        return pd.DataFrame(out, columns=["label", "dim", "kind", "node", "value", "recall"])
 
     return search
 
 
+CELL = ["label", "dim", "shard"]
+
+
+def _sample(homes: DataFrame, several: DataFrame) -> pd.DataFrame:
+    """Nodes of labels of several shards by hash: about `AUDITED_NODES`, and of every label about `LABEL_SAMPLE` at least."""
+    sizes = homes.join(F.broadcast(several), ["label", "dim"]).groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    total = F.sum("size").over(Window.partitionBy())  # one row per label of several shards, at most CENTRES / 2
+    rates = sizes.select("label", "dim", F.greatest(AUDITED_NODES / total, LABEL_SAMPLE / F.col("size")).alias("rate"))
+    return homes.join(F.broadcast(rates), ["label", "dim"]).where(_unit("audit") < F.col("rate")).drop("rate").toPandas()
+
+
+def _found(homes: DataFrame, held: DataFrame, centres: dict, radii: dict, margins: dict, threshold: float, whole: bool = False) -> DataFrame:
+    """`FOUND` rows: kind 0 the links that a node (counted by weight) has in a part of a shard, kind 1 edges that join what links."""
+    visits = written(_visits(homes, centres, radii, margins, threshold), "visits")
+    asking = visits.groupBy(*CELL).agg(F.count(F.lit(1)).alias("asking"))
+    parts = held.join(asking, CELL).withColumn("ask_parts", F.ceil(F.col("asking") / PART).cast("int"))
+    parts = written(parts.select(*CELL, "parts", "ask_parts", "n", "asking"), "parts")
+    members = attach(homes.drop("cos"), parts, CELL, "n").withColumn("j", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = written(members.drop("n", "asking"), "members")
+    none = F.lit(None).cast("array<long>").alias("links")
+    if whole:
+        index = members.withColumn("links", F.array().cast("array<long>"))
+    else:
+        index = members.join(written(members.groupBy(*CELL, "j").applyInPandas(_build, "node long, links array<long>"), "graph"), "node")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = index.withColumn("i", to("ask_parts")).select(*CELL, "i", "j", "node", "weight", "vec", "links", F.lit(False).alias("ask"))
+    asks = attach(visits, parts, CELL, "asking").withColumn("i", F.pmod(F.xxhash64(F.lit("ask"), "node"), F.col("ask_parts")).cast("int"))
+    asks = asks.withColumn("j", to("parts")).select(*CELL, "i", "j", "node", "weight", "vec", none, F.lit(True).alias("ask"))
+    return written(index.unionByName(asks).groupBy(*CELL, "i", "j").applyInPandas(_search(threshold, whole), FOUND), "found")
+
+
+def _of_sample(found: DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+    """(node, others): what was found of the sampled nodes."""
+    asked = found.sparkSession.createDataFrame(sample[["node"]], "node long") if len(sample) else found.select("node").limit(0)
+    return found.where("kind = 0").join(F.broadcast(asked), "node").groupBy("node").agg(F.sum("value").alias("others")).toPandas()
+
+
 def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept, audited_recall.
 
@@ -332,7 +390,8 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     gives an empty result.
     """
     spark = vectors.sparkSession
-    e = F.col(f"`{embedding}`").cast("array<float>")
+    wide = vectors.select(F.col(f"`{embedding}`")).schema[0].dataType.simpleString() != "array<float>"
+    e = F.col(f"`{embedding}`").cast("array<double>" if wide else "array<float>")
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     sound = sound & F.exists(e, lambda v: v != 0) & F.col(f"`{label}`").isNotNull()
     rows = vectors.select(
@@ -350,35 +409,27 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     centres = _centres(nodes, threshold)
     homes = written(_homes(nodes, centres), "homes")
 
-    cell = ["label", "dim", "shard"]
-    total = homes.count()
-    sample = homes.where(_unit("audit") * max(1, total) < AUDITED_NODES).toPandas()
+    several = spark.createDataFrame([(int(k[0]), int(k[1]), len(c)) for k, c in centres.items()], "label long, dim int, of_label int")
+    sample = _sample(homes, several)
     truth = _true_links(homes, sample, threshold)
-    held = homes.groupBy(*cell).agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n"))
+    held = homes.groupBy(*CELL).agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n"))
     held = written(held.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "held")
     radii = {k: np.full(len(c), -np.inf) for k, c in centres.items()}
-    for r in held.collect() if centres else []:  # at most CENTRES shards besides the labels that are one shard
-        if (r.label, r.dim) in radii:
-            radii[r.label, r.dim][r.shard] = np.arccos(np.clip(r.cos, -1, 1))
-    visits = written(_visits(homes, centres, radii, _margins(sample, truth, centres, threshold), threshold), "visits")
-    asking = visits.groupBy(*cell).agg(F.count(F.lit(1)).alias("asking"))
-    parts = held.join(asking, cell).withColumn("ask_parts", F.ceil(F.col("asking") / PART).cast("int"))
-    parts = written(parts.select(*cell, "parts", "ask_parts", "n", "asking"), "parts")
-    members = attach(homes.drop("cos"), parts, cell, "n").withColumn("j", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = written(members.drop("n", "asking"), "members")
-    graph = written(members.groupBy(*cell, "j").applyInPandas(_build, "node long, links array<long>"), "graph")
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = members.join(graph, "node").withColumn("i", to("ask_parts"))
-    index = index.select(*cell, "i", "j", "node", "weight", "vec", "links", F.lit(False).alias("ask"))
-    asks = attach(visits, parts, cell, "asking").withColumn("i", F.pmod(F.xxhash64(F.lit("ask"), "node"), F.col("ask_parts")).cast("int"))
-    asks = asks.withColumn("j", to("parts")).select(*cell, "i", "j", "node", "weight", "vec", F.lit(None).cast("array<long>").alias("links"), F.lit(True).alias("ask"))
-    found = index.unionByName(asks).groupBy(*cell, "i", "j").applyInPandas(_search(threshold), "kind int, node long, value long, recall double")
-    found = written(found, "found")
+    for r in held.join(F.broadcast(several), ["label", "dim"]).collect():  # at most CENTRES rows
+        radii[r.label, r.dim][r.shard] = np.arccos(np.clip(r.cos, -1, 1))
+    found = _found(homes, held, centres, radii, _margins(sample, truth, centres, threshold), threshold)
+    audit = _audit(sample, truth, _of_sample(found, sample))
+    missed = [k for k, share in audit.items() if share < LEAST_AUDIT and k in centres]
+    if missed:
+        again = F.broadcast(spark.createDataFrame(missed, "label long, dim int"))
+        where = lambda df, how: df.join(again, ["label", "dim"], how)
+        everywhere = {k: math.inf for k in missed}
+        second = _found(where(homes, "left_semi"), where(held, "left_semi"), {k: centres[k] for k in missed}, {k: radii[k] for k in missed}, everywhere, threshold, True)
+        found = where(found, "left_anti").unionByName(second)
+        audit |= {k: v for k, v in _audit(sample, truth, _of_sample(found, sample)).items() if k in everywhere}
 
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("others"), F.min("recall").alias("recall"))
     joined = components(found.where("kind = 1").select(F.col("node").alias("a"), F.col("value").alias("b")))
-    got = links.join(F.broadcast(spark.createDataFrame(sample[["node"]], "node long")), "node").toPandas() if len(sample) else links.limit(0).toPandas()
-    audit = _audit(sample, truth, got)
     audits = spark.createDataFrame([(*k, r) for k, r in audit.items()], "label long, dim int, audit double")
     links = links.join(classes.select("node", "label", "dim"), "node").join(F.broadcast(audits), ["label", "dim"], "left")
     links = links.select("node", "others", F.least("recall", "audit").alias("recall"))
@@ -395,7 +446,8 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
 
 def _as_bytes(batches):
     for batch in batches:
-        vec = [np.array(v, "<f4").tobytes() for v in batch.column("e").to_pylist()]
+        kind = "<f8" if batch.schema.field("e").type.value_type == pa.float64() else "<f4"
+        vec = [np.array(v, kind).tobytes() for v in batch.column("e").to_pylist()]
         names = ["key", "node", "weight", "label", "dim"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(vec, pa.binary())], names=[*names, "vec"])
 
@@ -434,5 +486,5 @@ def _centres(nodes: DataFrame, threshold: float) -> dict[tuple[int, int], np.nda
     picked = picked.where(_unit("centre") < F.lit(1.0 / per)).select("label", "dim", "node", "vec")
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for r in sorted(picked.collect(), key=lambda r: r.node):
-        out.setdefault((r.label, r.dim), []).append(np.frombuffer(r.vec, "<f4"))
-    return {k: _apart(unit_rows(np.array(v, "f8")), threshold) for k, v in out.items()}
+        out.setdefault((r.label, r.dim), []).append(r.vec)
+    return {k: _apart(_units(pd.DataFrame({"dim": k[1], "vec": v})), threshold) for k, v in out.items()}

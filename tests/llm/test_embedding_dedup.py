@@ -93,14 +93,37 @@ def test_more_near_copies_than_a_few_shards_hold(spark, monkeypatch, spread):
     assert all(r.audited_recall >= 0.98 for r in got.values())
 
 
-def test_audit_compares_with_the_whole_label(spark, monkeypatch):
-    """Links that no shard was asked for count as missed."""
+def test_a_label_that_fails_its_audit_is_searched_whole(spark, monkeypatch):
+    """The first search is asked about some shards only; what it misses is found by the second."""
     monkeypatch.setattr(ed, "CLUSTER_NODES", 64)
-    monkeypatch.setattr(ed, "_visits", lambda homes, *_: homes.drop("cos").where("shard > 0").select("label", "dim", "node", "weight", "vec", "shard"))
+    first, visits = [], ed._visits
+
+    def some(homes, centres, radii, margins, threshold):
+        if first:
+            return visits(homes, centres, radii, margins, threshold)
+        first.append(1)
+        return homes.drop("cos").where("shard > 0").select("label", "dim", "node", "weight", "vec", "shard")
+
+    monkeypatch.setattr(ed, "_visits", some)
     rng = np.random.default_rng(3)
     x = rng.normal(size=64) + rng.normal(size=(800, 64)) * 0.16
-    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    assert ed.near_groups(df).agg({"audited_recall": "max"}).first()[0] < 0.9
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)] + [(1000 + i, [float(i), 1.0], 5) for i in range(20)]
+    got = ed.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    unit = ed.unit_rows(x)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in got if r.vec_id < 1000} == dict(enumerate(want.tolist()))
+    assert all(r.audited_recall >= 0.95 for r in got if r.vec_id < 1000)
+
+
+def test_lengths_do_not_matter(spark):
+    """Components that single precision, or squares in double precision, cannot hold; digits that only a double has."""
+    near = math.acos(0.98)
+    rows = [(f * 10 + i, [s * math.cos(a), s * math.sin(a)], f) for f, s in enumerate([1.0, 1e-30, 1e30, 1e-200, 1e200]) for i, a in enumerate([0.0, near - 1e-10, near + 1e-10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in ed.near_groups(df).collect()} == {f * 10 + i: [1, 2, 1][i] for f in range(5) for i in range(3)}
+    narrow = [(i, [1e-30 * v, 1e-30], 0) for i, v in enumerate([1.0, 1.01, -1.0])] + [(i, [1e30 * v, 1e30], 0) for i, v in ((3, 1.0), (4, -1.0))]
+    df = spark.createDataFrame(narrow, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: r.n_links for r in ed.near_groups(df).collect()} == {0: 2, 1: 2, 2: 1, 3: 2, 4: 1}
 
 
 def test_pruned_lists_are_not_dominated():
