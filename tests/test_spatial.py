@@ -101,3 +101,23 @@ def test_dense_spot_takes_linear_work(spark):
         work[n] = joined.agg(F.sum(F.col("n") * F.col("m")), F.max("n")).first()
         assert levels == sorted(levels) and len(levels) < 20
     assert work[100_000][0] < 15 * work[10_000][0] and work[100_000][1] < 300
+
+
+def test_many_ranges_and_chunks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_ROWS", 100)
+    monkeypatch.setattr(spatial, "CHUNK_LEAVES", 1)
+    rng = np.random.default_rng(12)
+    q, r = cloud(rng, 300, "skewed"), cloud(rng, 900, "skewed")
+    d = distances(q, r)
+    found = spatial.knn_join(spark.createDataFrame(q), spark.createDataFrame(r), 7, "id").toPandas().sort_values("id")
+    want = [tuple(r.id.to_numpy()[np.lexsort((r.id, np.round(row, 6)))[:7]]) for row in d]
+    assert [tuple(e.ref_id for e in row) for row in found.neighbours] == want
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Estimates of well-compressed inputs are too small, whatever the size."""
+    rows = spark.createDataFrame(spot(3000))
+    near, lists = spatial.nearest_distance(rows, rows, "metres", 5000.0), spatial.knn_join(rows, rows, 3, "id")
+    for df in (near, lists):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
