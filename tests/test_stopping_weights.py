@@ -99,3 +99,10 @@ def test_bootstrap_interval(rows):
     assert abs(mean[0] - 1) < 0.03 and abs(mean[1] - 1) < 0.06
     one_class = M.bootstrap_precision(rows.where("y = 1"), "y", "b", "id", 5).first()
     assert one_class.n_replicates == 0 and one_class.low is None
+
+
+def test_a_draw_is_hashed_once(rows):
+    counted = M.replicate_counts(rows, "y", "b", "id", 20)
+    summed = counted.groupBy("replicate", "_p").agg(F.sum(F.col("_y") * F.col("_times")), F.sum("_times"))
+    assert summed._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+    assert counted.rdd.getNumPartitions() >= 8 and counted.count() == 20 * rows.count()
