@@ -24,21 +24,28 @@ def l1(spark, sf):
     return ok.unionByName(no).groupBy("inspected_material", "rejected").agg(F.count("*").alias("n"))
 
 
-def weeks(spark, sf, resent: bool) -> str:
-    """The log in files of a week each, in order of time; with `resent` every week is written twice."""
+FILE_ROWS = 50_000
+
+
+def weeks(spark, sf, resent: bool) -> tuple[str, int]:
+    """The log in order of time, each week in the same number of files, and that number; with `resent` every week is
+    written twice. A batch of that many files is a week, and tasks share its writing and reading."""
     path, rows = scratch(spark), inspection_log(spark, sf)
     week = F.least(F.lit(3), F.floor((F.dayofmonth(F.col("inspected_at").cast("timestamp")) - 1) / 7))
+    sizes = rows.groupBy(week.alias("week")).count().where("week IS NOT NULL")
+    # by the smallest week, so that no file of any is empty and left out
+    n = max(1, (sizes.agg(F.min("count")).first()[0] or 0) // FILE_ROWS)
     for i in range(4):
         for _ in range(1 + resent):
-            files.append_inspections(rows.where(week == i).coalesce(1), path)
-    return path
+            files.append_inspections(rows.where(week == i).repartition(n), path)
+    return path, n
 
 
 @query("l2_stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS inspection_id, 1 AS n FROM events")
 def l2(spark, sf):
-    """Every week of the log is sent twice, a file at a time; each id comes out once, at the default delay."""
+    """Every week of the log is sent twice, one at a time; each id comes out once, at the default delay."""
     out = scratch(spark)
-    once = I.deduplicated(I.read_log(spark, weeks(spark, sf, True), 1))
+    once = I.deduplicated(I.read_log(spark, *weeks(spark, sf, True)))
     I.run_to_table(once.select("inspection_id"), out, scratch(spark)).awaitTermination()
     return spark.read.parquet(out).groupBy("inspection_id").agg(F.count("*").cast("int").alias("n"))
 
@@ -77,7 +84,7 @@ WEEK_SQL = "least(3, CAST(floor((day(ts) - 1) / 7) AS INTEGER))"
 def l4(spark, sf):
     """The totals of unused labels at the batches where they had reached the threshold; every week is sent twice."""
     fired: list[tuple[int]] = []
-    stream = I.read_log(spark, weeks(spark, sf, True), 1)
+    stream = I.read_log(spark, *weeks(spark, sf, True))
     I.retrain_trigger(stream, scratch(spark), 500, lambda batch, pending: fired.append((pending,))).awaitTermination()
     return spark.createDataFrame(fired, "pending bigint")
 
@@ -95,13 +102,13 @@ def l5(spark, sf):
     return I.latest(spark, out).select(day.alias("day"), "n", r6(F.col("lead_rate"), "lead_rate"), F.round("cost_usd", 4).alias("cost_usd"))
 
 
-def _with_stale(spark, sf) -> str:
+def _with_stale(spark, sf) -> tuple[str, int]:
     """Weeks in order of time, then some records of the first week once more under new ids."""
-    path = weeks(spark, sf, False)
+    path, n = weeks(spark, sf, False)
     old = (F.dayofmonth(F.col("inspected_at").cast("timestamp")) <= 7) & (F.col("inspection_id").cast("bigint") % 50 == 0)
     stale = inspection_log(spark, sf).where(old).withColumn("inspection_id", F.concat(F.lit("again-"), "inspection_id"))
     files.append_inspections(stale.coalesce(1), path)
-    return path
+    return path, n
 
 
 @query(
@@ -112,7 +119,7 @@ def _with_stale(spark, sf) -> str:
 def l5_closed(spark, sf):
     """Appended windows: each once, when an event two days younger than its end has come; stale records change none."""
     out = scratch(spark)
-    stream = I.accepted(I.read_log(spark, _with_stale(spark, sf), 1))
+    stream = I.accepted(I.read_log(spark, *_with_stale(spark, sf)))
     I.run_to_table(I.windowed(stream, late="2 days"), out, scratch(spark)).awaitTermination()
     day = F.date_format(F.col("window.start"), "yyyy-MM-dd")
     return spark.read.parquet(out).select(day.alias("day"), "n", F.round("cost_usd", 4).alias("cost_usd"))
@@ -124,7 +131,7 @@ def l5_closed(spark, sf):
 )
 def l5_late(spark, sf):
     out = scratch(spark)
-    stream = I.accepted(I.read_log(spark, _with_stale(spark, sf), 1))
+    stream = I.accepted(I.read_log(spark, *_with_stale(spark, sf)))
     I.late_records(stream, out, scratch(spark), scratch(spark), late="2 days").awaitTermination()
     return spark.read.parquet(out).select("inspection_id")
 

@@ -193,3 +193,15 @@ def test_unknown_id_is_an_error(spark, sf):
         scoring.prediction_records(properties(spark, sf), inspection_log(spark, sf), F.lit(0.6), wanted=wanted)
     known = scoring.prediction_records(properties(spark, sf), inspection_log(spark, sf), F.lit(0.6), wanted=wanted.where("property_id = 1"))
     assert scoring.rank_ids(known).count() == 1
+
+
+def test_weeks_of_many_files_are_batches(spark, sf, monkeypatch):
+    from plumbline.queries import ORACLES, QUERIES, streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    path, n = streams.weeks(spark, sf, True)
+    assert n > 1 and len(spark.read.text(path).inputFiles()) == 8 * n
+    import compare
+
+    for name in ("l2_stream_dedup", "l4_retrain_trigger"):
+        assert compare.difference(QUERIES[name](spark, sf), compare.connect(sf), ORACLES[name]) is None
