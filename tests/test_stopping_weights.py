@@ -80,6 +80,17 @@ def test_weights_count_like_repeated_rows(rows):
     assert none["pr_auc"] is None or math.isnan(none["pr_auc"])
 
 
+def test_trees_of_weighted_rows_beyond_the_sample_for_split_candidates(spark):
+    """12,000 repeated rows: Spark samples 10,000 of them for the candidates, but not of the 6,000 weighted ones."""
+    unit = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
+    rows = spark.range(6000).select("id", unit(1).alias("a"), unit(2).alias("b"), unit(3).alias("u"))
+    rows = rows.select("id", "a", "b", (F.col("u") < 0.2 + 0.6 * F.col("a") * F.col("b")).cast("double").alias("y"))
+    weighted = rows.withColumn(ml.EXAMPLE, 1.0 + F.col("id") % 3)
+    repeated = weighted.withColumn("k", F.explode(F.expr(f"sequence(1, int({ml.EXAMPLE}))"))).drop("k", ml.EXAMPLE)
+    a, b = (ml.score(ml.fit_boosted(df.repartition(n), ["a", "b"], CFG), rows, "p").select("id", "p") for n, df in ((3, weighted), (5, repeated)))
+    assert a.join(b.withColumnRenamed("p", "q"), "id").where(F.abs(F.col("p") - F.col("q")) > 1e-9).count() == 0
+
+
 def test_example_weight(spark):
     df = spark.createDataFrame([("inspected",), ("self_reported",), (None,), ("x",)], "s string")
     got = [r[0] for r in df.select(example_weight(F.col("s"), {"inspected": 2, "self_reported": 0.5})).collect()]
