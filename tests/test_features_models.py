@@ -180,3 +180,12 @@ def test_top_contributions(spark):
     best = df.select(explain.top_contributions(F.col("x"), 2)).first()[0]
     assert [(e.feature, e.contribution) for e in best] == [("b", -0.9), ("c", 0.5)]
     assert len(df.select(explain.top_contributions(F.col("x"), 9)).first()[0]) == 3
+
+
+def test_prepared_rows_are_dealt_evenly_over_the_cores(spark):
+    row = F.col("id")
+    labels = F.element_at(F.array(*[F.lit(x) for x in ("Lead", "Copper", "Galvanized")]), (row % 3 + 1).cast("int"))
+    base = spark.range(0, 20_000, 1, 1).select(row.alias("property_id"), (row % 40).alias("ward"), (1900 + row % 100).alias("year_built"), labels.alias("service_line_material"))
+    rows = T.prepare(base, "geographic", ["year_built"], min_test_rows=None).rows
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 8 and sum(sizes) == 20_000 and max(sizes) <= 1.1 * min(sizes)
