@@ -15,7 +15,8 @@ all its points at once by the sum of minima with the node's upper corner.
    Third wave: all pairs of different components that the bounds leave. So every pair that may link is either verified
    or connects classes that are connected already.
 
-All candidates pass the bound of their count vectors first. Those that remain are verified on the hash sets themselves,
+All candidates pass the bound of their count vectors first, and then that of parity bitmaps, which are as long as the sets
+and so tell long texts apart that 256 coordinates do not. Those that remain are verified on the hash sets themselves,
 which are derived again from the texts for just these classes (a Bloom filter of fixed size picks them; texts are never
 shuffled). Cells of more than `TILE` members are dealt into parts, and pairs of parts are compared in groups of their own.
 """
@@ -148,6 +149,27 @@ def _vector(hashes: np.ndarray) -> bytes:
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2").tobytes()
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """The set's size, and a bitmap of at least as many bits: a bit per group of hashes, set where their number is odd.
+
+    Every bit in which two sets differ is a hash that only one of them has. The bitmap is XOR-folded to half its length by
+    taking one bit less of the hashes, so those of different lengths can be compared.
+    """
+    size = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.array([len(hashes)], "<i8").tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def _overlap_bound(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(sizes of both sets, what their intersection can have at most), by their parities."""
+    n, m = int(x[:8].view("<i8")[0]), int(y[:8].view("<i8")[0])
+    x, y = x[8:], y[8:]
+    while len(x) != len(y):
+        long, y = (x, y) if len(x) > len(y) else (y, x)
+        x = long[: len(long) // 2] ^ long[len(long) // 2 :]
+    return n, m, (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     """Rows (kind 0: doc_id, text_key, n, sig; kind 1: block number as n, counts of hash buckets) of (doc_id, text_key, text)."""
     names = ["kind", "doc_id", "text_key", "n", "sig", "counts"]
@@ -261,13 +283,14 @@ def _filter(classes: DataFrame) -> np.ndarray:
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
     words = classes.groupBy(s.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("word")).agg(F.bit_or(bits).alias("bits"))
     out = np.zeros(1 << FILTER_BITS, np.uint64)
-    for r in words.collect():  # at most as many rows as the filter has words
-        out[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    filled = words.toArrow()  # at most as many rows as the filter has words: as Row objects they would take 30 times the memory
+    out[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _derived(texts: DataFrame, classes: DataFrame, vectors: bool) -> DataFrame:
-    """(sig, n, data) of the classes (sig, n): their count vectors or their hash sets, one row each."""
+    """(sig, n, data, parity) of the classes (sig, n): their count vectors or their hash sets, one row each; parities with the
+    vectors only."""
     shared = texts.sparkSession.sparkContext.broadcast(_filter(classes))
 
     def run(batches):
@@ -282,18 +305,22 @@ def _derived(texts: DataFrame, classes: DataFrame, vectors: bool) -> DataFrame:
                 hit = [i for i in hit.tolist() if (sig[i], n[i]) not in seen and not seen.add((sig[i], n[i]))]
                 parts = [h[starts[i] : starts[i + 1]] for i in hit]
                 data = [_vector(p) if vectors else p.astype("<u8").tobytes() for p in parts]
+                parity = [_parity(p) if vectors else None for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[hit].view(np.int64)), pa.array(n[hit].astype(np.int32)), pa.array(data, pa.binary())], names=["sig", "n", "data"]
+                    [pa.array(sig[hit].view(np.int64)), pa.array(n[hit].astype(np.int32)), pa.array(data, pa.binary()), pa.array(parity, pa.binary())],
+                    names=["sig", "n", "data", "parity"],
                 )
                 if len(seen) > 2_000_000:
                     seen.clear()
 
-    found = texts.mapInArrow(run, "sig long, n int, data binary").join(classes, ["sig", "n"], "left_semi")
-    return written(found.dropDuplicates(["sig", "n"]), "derived")
+    found = texts.mapInArrow(run, "sig long, n int, data binary, parity binary").join(classes, ["sig", "n"], "left_semi")
+    out = written(found.dropDuplicates(["sig", "n"]), "derived")
+    shared.destroy()
+    return out
 
 
-def _both_sides(pairs: DataFrame, derived: DataFrame) -> DataFrame:
-    side = lambda key, name: derived.select(F.col("sig").alias(key), F.col("data").alias(name))
+def _both_sides(pairs: DataFrame, derived: DataFrame, data: str = "data") -> DataFrame:
+    side = lambda key, name: derived.select(F.col("sig").alias(key), F.col(data).alias(name))
     return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select(*pairs.columns, "x", "y")
 
 
@@ -316,8 +343,23 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return _both_sides(pairs, vectors).mapInArrow(run, f"{fields}, bound long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their hash sets."""
+def _near(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities do not rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                n, m, most = _overlap_bound(np.frombuffer(x.as_buffer(), "u1"), np.frombuffer(y.as_buffer(), "u1"))
+                keep.append(most >= least_overlap(n, m, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _both_sides(pairs.select("a", "b"), vectors, "parity").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their hash sets. Sets are long and move once per pair, so only those of
+    pairs that their parities leave do."""
 
     def run(batches):
         for batch in batches:
@@ -330,9 +372,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, percent: i
                 keep.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= least_overlap(len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = written(_near(pairs, vectors, percent), "near")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = _derived(texts, members.join(asked, "sig", "left_semi"), vectors=False)
-    return written(_both_sides(pairs.select("a", "b"), sets).mapInArrow(run, "a long, b long"), "links")
+    return written(_both_sides(pairs, sets).mapInArrow(run, "a long, b long"), "links")
 
 
 def _leaf_pairs(percent: int):
@@ -452,7 +495,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
     often = met.groupBy(F.col("sig").alias("b"), F.col("first").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     tried = written(often.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "pairs")
     pairs = written(_bounded(tried, vectors, percent), "pairs")
-    links = _verified(pairs, texts, members, percent)
+    links = _verified(pairs, texts, members, vectors, percent)
     joined = components(links)
     left = None
     for _ in range(2):
@@ -460,7 +503,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
         if pairs.isEmpty():
             continue  # the next wave asks for the pairs that this one set aside
         tried = written(tried.unionByName(pairs), "tried")
-        new = _verified(pairs, texts, members, percent)
+        new = _verified(pairs, texts, members, vectors, percent)
         if not new.isEmpty():
             links = links.unionByName(new)
             joined = components(links)

@@ -146,3 +146,18 @@ def test_cells_across_batches():
     for size in (1, 2, 7, 150):
         out = pa.Table.from_batches(list(jj._shared_cells(iter(table.to_batches(size)))))
         assert sorted(zip(*(out.column(c).to_pylist() for c in ("token", "sig", "n")))) == sorted((t, s, n) for t, _, s, n in want)
+
+
+def test_parities_bound_the_overlap_and_tell_long_texts_apart():
+    rng = np.random.default_rng(3)
+    read = lambda hashes: np.frombuffer(jj._parity(hashes), "u1")
+    for _ in range(300):
+        n, m = (int(k) for k in rng.integers(1, 2000, 2))
+        k = int(rng.integers(0, min(n, m) + 1))
+        h = rng.integers(0, 2**64, n + m, dtype=np.uint64)
+        x, y = h[:n], np.concatenate([h[:k], h[n : n + m - k]])
+        first, second, most = jj._overlap_bound(read(x), read(y))
+        assert sorted((first, second)) == sorted((n, m)) and most >= k
+    x, y = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
+    vectors = (np.frombuffer(jj._vector(h), "u1").astype(int) for h in (x, y))
+    assert np.minimum(*vectors).sum() > 0.8 * 5000 and jj._overlap_bound(read(x), read(y))[2] < jj.least_overlap(5000, 5000)
