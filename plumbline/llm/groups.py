@@ -14,10 +14,12 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     """Inner join of `rows` with one row per group (a written table); `size` is a group's number of rows, `total` their sum.
 
     The fewer than `HOT_SHARE` groups with more than 1/`HOT_SHARE` of all rows are broadcast, the others are shuffled,
-    so that no key brings many rows into one task.
+    so that no key brings many rows into one task. Without such groups it is one join.
     """
-    if total is None:
-        total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    most, all_rows = groups.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    total = all_rows if total is None else total
+    if most * HOT_SHARE <= total:  # `rows` are read once, and the driver has nothing to broadcast
+        return rows.join(groups, keys)
     hot = F.col(size) * HOT_SHARE > total
     large, small = F.broadcast(groups.where(hot)), groups.where(~hot)
     rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti")

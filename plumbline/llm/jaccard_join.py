@@ -17,8 +17,8 @@ all its points at once by the sum of minima with the node's upper corner.
 
 All candidates pass the bound of their count vectors first, and then that of parity bitmaps, which are as long as the sets
 and so tell long texts apart that 256 coordinates do not. Those that remain are verified on the hash sets themselves,
-which are derived again from the texts for just these classes (a Bloom filter of fixed size picks them; texts are never
-shuffled). Cells of more than `TILE` members are dealt into parts, and pairs of parts are compared in groups of their own.
+which are derived again from the texts for just these classes, from one text of each (a Bloom filter of fixed size picks
+the texts by a hash of the whole text before any word is read; texts are never shuffled). Cells of more than `TILE` members are dealt into parts, and pairs of parts are compared in groups of their own.
 """
 
 from __future__ import annotations
@@ -77,10 +77,16 @@ def _sets(column: pa.Array, hasher: WordHasher, rank: np.ndarray | None = None)
     distinct and in order of (rank of the bucket, hash)."""
     for a, b, data, edges in text_pieces(column):
         of, h = shingles(*hasher(data, edges))
-        order = np.lexsort((h, of) if rank is None else (h, rank[_bucket(h)], of))
-        of, h = of[order], h[order]
+        if (of[1:] < of[:-1]).any():  # the short texts come last
+            order = np.argsort(of, kind="stable")
+            of, h = of[order], h[order]
+        ends = np.searchsorted(of, np.arange(b - a + 1)).tolist()
+        for i, j in zip(ends[:-1], ends[1:]):  # text by text in place: far quicker than one sort by two keys
+            h[i:j].sort()
         new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
         of, h = of[new], h[new]
+        if rank is not None and (ranks := rank[_bucket(h)]).any():
+            h = h[np.argsort(of * (rank.max() + 1) + ranks, kind="stable")]
         starts = np.searchsorted(of, np.arange(b - a + 1))
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(mixed(h ^ _STEP), out=sums[1:])
@@ -275,8 +281,8 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the classes' signatures: 2^`FILTER_BITS` words, whatever their number."""
-    s = F.col("sig")
+    """A Bloom filter of the classes' text keys: 2^`FILTER_BITS` words, whatever their number."""
+    s = F.col("text_key")
     bits = F.lit(0).cast("long")
     for k in range(3):
         at = F.shiftrightunsigned(s, FILTER_BITS + 6 * k).bitwiseAND(F.lit(63)).cast("int")
@@ -288,21 +294,26 @@ def _filter(classes: DataFrame) -> np.ndarray:
     return out
 
 
+def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which text keys the Bloom filter does not rule out."""
+    bits = np.zeros(len(keys), np.uint64)
+    for k in range(3):
+        bits |= np.uint64(1) << (keys >> np.uint64(FILTER_BITS + 6 * k) & np.uint64(63))
+    return words[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] & bits == bits
+
+
 def _derived(texts: DataFrame, classes: DataFrame, vectors: bool) -> DataFrame:
-    """(sig, n, data, parity) of the classes (sig, n): their count vectors or their hash sets, one row each; parities with the
-    vectors only."""
+    """(sig, n, data, parity) of the classes (sig, n, text_key): their count vectors or their hash sets, one row each; parities
+    with the vectors only. Only texts whose key the classes may hold are gone through."""
     shared = texts.sparkSession.sparkContext.broadcast(_filter(classes))
 
     def run(batches):
         hasher, seen, words = WordHasher(), set(), shared.value
         for batch in batches:
-            for _, _, starts, h, sig in _sets(batch.column(0), hasher):
-                bits = np.zeros(len(sig), np.uint64)
-                for k in range(3):
-                    bits |= np.uint64(1) << (sig >> np.uint64(FILTER_BITS + 6 * k) & np.uint64(63))
+            asked = pa.array(_may_hold(words, batch.column(0).to_numpy().view(np.uint64)), pa.bool_())
+            for _, _, starts, h, sig in _sets(batch.column(1).filter(asked), hasher):
                 n = np.diff(starts)
-                hit = np.flatnonzero((words[(sig & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] & bits == bits) & (n > 0))
-                hit = [i for i in hit.tolist() if (sig[i], n[i]) not in seen and not seen.add((sig[i], n[i]))]
+                hit = [i for i in np.flatnonzero(n).tolist() if (sig[i], n[i]) not in seen and not seen.add((sig[i], n[i]))]
                 parts = [h[starts[i] : starts[i + 1]] for i in hit]
                 data = [_vector(p) if vectors else p.astype("<u8").tobytes() for p in parts]
                 parity = [_parity(p) if vectors else None for p in parts]
@@ -313,7 +324,7 @@ def _derived(texts: DataFrame, classes: DataFrame, vectors: bool) -> DataFrame:
                 if len(seen) > 2_000_000:
                     seen.clear()
 
-    found = texts.mapInArrow(run, "sig long, n int, data binary, parity binary").join(classes, ["sig", "n"], "left_semi")
+    found = texts.mapInArrow(run, "sig long, n int, data binary, parity binary").join(classes.select("sig", "n"), ["sig", "n"], "left_semi")
     out = written(found.dropDuplicates(["sig", "n"]), "derived")
     shared.destroy()
     return out
@@ -484,10 +495,11 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame
     signed = written(_signatures(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))), "signatures")
     rows = signed.where("kind = 0").select("doc_id", "text_key", "n", "sig")
     full = rows.where("n > 0")
-    texts = docs.select(body.alias("text"))
-    posted = _postings(texts, _bucket_loads(signed), percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "sig", "n")
+    texts = docs.select(F.xxhash64(body).alias("text_key"), body.alias("text"))
+    posted = _postings(texts.select("text"), _bucket_loads(signed), percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "sig", "n")
     cells = written(posted.mapInArrow(_shared_cells, "token long, sig long, n int"), "cells")
-    members = written(cells.select("sig", "n").distinct(), "classes")
+    first_texts = full.groupBy("sig", F.col("n").cast("int").alias("n")).agg(F.min("text_key").alias("text_key"))
+    members = written(first_texts.join(cells.select("sig", "n").distinct(), ["sig", "n"], "left_semi"), "classes")
     vectors = _derived(texts, members, vectors=True)
 
     firsts = cells.groupBy("token").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("size"))

@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join as jj
+from plumbline.llm.groups import attach
 from plumbline.llm.queries import QUERIES
 
 
@@ -161,3 +163,43 @@ def test_parities_bound_the_overlap_and_tell_long_texts_apart():
     x, y = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
     vectors = (np.frombuffer(jj._vector(h), "u1").astype(int) for h in (x, y))
     assert np.minimum(*vectors).sum() > 0.8 * 5000 and jj._overlap_bound(read(x), read(y))[2] < jj.least_overlap(5000, 5000)
+
+
+def test_only_texts_of_asked_classes_are_gone_through(spark):
+    """The filter goes by the whole text, so others are left out before their words are read."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string").select(F.xxhash64("text").alias("text_key"), "text")
+    keys = np.array([r.text_key for r in docs.collect()]).view(np.uint64)
+    rows = jj._signatures(docs.select(F.lit(1).cast("long").alias("doc_id"), "text_key", "text")).where("kind = 0")
+    classes = rows.groupBy("sig", F.col("n").cast("int").alias("n")).agg(F.min("text_key").alias("text_key"))
+    asked = spark.createDataFrame(classes.limit(40).collect(), classes.schema)
+    wanted = {r.text_key for r in asked.collect()}
+    held = jj._may_hold(jj._filter(asked), keys)
+    assert wanted <= set(keys[held].view(np.int64).tolist()) and held.sum() <= 2 * len(wanted) + 5
+    got = jj._derived(docs, asked, vectors=False).collect()
+    assert sorted((r.sig, r.n) for r in got) == sorted((r.sig, r.n) for r in asked.collect())
+    assert all(len(r.data) == 8 * r.n for r in got)
+
+
+def test_sets_are_in_order_of_rank_and_hash():
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 60]))) for _ in range(200)]
+    rank = np.array([rng.choice([0, 0, 0, 1, 5]) for _ in range(jj.BUCKETS)])
+    for ranks in (None, rank):
+        for a, b, starts, h, _ in jj._sets(pa.array(texts), jj.WordHasher(), ranks):
+            for i in range(a, b):
+                own = h[starts[i - a] : starts[i - a + 1]].tolist()
+                assert len(own) == len(shingle_set(texts[i]))
+                order = [(int(ranks[jj._bucket(np.uint64(x))]) if ranks is not None else 0, x) for x in own]
+                assert order == sorted(set(order))
+
+
+def test_without_a_large_group_attach_is_one_join(spark):
+    rows = spark.range(4000).withColumnRenamed("id", "k")
+    even = rows.withColumn("n", F.lit(1)).withColumn("x", F.col("k") * 2)
+    joined = attach(rows, even, ["k"], "n")
+    assert "Union" not in joined._jdf.queryExecution().toString()
+    assert joined.count() == 4000 and joined.where("x <> 2 * k").count() == 0
+    uneven = even.withColumn("n", F.when(F.col("k") == 7, 5000).otherwise(1))
+    assert attach(rows, uneven, ["k"], "n").count() == 4000
