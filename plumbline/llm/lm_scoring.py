@@ -15,8 +15,9 @@ bigram is in the model (c: its count, h(v): kept bigrams that begin with v, H: `
 unknown word is stored by a 64-bit key, so that a key that no table holds adds nothing. Losses are integers, in units
 of 1 / `UNIT`, and sums therefore the same in any order.
 
-Scoring: the most frequent keys, `HOT` at most, are broadcast with a bitmap of all others. A document's remaining keys
-that the bitmap knows are joined by a shuffle and summed per row. How much is broadcast never changes a score.
+Scoring: the most frequent keys, `HOT` at most, are broadcast with a bitmap of all others. The remaining keys that the bitmap
+knows go to buckets of the key space in blocks, sorted and as differences with the rows that ask; a bucket holds its share of
+the table and sends each block the sums of its rows. How much is broadcast never changes a score.
 
 A document's score is its mean per-word loss under the target minus that under the background: the lower, the more it
 looks like the target.
@@ -46,6 +47,8 @@ HELD_PAIRS = 1 << 22
 CELL_BITS = 40
 CELL_BYTES = 5
 BUCKET_BYTES = 1 << 20  # of text, for one bucket of cells
+LOOKUP_BYTES = 1 << 24  # of text, for one bucket of keys to look up
+HELD_KEYS = 1 << 20
 BATCH_ROWS = 1 << 16
 BROADCAST_LABELS = 1_000_000
 BACK = 0x5851F42D4C957F2D  # tells the key of backing off from a word from the key of the word
@@ -311,6 +314,83 @@ def _piece(words: np.ndarray, first: np.ndarray, hot: np.ndarray, values: np.nda
     return sums, keys[order], np.searchsorted(places[order], first)
 
 
+def _planes(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Sorted 64-bit numbers as differences, and columns of 64-bit integers, in planes of bytes."""
+    numbers = [np.diff(keys, prepend=np.uint64(0)), *columns]
+    planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T for c in numbers])
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _from_planes(n: int, data: bytes, width: int) -> list[np.ndarray]:
+    """The numbers and `width` columns that `_planes` packed."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * (width + 1) * n, asbytes=True), np.uint8).reshape(width + 1, 8, n)
+    steps, *columns = (np.ascontiguousarray(p.T).view(np.int64)[:, 0] for p in planes)
+    return [np.cumsum(steps.view(np.uint64), dtype=np.uint64), *columns]
+
+
+def _by_bucket(keys: np.ndarray, columns: list[np.ndarray], bucket_bits: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(buckets, sizes, packed keys and columns), one entry per bucket of the key space that has keys."""
+    order = np.argsort(keys)
+    keys, columns = keys[order], [c[order] for c in columns]
+    bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[at[1:], len(keys)]
+    data = [_planes(keys[a:b], [c[a:b] for c in columns]) for a, b in zip(at.tolist(), ends.tolist())]
+    return bucket[at].tolist(), (ends - at).tolist(), data
+
+
+def _looked_up(asked: DataFrame, cold: DataFrame, bucket_bits: int) -> DataFrame:
+    """(row, target, background): what the cold keys that rows ask for add up to, from blocks (bucket, base, size, data) of
+    keys and rows, which count from the block's base. All keys of a row are in blocks of one base."""
+
+    def pack(batches):
+        def packed():
+            keys, *values = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _by_bucket(keys.view(np.uint64), values, bucket_bits)], names=["bucket", "size", "data"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+            n += batch.num_rows
+            if n > HELD_KEYS:
+                yield from packed()
+                n = 0
+        if n:
+            yield from packed()
+
+    def look_up(key: tuple[pa.Scalar, ...], asked: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and found.num_rows:
+            parts = [_from_planes(n, data, 2) for n, data in zip(found["size"].to_pylist(), found["data"].to_pylist())]
+            keys, *values = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(keys)
+            keys, values = keys[order], [v[order] for v in values]
+            for base, n, data in zip(asked["base"].to_pylist(), asked["size"].to_pylist(), asked["data"].to_pylist()):
+                wanted, row = _from_planes(n, data, 1)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                at, row = at[hit], row[hit]
+                if len(row):
+                    by_row = np.argsort(row, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(row[by_row]) != 0])
+                    sums = [np.add.reduceat(v[at[by_row]], starts) for v in values]
+                    out.append((base, len(starts), _planes(row[by_row][starts].view(np.uint64), sums)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], names=["base", "size", "data"])
+
+    def add(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        parts = [_from_planes(n, data, 2) for n, data in zip(found["size"].to_pylist(), found["data"].to_pylist())]
+        row, *values = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(row, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+        sums = [np.add.reduceat(v[order], starts) for v in values]
+        return pa.table([row[order][starts].view(np.int64) + key[0].as_py(), *sums], names=["row", "target", "background"])
+
+    table = cold.select("key", "target", "background").mapInArrow(pack, "bucket long, size long, data binary")
+    sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "base long, size long, data binary")
+    return sums.groupBy("base").applyInArrow(add, "row long, target long, background long")
+
+
 def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """`docs` without `text`, plus n_words, loss_target, loss_background (means per word) and score (their difference).
 
@@ -323,32 +403,53 @@ def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     names = [F.col(f"`{c}`") for c in keep]
     rows = docs.select(*names, text_or_empty(text).alias("text"))
     part = docs.select(*names, *[F.lit(0).alias(c) for c in own])
-    row, more, target, background, keys, found_t, found_b = (
-        free(part, c) for c in ("row", "found_row", "target_sum", "background_sum", "keys", "found_target", "found_background")
+    row, more, target, background, bucket, size, data, found_t, found_b = (
+        free(part, c) for c in ("row", "found_row", "target_sum", "background_sum", "bucket", "size", "data", "found_target", "found_background")
     )
+    whole = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bucket_bits = max(1, (whole // LOOKUP_BYTES).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.values, models.bits))
 
+    names_out = [*keep, "n_words", row, target, background, bucket, size, data]
+
     def run(batches):
         hasher, number = WordHasher(), TaskContext.get().partitionId() << 40
+        held, n, base = [], 0, number
+
+        def block():  # what the rows since `base` ask for, in rows of its own kind
+            keys, rows_of = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            columns = [pa.array(c, t) for c, t in zip(_by_bucket(keys, [rows_of - base], bucket_bits), (pa.int64(), pa.int64(), pa.binary()))]
+            none, m = pa.nulls(len(columns[0]), pa.int64()), len(columns[0])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in types), none, pa.array(np.full(m, base)), none, none, *columns], names=names_out)
+
         for batch in batches:
-            for a, b, data, edges in text_pieces(batch.column(batch.num_columns - 1)):
-                words, first = hasher(data, edges)
+            types = [c.type for c in batch.columns[:-1]]
+            for a, b, text_bytes, edges in text_pieces(batch.column(batch.num_columns - 1)):
+                words, first = hasher(text_bytes, edges)
                 sums, cold, begin = _piece(words, first, *shared.value)
+                numbers = np.arange(number, number + b - a)
+                none = [pa.nulls(b - a, t) for t in (pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.slice(a, b - a).columns[:-1], pa.array(np.diff(first)), pa.array(np.arange(number, number + b - a)), pa.array(sums[0]),
-                        pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(cold.view(np.int64))),
-                    ],
-                    names=[*keep, "n_words", row, target, background, keys],
+                    [*batch.slice(a, b - a).columns[:-1], pa.array(np.diff(first)), pa.array(numbers), pa.array(sums[0]), pa.array(sums[1]), *none],
+                    names=names_out,
                 )
                 number += b - a
+                if len(cold):
+                    held.append((cold, np.repeat(numbers, np.diff(begin))))
+                    n += len(cold)
+                if n > HELD_KEYS:
+                    yield from block()
+                    n, base = 0, number
+        if n:
+            yield from block()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema = ", ".join([*fields, f"n_words long, `{row}` long, `{target}` long, `{background}` long, `{keys}` array<long>"])
-    read = written(rows.mapInArrow(run, schema), "losses")
-    asked = read.select(F.col(row).alias("found_row"), F.explode(keys).alias("key"))
-    found = asked.join(models.cold, "key").groupBy("found_row").agg(F.sum("target"), F.sum("background"))
-    read = read.drop(keys).join(found.toDF(more, found_t, found_b), F.col(row) == F.col(more), "left")
+    more_fields = f"n_words long, `{row}` long, `{target}` long, `{background}` long, `{bucket}` long, `{size}` long, `{data}` binary"
+    read = written(rows.mapInArrow(run, ", ".join([*fields, more_fields])), "losses")
+    asked = read.where(F.col(bucket).isNotNull()).select(*[F.col(c).alias(n) for c, n in ((bucket, "bucket"), (row, "base"), (size, "size"), (data, "data"))])
+    found = _looked_up(asked, models.cold, bucket_bits)
+    read = read.where(F.col(bucket).isNull()).drop(bucket, size, data).join(found.toDF(more, found_t, found_b), F.col(row) == F.col(more), "left")
 
     def mean(base: int, hot: str, cold: str) -> Column:
         units = F.col("n_words") * base + F.col(hot) + F.coalesce(F.col(cold), F.lit(0))

@@ -162,3 +162,29 @@ def test_query_tells_target_like_documents(spark, sf):
     assert out.count() == docs.count()
     mean = {r.quality: r.m for r in out.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
     assert mean[1] < mean[0]
+
+
+def test_planes_come_back_and_take_less_than_the_keys():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5000):
+        keys = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        columns = [rng.integers(-(1 << 50), 1 << 50, n), rng.integers(0, 3, n)]
+        back = lm._from_planes(n, lm._planes(keys, columns), 2)
+        assert all((a == b).all() for a, b in zip(back, [keys, *columns]))
+    keys, rows = rng.integers(0, 1 << 64, 1 << 18, dtype=np.uint64), rng.integers(0, 2000, 1 << 18)
+    _, sizes, data = lm._by_bucket(keys, [rows], 5)
+    assert sum(sizes) == len(keys) and sum(map(len, data)) < 8.5 * len(keys)  # a key and a row number are 16 bytes
+
+
+def test_lookups_in_many_blocks_and_buckets_add_up(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD_KEYS", 40)
+    monkeypatch.setattr(lm, "LOOKUP_BYTES", 256)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 15, rng.integers(0, 30))), i % 3 == 0) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (-1, "w1 w2 " * 900, None)], "doc_id long, text string, target boolean").repartition(4)
+    want = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
+    models = lm.fit(docs, hot=3, filter_bits=9)
+    assert models.cold.count() > 100
+    got = lm.score(docs, models).collect()
+    assert len(got) == len(want) == 151
+    assert all(r[1:] == want[r.doc_id][1:] for r in got)
