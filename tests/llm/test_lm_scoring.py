@@ -188,3 +188,75 @@ def test_lookups_in_many_blocks_and_buckets_add_up(spark, monkeypatch):
     got = lm.score(docs, models).collect()
     assert len(got) == len(want) == 151
     assert all(r[1:] == want[r.doc_id][1:] for r in got)
+
+
+def test_numbers_come_back_from_keys_and_other_words_get_odd_ones():
+    rng = np.random.default_rng(9)
+    v, w = rng.integers(0, lm.CODES + 1, (2, 4000)).astype(np.uint64)
+    keys = lm._keys(v, w)
+    assert not (keys & np.uint64(1)).any() and len(np.unique(keys)) == len(set(zip(v.tolist(), w.tolist())))
+    assert all((a == b).all() for a, b in zip(lm._numbers(keys), (v, w)))
+    assert np.bincount((keys >> np.uint64(61)).astype(int), minlength=8).min() > 400
+    codes = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64) << np.uint64(1))
+    names = lm._named(np.r_[codes, codes + np.uint64(2)], codes)
+    assert names[:50].tolist() == list(range(1, 51)) and (names[50:] > lm.CODES).all()
+    keys = lm._keys(np.r_[names[50:], names[:50], names[50:]], np.r_[names[:50], names[50:], names[50:]])
+    assert (keys & np.uint64(1)).all() and len(np.unique(keys)) == 150
+
+
+def test_counted_bigrams_take_few_bytes():
+    """18 bytes a row when bigrams went to the shuffle one by one."""
+    rng = np.random.default_rng(10)
+    v, w = (rng.zipf(1.3, 1 << 20) % 200_000 + 1 for _ in "vw")
+    keys, n, t = lm._added_up(lm._keys(v.astype(np.uint64), w.astype(np.uint64)) | rng.integers(0, 2, 1 << 20).astype(np.uint64))
+    assert n.sum() == 1 << 20 and (t <= n).all() and not (keys & np.uint64(1)).any()
+    _, sizes, data = lm._in_buckets(keys, [n, t], 6)
+    assert sum(sizes) == len(keys) > 200_000 and sum(map(len, data)) < 5 * len(keys)
+
+
+@pytest.mark.parametrize("codes", [0, 6, lm.CODES])
+def test_counts_over_many_hand_overs_are_exact(spark, monkeypatch, codes):
+    for name, value in (("HELD_COUNTS", 50), ("COUNT_BYTES", 512), ("HELD_PAIRS", 50), ("HELD_WORDS", 50), ("HELD_KEYS", 50)):
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(11)
+    rows = [(" ".join(f"w{i}" for i in rng.integers(0, 14, rng.integers(0, 40))), i % 3 == 0) for i in range(200)] + [("a B " * 800, True), (None, True)]
+    docs = spark.createDataFrame(rows, "text string, target boolean").repartition(5)
+    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for t, mark in rows:
+        for m in [0] + [1] * mark:
+            single[m].update(words(t))
+            pairs[m].update(zip(words(t), words(t)[1:]))
+    found = lm.word_counts(docs, "text", "target", 285, 3).collect()
+    often = sorted((n, single[1][w]) for w, n in single[0].items() if n >= 285)
+    assert sorted((r.n, r.t) for r in found if r.w is not None) == often and 2 < len(often) < len(single[0])
+    assert sum(r.n for r in found) == sum(single[0].values()) and sum(r.t for r in found) == sum(single[1].values())
+    known = np.sort(np.array([r.w for r in lm.word_counts(docs, "text", "target", 1, 3).collect() if r.w is not None]).view(np.uint64))
+    assert len(known) == len(single[0])
+    for least in (1, 12, 700):
+        got = lm.pair_counts(docs, "text", "target", least, 16, 3, known[:codes], codes >= len(known)).collect()
+        assert sorted((r.n, r.t) for r in got) == sorted((n, pairs[1][p]) for p, n in pairs[0].items() if n >= least)
+        assert len({(r.v, r.w) for r in got}) == len(got)
+
+
+def test_scores_do_not_depend_on_which_words_have_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{j}" for j in rng.zipf(1.5, rng.integers(0, 60)) % 40), i % 3 == 0) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (-1, "w1 w2 " * 900, None), (-2, None, True)], "doc_id long, text string, target boolean").repartition(4)
+    want = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
+    plain = plain_losses([r[1:] for r in rows] + [("w1 w2 " * 900, None)], lm.MIN_COUNT)
+    assert all(close(want[i].loss_target, t) and close(want[i].loss_background, b) for i, (t, b) in zip([*range(150), -1], plain))
+    for codes, hot in ((0, 0), (5, 20), (12, 1 << 20)):
+        models = lm.fit(docs, codes=codes, hot=hot, filter_bits=9)
+        assert len(models.codes) <= codes and len(models.keys) <= hot
+        got = lm.score(docs, models).collect()
+        assert len(got) == len(want) and all(r == want[r.doc_id] for r in got)
+
+
+def test_bitmap_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD_KEYS", 100)
+    keys = np.random.default_rng(13).integers(0, 1 << 64, 700, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long").repartition(3)
+    for bits in (7, 13, 20):
+        got = lm._bitmap(lm._key_bits(df, bits), bits)
+        places = np.unique(keys >> np.uint64(64 - bits))
+        assert lm._is_set(got, places).all() and sum(int(x).bit_count() for x in got) == len(places)
